@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 
+def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find, written
+
+    found = find(read_table(spark, sf_dir, "documents"))
+    base, extra = F.col("base"), F.col("extra")
+    counts = [F.size(F.filter(base, lambda b: b["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(base, extra).alias("spans"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
