@@ -110,8 +110,8 @@ def fit(labelled: DataFrame, per_language: int = 2000, smoothing: float = 0.5, t
     return langs, (table / table.max(axis=1, keepdims=True)).astype(np.float32)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], rounds: int = 12, penalty: float = 6.0, least: float = 0.03, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, lang_pred, score, langs.
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], rounds: int = 12, penalty: float = 6.0, least: float = 0.03, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """One row per document: id, lang_pred, score, langs; with ``keep`` all columns of docs stand before the last three.
 
     ``lang_pred`` is the language with the largest proportion, ``score`` that proportion and ``langs`` the selected set as
     lang:proportion, largest first.  A text that is null or has no letter, and any text if nothing was learned, gives
@@ -120,11 +120,14 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], rounds: int =
     """
     langs, table = model
     held = docs.sparkSession.sparkContext.broadcast(table)  # 2 ** CODE_BITS rows of one float32 a language
+    source = docs if keep else docs.select(id_col, text_col)
+    place = source.columns.index(text_col)
+    passed = [k for k in range(len(source.columns)) if keep or k != place]
 
     def run(batches):
         for batch in batches:
             pred, score, sets = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(place).to_pylist():
                 if langs and has_letter(text):
                     got = infer(text, held.value, rounds, penalty, least)
                     pred.append(langs[got[0][0]])
@@ -134,7 +137,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], rounds: int =
                     pred.append(UNDETERMINED)
                     score.append(0.0)
                     sets.append("")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], names=[id_col, "lang_pred", "score", "langs"])
+            columns = [*(batch.column(k) for k in passed), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names[k] for k in passed), "lang_pred", "score", "langs"])
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, langs string")
+    fields = ", ".join(f"`{source.columns[k]}` {source.schema[k].dataType.simpleString()}" for k in passed)
+    return source.mapInArrow(run, f"{fields}, lang_pred string, score double, langs string")

@@ -164,6 +164,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return spans.select(id_col, "base", F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))).alias("extra"))
 
 
+def annotate(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows with the columns base and extra of ``find``.  The texts are gone through twice, so that nothing has to be joined to them."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    free = F.filter("_candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    found = docs.withColumns({"base": base_spans(text), "_candidates": candidate_spans(text)}).withColumn("_candidates", free)
+    cells = {r["cell"]: r["n"] for r in found.select(F.explode("_candidates.cell").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    good = accepted(cells)
+    kept = F.filter("_candidates", lambda c: c["cell"].isin(good) if good else F.lit(False))
+    return found.withColumn("extra", F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))).drop("_candidates")
+
+
 def kind_name(place: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, KINDS)), place + 1)
 

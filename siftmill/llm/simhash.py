@@ -39,16 +39,17 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(counts * 2 > m, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp (the 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns of ``keep``, and fp (the 64 bits as a signed long) of every row."""
 
     def run(batches):
         for batch in batches:
-            fp = np.asarray([fingerprint(x, width) for x in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+            fp = np.asarray([fingerprint(x, width) for x in batch.column(0).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fp.view(np.int64))], names=[*batch.schema.names[1:], "fp"])
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    source = docs.select(F.col(text_col).cast("string").alias("_text"), id_col, *keep)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
+    return source.mapInArrow(run, f"{fields}, fp long")
 
 
 class BKTree:
@@ -148,15 +149,15 @@ def links(classes: DataFrame, radius: int = 3, blocks: int = 5, tile: int = 2000
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, fingerprint (16 hex digits) and component_id, the smallest id that links reach.
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, the columns of ``keep``, fingerprint (16 hex digits) and component_id, the smallest id that links reach.
 
     A null or empty text has fingerprint 0, linked like any other.  Equal fingerprints are one class, so groups of copies
     are never expanded into pairs; repeated rows are alike.  A row whose id is null belongs to the component of the rows
     with its fingerprint and links nothing by itself (null if there is no such row).  Other columns are ignored.
     """
-    fps = materialise(fingerprints(docs, width, id_col, text_col), "fps")
+    fps = materialise(fingerprints(docs, width, id_col, text_col, keep), "fps")
     classes = materialise(fps.groupBy("fp").agg(F.min(id_col).cast("long").alias("id")).where("id is not null"), "classes")
     parts = components(links(classes, radius))
     to = materialise(classes.join(parts, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id")), "members")
-    return fps.join(to, "fp", "left").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(to, "fp", "left").select(id_col, *keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
