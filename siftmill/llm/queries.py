@@ -34,6 +34,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .caps import link_vectors
+
+    return link_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
