@@ -64,6 +64,14 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_chats(format_chats(read_table(spark, sf_dir, "conversations").select(probe.columns).union(probe)))
 
 
+def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import round_trip
+
+    return round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, identify
 
