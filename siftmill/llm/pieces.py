@@ -109,7 +109,7 @@ class Encoder:
         parts = self.pieces.parts.findall(SPACE + text.replace(" ", SPACE))
         if len(self.known) > CACHE_PARTS:
             self.known.clear()
-        for p in set(parts) - self.known.keys():
+        for p in set(parts).difference(self.known):
             self.known[p] = self.part(p)
         rows = list(map(self.known.__getitem__, parts))
         total = math.fsum([r[1] for r in rows])
