@@ -1,9 +1,9 @@
 """Removal of repeated passages: every byte that a string of ``window`` bytes covers which also starts anywhere else.
 
-The input is reduced before anything is compared.  Each window chooses a place by what stands in it (``anchors``), so equal
-windows choose equal places, and only places whose names occur more than once can lie in a repeat.  Windows that choose the
-same place form a context.  Contexts that occur more than once are repeats as a whole; of the others that share a name,
-the windows are compared.  See the README on why whole suffixes are not sorted.
+Suffixes are sorted by difference covers, but only where they can repeat.  Each window chooses a place by what stands in it
+(``anchors``), so equal windows, wherever they stand, choose equal places and meet under one name; the rest never meets.
+Windows that choose the same place form a context.  Contexts that occur more than once are repeats as a whole.  The others
+of a name go to one task, which sorts the suffixes of many names' contexts at once and compares adjacent prefixes.
 
 Bitmaps of fixed size drop most rows before they are shuffled.  They only ever let too much through, which later steps sort
 out, so results do not depend on their size.
@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 
 from .anchors import chosen, named, NAME
 from .common import materialise
+from .suffixes import repeated
 
 BITMAP_BITS = 25
-#: Contexts of one name that are compared in memory; those of names with more meet by their windows' hashes.
-GROUP = 20_000
+#: Contexts of one name that are sorted in memory; those of names with more meet by their windows' hashes.
+GROUP = 2_500
+#: Bytes of contexts that are sorted at once.
+POOL = 1 << 19
 
 
 def bitmap(keys: DataFrame, column: str) -> np.ndarray:
@@ -68,8 +71,8 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
                 out += [digest(raw[p : p + NAME]) for p in chosen(raw, window)[0].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(out, dtype=np.uint64).view(np.int64))], names=["name"])
 
-    repeated = keyed.mapInArrow(names, "name long").groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    by_name = spark.sparkContext.broadcast(bitmap(repeated, "name"))
+    twice = keyed.mapInArrow(names, "name long").groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    by_name = spark.sparkContext.broadcast(bitmap(twice, "name"))
 
     def contexts(batches):
         for batch in batches:
@@ -110,7 +113,7 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
 
     def compare(batches):
         digest = xxhash.xxh3_64_intdigest
-        last, rows, crowd = None, [], False
+        last, rows, pool, crowd = None, [], [], False
         out: tuple[list, list, list, list] = ([], [], [], [])
 
         def hashes():
@@ -120,27 +123,32 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
             before = np.repeat(np.cumsum(sizes) - sizes, sizes)
             return values, ks, np.repeat(np.asarray([x[1] for x in rows], dtype=np.int64), sizes) + np.arange(len(values)) - before
 
-        def close(more: bool):
-            """Compare the windows of a name, or hand on those of a name with too many contexts."""
-            nonlocal crowd
-            if crowd or more:
-                values, ks, starts = hashes()
-                found = ks.tolist(), starts.tolist(), [window] * len(ks), values.view(np.int64).tolist()
-            elif len(rows) > 1:
-                values, ks, starts = hashes()
-                _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
-                at = np.flatnonzero(counts[inverse] > 1)
-                if not len(at):
-                    return
-                ks, starts = ks[at], starts[at]
-                cut = np.flatnonzero((np.diff(starts) != 1) | (np.diff(ks) != 0)) + 1
-                a, b = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]) - 1
-                found = ks[a].tolist(), starts[a].tolist(), (starts[b] - starts[a] + window).tolist(), [None] * len(a)
-            else:
-                return
-            for column, x in zip(out, found, strict=True):
+        def add(*columns: list):
+            for column, x in zip(out, columns, strict=True):
                 column.extend(x)
-            crowd = more
+
+        def hand_on():
+            """The windows of a name with too many contexts, by their hashes."""
+            values, ks, starts = hashes()
+            add(ks.tolist(), starts.tolist(), [window] * len(ks), values.view(np.int64).tolist())
+
+        def sort():
+            """Sort the suffixes of the pool; runs of neighbouring windows become one span."""
+            for (k, start, _), hit in zip(pool, repeated([x[2] for x in pool], window) if pool else (), strict=True):
+                if len(hit):
+                    cut = np.flatnonzero(np.diff(hit) != 1) + 1
+                    a, b = hit[np.concatenate([[0], cut])], hit[np.concatenate([cut, [len(hit)]]) - 1]
+                    add([k] * len(a), (a + start).tolist(), (b - a + window).tolist(), [None] * len(a))
+            pool.clear()
+
+        def close():
+            """The rows of a name are complete."""
+            if crowd:
+                hand_on()
+            elif len(rows) > 1:
+                pool.extend(rows)
+                if sum(len(x[2]) for x in pool) > POOL:
+                    sort()
 
         def flush():
             batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["k", "start", "length", "hash"])
@@ -151,15 +159,16 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
         for batch in batches:
             for name, k, start, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if name != last:
-                    close(False)
+                    close()
                     last, rows, crowd = name, [], False
                 elif len(rows) >= group:
-                    close(True)
-                    rows = []
+                    hand_on()
+                    rows, crowd = [], True
                     yield flush()
                 rows.append((k, start, raw))
             yield flush()
-        close(False)
+        close()
+        sort()
         yield flush()
 
     dealt = keyed.mapInArrow(texts, "name long, k long, start int, bytes binary").repartition("name").sortWithinPartitions("name")
