@@ -4,14 +4,334 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-FLAGSHIP = "scan_counts"
+from siftmill.config import EngineConfig
+from siftmill.functions import requests as R
+from siftmill.functions.text import escape_html, extension, split_lines
+from siftmill.operators import candidates, chunks, filters, findings, relevance, rules
+from siftmill.sources.archives import escapes_base
+from siftmill.sources.corpus import CODE_FILES_SQL, code_files
+
+FLAGSHIP = "scan_decisions"
+SMALL = EngineConfig(chunk_lines=20, overlap_lines=5)
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+CORPUS = f"with code_files as ({CODE_FILES_SQL})"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def long(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.inventory(code_files(spark, sf_dir).withColumn("raw", F.encode("content", "UTF-8")))
+
+
+# The filter's cascade as it falls out for the derived corpus; names and folders stand in it as plain text.
+_DECISION = """case
+  when regexp_matches(lower(path), '(^|/)(node_modules|vendor|dist|build|coverage|\\.git|__pycache__|libs|cdn)(/|$)') then 'EXCLUDED_DIR'
+  when regexp_matches(lower(name), '\\.min\\.js|\\.bundle\\.js|\\.chunk\\.js|bundle\\.js') then 'EXCLUDED_MINIFIED'
+  when name like '%.js' and (regexp_matches(name, '^(jquery\\.[^.]+|jquery-ui|(bootstrap|lodash|underscore|moment|slick|swiper|chart|d3))\\.js$') or regexp_matches('/' || lower(path), '/(vendors?|node_modules|libs?|plugins)/')) then 'EXCLUDED_THIRD_PARTY_LIBRARY'
+  when name like '%.js' and (regexp_matches(name, '^(app|commons|framework|runtime|polyfills?|vendors?)-[a-f0-9]{8,}\\.js$|^.+-[a-f0-9]{12,}\\.js$') or regexp_matches(left(content, 8192), 'webpackChunk|webpackJsonp|__webpack_require__|sourceMappingURL=')) then 'EXCLUDED_MINIFIED'
+  when name like '%.json' then 'INCLUDED_CONFIG'
+  when regexp_matches(name, '\\.(js|ts|jsx|tsx|vue|mjs|cjs)$') then 'INCLUDED_SOURCE'
+  when regexp_matches(name, '\\.(html?|ejs|hbs|pug|jsp|do|php|aspx?)$') then 'INCLUDED_TEMPLATE'
+  else 'EXCLUDED_EXTENSION' end"""
+_DECIDED = f"{CORPUS}, named as (select *, regexp_extract(path, '[^/]+$') as name from code_files), decided as (select path, content, {_DECISION} as reason_code from named)"
+
+
+@query(f"{_DECIDED} select reason_code, count(*) as files, cast(sum(strlen(content)) as bigint) as bytes from decided group by 1")
+def scan_decisions(spark, sf_dir):
+    return _inventory(spark, sf_dir).groupBy("reason_code").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+@query(f"{_DECIDED} select count(*) as total_files_scanned, count(*) filter (where reason_code like 'INCLUDED%') as included_count, count(*) filter (where reason_code like 'EXCLUDED%') as excluded_count from decided")
+def scan_counts(spark, sf_dir):
+    return filters.inventory_counts(_inventory(spark, sf_dir))
+
+
+@query(f"{CORPUS} select coalesce(nullif(lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)), ''), '') as extension, count(*) as files from code_files group by 1")
+def ext_distribution(spark, sf_dir):
+    return code_files(spark, sf_dir).groupBy(extension(F.col("path")).alias("extension")).agg(F.count("*").alias("files"))
+
+
+@query("select doc_id, sha256(text) as content_hash, strlen(text) as size from documents where text is not null")
+def load_hash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("raw"))
+    loaded, _ = filters.load(docs.withColumn("include", F.lit(True)).withColumn("reason_code", F.lit("INCLUDED_SOURCE")), docs)
+    return loaded.select("doc_id", "content_hash", F.octet_length("content").cast("long").alias("size"))
+
+
+@query(f"{_DECIDED}, marked as (select *, cast(split_part(regexp_replace(path, '[^0-9/]', '', 'g'), '/', -1) as varchar) as digits from decided) select case when reason_code like 'EXCLUDED%' then 'SKIPPED_NOT_INCLUDED' when length(path) % 5 = 0 then 'SKIPPED_NOT_FOUND' else 'LOADED' end as code, count(*) as files from marked group by 1")
+def load_skip_codes(spark, sf_dir):
+    inventory = _inventory(spark, sf_dir)
+    there = inventory.where(F.length("path") % 5 != 0)
+    loaded, skipped = filters.load(inventory, there)
+    return loaded.select(F.lit("LOADED").alias("code")).union(skipped.select("reason_code")).groupBy("code").agg(F.count("*").alias("files"))
+
+
+@query("select source, count(*) as members, cast(sum(strlen(text)) as bigint) as bytes, count(*) filter (where running > 200000) as over_cap from (select source, text, sum(strlen(text)) over (partition by source order by doc_id) as running from documents) group by source")
+def archive_limits(spark, sf_dir):
+    running = F.sum(F.octet_length("text")).over(W.partitionBy("source").orderBy("doc_id"))
+    docs = table(spark, sf_dir, "documents").withColumn("running", running)
+    return docs.groupBy("source").agg(F.count("*").alias("members"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.count_if(F.col("running") > 200000).alias("over_cap"))
+
+
+@query("select o_orderkey % 4 as kind, count(*) as paths, case o_orderkey % 4 when 1 then true when 3 then true else false end as outside from orders group by 1, 3")
+def path_containment(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    kind = F.col("o_orderkey") % 4
+    path = F.when(kind == 0, "a/b/../c.js").when(kind == 1, "../x.js").when(kind == 2, "./a/./b.js").otherwise("a/../../b.js")
+    return orders.groupBy(kind.alias("kind"), escapes_base(path).alias("outside")).agg(F.count("*").alias("paths")).select("kind", "paths", "outside")
+
+
+_LINES = "case when text like '%' || chr(10) then list_slice(string_split(text, chr(10)), 1, -2) else string_split(text, chr(10)) end"
+
+
+@query(f"select doc_id, cast(len({_LINES}) as bigint) as lines, sha256(list_aggregate({_LINES}, 'string_agg', '|')) as hash from documents where text <> ''")
+def line_split(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", split_lines(F.col("text")).alias("l"))
+    return docs.select("doc_id", long(F.size("l")).alias("lines"), F.sha2(F.array_join("l", "|"), 256).alias("hash"))
+
+
+def _doc_files(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+
+
+_FRAMES = f"lined as (select doc_id, {_LINES} as l from documents where text <> ''), spec as (select doc_id, l, unnest(range(0, cast(greatest(0, ceil((len(l) - 20) / 15.0)) as bigint) + 1)) as k from lined), frames as (select doc_id, k as chunk_index, 1 + 15 * k as start_line, least(15 * k + 20, len(l)) as end_line, list_aggregate(list_slice(l, 1 + 15 * k, least(15 * k + 20, len(l))), 'string_agg', chr(10)) as content from spec)"
+
+
+@query(f"with {_FRAMES} select doc_id, chunk_index, start_line, end_line from frames")
+def chunk_specs(spark, sf_dir):
+    return chunks.build_chunks(_doc_files(spark, sf_dir), SMALL, ("doc_id",)).select("doc_id", long("chunk_index").alias("chunk_index"), long("start_line").alias("start_line"), long("end_line").alias("end_line"))
+
+
+@query(f"with {_FRAMES} select doc_id, chunk_index, sha256(content) as chunk_hash from frames")
+def chunk_hashes(spark, sf_dir):
+    return chunks.build_chunks(_doc_files(spark, sf_dir), SMALL, ("doc_id",)).select("doc_id", long("chunk_index").alias("chunk_index"), "chunk_hash")
+
+
+@query(f"with {_FRAMES} select (select count(*) from documents) as total_files, count(*) as total_chunks, count(distinct doc_id) as files_chunked, (select count(*) from documents) - count(distinct doc_id) as files_skipped from frames")
+def chunk_counts(spark, sf_dir):
+    return chunks.chunk_counts(_doc_files(spark, sf_dir), SMALL)
+
+
+@query(f"with {_FRAMES} select doc_id, count(*) as total_chunks, max(end_line) as lines from frames group by 1")
+def chunk_summary(spark, sf_dir):
+    return chunks.build_chunks(_doc_files(spark, sf_dir), SMALL, ("doc_id",)).drop("content").groupBy("doc_id").agg(F.count("*").alias("total_chunks"), long(F.max("end_line")).alias("lines"))
+
+
+@query("select 'public/f' || o_orderkey || '.html' as path, 1::bigint as start_line, 5::bigint as end_line from orders where o_orderkey % 12 = 5")
+def context_window_hits(spark, sf_dir):
+    files = code_files(spark, sf_dir).withColumn("f", rules.dom_flow(F.col("content"))).where("f is not null")
+    return files.select("path", long("f.start_line").alias("start_line"), long("f.end_line").alias("end_line"))
+
+
+def _rule(spark, sf_dir, kind):
+    found = rules.analyze_chunks(chunks.build_chunks(code_files(spark, sf_dir)))
+    return found.where(F.col("type") == kind).select("path", "severity", "confidence", long("start_line").alias("start_line"), long("end_line").alias("end_line"))
+
+
+@query(f"{CORPUS} select path, 'high' as severity, 'medium' as confidence, 1::bigint as start_line, len(string_split(content, chr(10)))::bigint as end_line from code_files where path like 'public/%'")
+def rule_dom_xss(spark, sf_dir):
+    return _rule(spark, sf_dir, "DOM XSS")
+
+
+@query(f"{CORPUS} select path, 'high' as severity, 'medium' as confidence, 1::bigint as start_line, len(string_split(content, chr(10)))::bigint as end_line from code_files where contains(content, 'eval(')")
+def rule_eval(spark, sf_dir):
+    return _rule(spark, sf_dir, "Unsafe eval")
+
+
+@query(f"{CORPUS} select path, 'critical' as severity, 'low' as confidence, 1::bigint as start_line, len(string_split(content, chr(10)))::bigint as end_line from code_files where contains(content, 'child_process.exec') or contains(content, 'require(''child_process'').exec')")
+def rule_cmd_exec(spark, sf_dir):
+    return _rule(spark, sf_dir, "Command Injection")
+
+
+@query(f"""{CORPUS}, hits as (select path, content, unnest([case when path like 'public/%' then 'DOM XSS' end, case when contains(content, 'eval(') then 'Unsafe eval' end, case when contains(content, 'child_process.exec') then 'Command Injection' end]) as type from code_files)
+select path, type, left(sha256(concat_ws('|', path, '0', type, '1', len(string_split(content, chr(10))), case type when 'DOM XSS' then 'external input may reach an HTML sink' when 'Unsafe eval' then 'eval runs text as code' else 'input may become part of a command' end, left(content, 50), '0', sha256(content))), 12) as id from hits where type is not null""")
+def finding_ids(spark, sf_dir):
+    return rules.analyze_chunks(chunks.build_chunks(code_files(spark, sf_dir))).select("path", "type", "id")
+
+
+_SCORE = " + ".join(f"(case when contains(lower(path), '{k.lower()}') then 2 else 0 end) + (case when contains(lower(content), '{k.lower()}') then 1 else 0 end)" for k in relevance.KEYWORDS)
+
+
+@query(f"{CORPUS} select path, ({_SCORE})::bigint as score from code_files where ({_SCORE}) > 0 order by score desc, path limit 20")
+def relevance_top20(spark, sf_dir):
+    return relevance.most_relevant(code_files(spark, sf_dir)).select("path", long("score").alias("score"))
+
+
+@query(f"{CORPUS} select folder, path, score from (select *, row_number() over (partition by folder order by score desc, path) as n from (select regexp_extract(path, '^(.*)/', 1) as folder, path, ({_SCORE})::bigint as score from code_files) where score > 0) where n <= 20")
+def relevance_top20_per_dir(spark, sf_dir):
+    files = code_files(spark, sf_dir).withColumn("folder", F.regexp_extract("path", "^(.*)/", 1))
+    return relevance.most_relevant(files, by=("folder",)).select("folder", "path", long("score").alias("score"))
+
+
+@query(f"{CORPUS} select distinct '../utils/sessionUtils' as dependency from code_files where regexp_matches(content, '(requireAuth|checkSession)[^\\n]*sessionUtils|sessionUtils[^\\n]*(requireAuth|checkSession)') and not exists (select 1 from code_files where contains(lower(path), 'sessionutils'))")
+def missing_dependencies(spark, sf_dir):
+    return relevance.missing_dependencies(code_files(spark, sf_dir))
+
+
+@query(f"{CORPUS}, p as (select path, regexp_extract(path, '^(.*)/', 1) as folder from code_files where path like 'src/auth/%'), flags as (select folder, bool_or(regexp_matches(content, '(?i)(sessionStorage|localStorage)\\.getItem\\s*\\(|document\\.cookie')) and bool_or(regexp_matches(content, '(?i)userType|role|isAdmin')) and bool_or(regexp_matches(content, '(?i)ADMIN|NAFAL')) as evidence from (select distinct folder from p) join code_files on starts_with(path, folder) group by folder) select path, evidence from p join flags using (folder)")
+def storage_evidence(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    return relevance.storage_evidence(files.where("path like 'src/auth/%'"), files)
+
+
+@query(f"{CORPUS}, l as (select path, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as n from code_files), e as (select path, n, 'on' || regexp_extract(line, 'on(Click|Submit|Change)\\s*=\\s*\\{{\\s*([A-Za-z_]\\w*)\\s*\\}}', 1) as ui_event, regexp_extract(line, 'on(Click|Submit|Change)\\s*=\\s*\\{{\\s*([A-Za-z_]\\w*)\\s*\\}}', 2) as what from l where regexp_matches(line, 'on(Click|Submit|Change)\\s*=\\s*\\{{') union all select path, n, 'disabled', trim(regexp_extract(line, 'disabled\\s*=\\s*\\{{([^}}]+)\\}}', 1)) from l where regexp_matches(line, 'disabled\\s*=\\s*\\{{')) select path, n::bigint as line, ui_event, what from e")
+def ui_handlers(spark, sf_dir):
+    return candidates.ui_handlers(code_files(spark, sf_dir)).select("path", long("line").alias("line"), "ui_event", F.coalesce("handler_name", "disabled_expression").alias("what"))
+
+
+@query()
+def api_candidates(spark, sf_dir):
+    rows = candidates.call_candidates(code_files(spark, sf_dir))
+    return rows.withColumns({"parameters": F.array_join("parameters", ","), "notes": F.array_join("notes", ";")})
+
+
+# What calls the corpus holds, told from its templates.
+@query("""with k as (select o_orderkey as n, lower(o_orderstatus) as s from orders), c as (
+  select 'axios.post' as sink, 'POST' as method, '/api/orders/{orderId}/payment/' || s as endpoint, 'amount,orderId,usePoints' as parameters, n from k where n % 12 = 0
+  union all select 'fetch', 'POST', '/api/cart/' || n || '/items', 'JSON,accept,productId,quantity', n from k where n % 12 = 1
+  union all select 'apiClient.get', 'GET', '{API_BASE}/users/{userId}/orders?limit=10', 'limit', n from k where n % 12 = 8
+  union all select unnest(['apiClient.request', 'request']), 'PUT', '/v1/users/' || n || '/status', 'payload', n from k where n % 12 = 8
+  union all select 'request', 'UNKNOWN', 'UNKNOWN', '', n from k where n % 12 = 8
+  union all select 'axios.get', 'GET', '/api/profile/' || n, 'page', n from k where n % 12 = 8
+  union all select '$.ajax', 'POST', '/api/reset/' || n, 'form,type', n from k where n % 12 = 9
+  union all select 'axios.delete', 'DELETE', '/api/items/' || n, '', n from k where n % 12 = 11)
+select sink, method, endpoint, parameters, count(*) as calls from c group by all""")
+def api_params(spark, sf_dir):
+    return candidates.api_calls(code_files(spark, sf_dir)).groupBy("sink", "method", "endpoint", F.array_join("parameters", ",").alias("parameters")).agg(F.count("*").alias("calls"))
+
+
+@query("select o_orderkey, case o_orderkey % 5 when 0 then '/api/x/' || o_orderkey when 1 then '{API_BASE}/y' when 2 then '/v1/{id}/z' when 3 then 'UNKNOWN' else '/api/w' end as endpoint from orders")
+def endpoint_normalize(spark, sf_dir):
+    key, kind = F.col("o_orderkey"), F.col("o_orderkey") % 5
+    raw = F.when(kind == 0, F.concat(F.lit("  https://h/api/x/"), key.cast("string"))).when(kind == 1, F.concat(F.lit("$"), F.lit("{API_BASE}/y"))).when(kind == 2, F.concat(F.lit("base + /v1/$"), F.lit("{id}/z"))).when(kind == 3, "some words here").otherwise(F.concat(F.lit("$"), F.lit("{apiBase}/api/w")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", R.endpoint_of(raw)["endpoint"].alias("endpoint"))
+
+
+@query(f"{CORPUS} select path, 'saveOrder' as name, 'payload,total' as parameters, 7::bigint as line from code_files where path like 'src/pay/g%' union all select path, 'handlePay', 'amount,orderId', 2::bigint from code_files where path like 'src/pay/f%'")
+def wrapper_calls(spark, sf_dir):
+    rows = candidates.wrapper_calls(code_files(spark, sf_dir).where("path like 'src/pay/%'"))
+    return rows.select("path", F.regexp_extract("snippet", r"([A-Za-z_]+)\(", 1).alias("name"), F.array_join("parameters", ",").alias("parameters"), long("line").alias("line"))
+
+
+@query("select 'src/pay/f' || o_orderkey || '.js' as path, 'onClick' as ui_event, 'handlePay' as handler, '/api/orders/{orderId}/payment/' || lower(o_orderstatus) as endpoint from orders where o_orderkey % 12 = 0")
+def disabled_ui_semijoin(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    rows = findings.disabled_findings(files, candidates.ui_handlers(files), candidates.api_calls(files))
+    part = lambda n: F.regexp_replace(F.element_at("evidence.data_flow", n), "^[a-z_]+: ", "")
+    return rows.select("path", part(2).alias("ui_event"), part(4).alias("handler"), part(5).alias("endpoint"))
+
+
+@query("""with c as (select case o_orderkey % 12 when 0 then ['Payment/Point Manipulation Candidate'] when 1 then ['Client-side Validation Bypass'] when 8 then ['Generic API Review Candidate', 'Generic API Review Candidate', 'IDOR / Unauthorized Data Access Candidate', 'State/Status Manipulation Candidate', 'State/Status Manipulation Candidate'] when 9 then ['Account Recovery Flow Abuse Candidate'] when 11 then ['Client-side Validation Bypass'] else [] end as t from orders), u as (select unnest(t) as type from c)
+select type, case type when 'Payment/Point Manipulation Candidate' then 'high' when 'State/Status Manipulation Candidate' then 'high' when 'Generic API Review Candidate' then 'low' else 'medium' end as severity, count(*) as n from u group by all""")
+def candidate_classification(spark, sf_dir):
+    kind = R.classify(F.col("method"), F.col("endpoint"), F.col("parameters"))
+    rows = candidates.api_calls(code_files(spark, sf_dir)).withColumn("type", kind)
+    return rows.groupBy("type", R.severity(F.col("type")).alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query("with c as (select unnest(case o_orderkey % 12 when 0 then ['high'] when 1 then ['high'] when 8 then ['high', 'high', 'high', 'low', 'high'] when 9 then ['high'] when 11 then ['medium'] else [] end) as confidence from orders) select confidence, count(*) as n from c group by 1")
+def candidate_confidence(spark, sf_dir):
+    return candidates.api_calls(code_files(spark, sf_dir)).groupBy("confidence").agg(F.count("*").alias("n"))
+
+
+@query(f"{CORPUS} select case when contains(lower(content), 'navigate') and not regexp_matches(lower(content), 'requireauth|axios\\.|fetch\\(') then 'low' else 'high' end as severity, count(*) as files from code_files group by 1")
+def severity_counts(spark, sf_dir):
+    return code_files(spark, sf_dir).groupBy(R.auth_severity(F.col("content")).alias("severity")).agg(F.count("*").alias("files"))
+
+
+@query()
+def findings_dedup(spark, sf_dir):
+    merged = findings.merge_findings(findings.file_findings(code_files(spark, sf_dir)))
+    return merged.select("id", "type", "severity", "confidence", F.array_join("endpoint", ",").alias("endpoint"), long("n_files").alias("n_files"), long("merged").alias("merged"), long(F.size("evidence")).alias("pieces"))
+
+
+@query("select type, count(*) as findings from (select 'DOM XSS' as type, 1 from orders where o_orderkey % 12 = 5 limit 1) group by 1")
+def dom_findings_merge(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    return findings.merge_findings(findings.dom_findings(files).select(*findings.COLUMNS)).groupBy("type").agg(F.count("*").alias("findings"))
+
+
+@query()
+def report_summary(spark, sf_dir):
+    return findings.summary_card(findings.merge_findings(findings.file_findings(code_files(spark, sf_dir))))
+
+
+@query("select o_orderkey, '1' as amount, 'TEST_USER_ID' as user_id, 'TEST_VALUE' as other from orders")
+def payload_template(spark, sf_dir):
+    p = R.test_payload(F.array(F.lit("Amount"), F.lit("userId"), F.concat(F.lit("x"), F.col("o_orderkey").cast("string"))))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", p.alias("p"))
+    return rows.select("o_orderkey", F.element_at("p", "Amount").alias("amount"), F.element_at("p", "userId").alias("user_id"), F.element_at("p", F.concat(F.lit("x"), F.col("o_orderkey").cast("string"))).alias("other"))
+
+
+@query("select o_orderkey % 4 as kind, (o_orderkey % 4) in (1, 3) as risky, count(*) as n from orders group by all")
+def high_risk_flag(spark, sf_dir):
+    kind = F.col("o_orderkey") % 4
+    method = F.when(kind == 1, "DELETE").otherwise("POST")
+    endpoint = F.when(kind == 3, "/api/Refund/1").otherwise("/api/items")
+    return table(spark, sf_dir, "orders").groupBy(kind.alias("kind"), R.high_risk(method, endpoint, F.array(F.lit("amount"))).alias("risky")).agg(F.count("*").alias("n"))
+
+
+@query("select o_orderkey % 5 as kind, (o_orderkey % 5) in (0, 2, 4) as allowed, count(*) as n from orders group by all")
+def poc_safety_filter(spark, sf_dir):
+    kind = F.col("o_orderkey") % 5
+    code = F.when(kind == 0, "fetch('/api/a')").when(kind == 1, "fetch('/api/a', { method: 'POST' })").when(kind == 2, "const CONFIRM_AUTHORIZED_TEST = false; if (!CONFIRM_AUTHORIZED_TEST) throw 1; axios.post('/a')").when(kind == 3, "navigator.sendBeacon('/a')").otherwise("/execute-query")
+    return table(spark, sf_dir, "orders").groupBy(kind.alias("kind"), R.safe_to_show(code).alias("allowed")).agg(F.count("*").alias("n"))
+
+
+@query("select event_id, json_extract(props, '$.k')::bigint as k from events")
+def json_payload_extract(spark, sf_dir):
+    kind, props = F.col("event_id") % 3, F.col("props")
+    text = F.when(kind == 0, props).when(kind == 1, F.concat(F.lit("```json\n"), props, F.lit("\n```"))).otherwise(F.concat(F.lit("Here it is: "), props, F.lit(" as asked")))
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(R.json_object(text), "$.k", "long").alias("k"))
+
+
+@query("""select page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) as hash from pages""")
+def prompt_escape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(escape_html(F.col("html")), 256).alias("hash"))
+
+
+@query("select o_orderkey, 'a,b,c' as joined, 'b' as both, 'a' as left_only from orders")
+def set_ops(spark, sf_dir):
+    a, b = F.array(F.lit("b"), F.lit("a")), F.array(F.lit("c"), F.lit("b"))
+    c = lambda x: F.array_join(F.array_sort(x), ",")
+    return table(spark, sf_dir, "orders").select("o_orderkey", c(F.array_union(a, b)).alias("joined"), c(F.array_intersect(a, b)).alias("both"), c(F.array_except(a, b)).alias("left_only"))
+
+
+@query(f"{CORPUS} select path, 1::bigint as start_line, least(case when path like 'src/auth/%' then 5 else 20 end, len(string_split(content, chr(10))))::bigint as end_line from code_files where path like 'src/auth/%' or path like 'lib/%'")
+def first_hit_snippet(spark, sf_dir):
+    files = code_files(spark, sf_dir).where("path like 'src/auth/%' or path like 'lib/%'")
+    return files.select("path", relevance.first_hit(F.col("content"), relevance.AUTH_KEYS).alias("f")).select("path", long("f.start_line").alias("start_line"), long("f.end_line").alias("end_line"))
+
+
+@query()
+def keyword_snippets_top5(spark, sf_dir):
+    return relevance.keyword_snippets(code_files(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
