@@ -22,6 +22,8 @@ from .common import components, materialise
 BLOCKS = 3
 #: Directions of a block that list decoding goes through, best first.
 DEPTH = 32
+#: Crowded filters up to so many are broadcast; beyond that they are joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
 def codebooks(dim: int, size: int) -> list[np.ndarray]:
@@ -89,7 +91,7 @@ def _meet(ids: np.ndarray, own: np.ndarray, weight: np.ndarray, x: np.ndarray, f
     return gained, [(int(a), int(b)) for a, b in zip(ids[rows], label, strict=True) if a != b]
 
 
-def link_vectors(vectors: DataFrame, threshold: float = 0.98, expected: float = 48.0, least: int = 12, tile: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def link_vectors(vectors: DataFrame, threshold: float = 0.98, expected: float = 16.0, least: int = 8, tile: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Vectors link if their labels are equal and not null and the cosine of found pairs is at least ``threshold``.  Vectors
@@ -97,13 +99,13 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, expected: float =
     n_links 0, component_id their id, kept true (null ids: false).  Vectors of different lengths do not link.  Repeated
     rows link with each other.  Other columns are ignored; an empty table gives no rows.
     """
-    vectors = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
+    vectors = vectors.select(F.col(id_col).cast("long").alias("id"), (F.col(vector_col) if dict(vectors.dtypes)[vector_col] == "array<float>" else F.col(vector_col).cast("array<double>")).alias("v"), F.col(label_col).alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = materialise(vectors.withColumn("v", F.when(usable, F.col("v"))), "vectors")
     classes = materialise(rows.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "classes")
     n = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    size = min(256, max(8, math.ceil(n ** (1 / BLOCKS))))
+    size = min(256, max(7, math.ceil((n / 16) ** (1 / BLOCKS))))  # a filter then has about 16 times ``expected`` vectors of a label
 
     def filters(batches):
         for batch in batches:
@@ -116,15 +118,19 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, expected: float =
                     x /= np.abs(x).max(axis=1, keepdims=True)
                     for k, f in zip(at, decode(x / np.linalg.norm(x, axis=1, keepdims=True), size, expected, least), strict=True):
                         found[k] = f
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(found, pa.list_(pa.int64()))], names=["id", "v", "label", "weight", "filters"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(found, pa.list_(pa.int32()))], names=["id", "v", "label", "weight", "filters"])
 
     kind = dict(classes.dtypes)["label"]
-    decoded = materialise(classes.select("id", "v", "label", "weight").mapInArrow(filters, f"id long, v array<double>, label {kind}, weight long, filters array<long>"), "filters")
+    decoded = materialise(classes.select("id", "v", "label", "weight").mapInArrow(filters, f"id long, v {dict(classes.dtypes)['v']}, label {kind}, weight long, filters array<int>"), "filters")
     bucket = F.xxhash64("label", F.size("v"), "filter")
-    keys = decoded.select("id", "label", "v", F.explode("filters").alias("filter")).select("id", "filter", bucket.alias("bucket"))
-    crowd = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    dealt = decoded.withColumn("filter", F.explode("filters")).withColumn("bucket", bucket).join(crowd, "bucket")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    keys = decoded.select("label", "v", F.explode("filters").alias("filter")).select(bucket.alias("bucket"))
+    crowd = materialise(keys.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("bucket", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "crowd")
+    n_crowd = crowd.count()
+    dealt = decoded.withColumn("filter", F.explode("filters")).withColumn("bucket", bucket)
+    if n_crowd:
+        dealt = dealt.join(F.broadcast(crowd) if n_crowd <= MOST_BROADCAST else crowd, "bucket", "left")
+    tiles = F.coalesce("tiles", F.lit(1)) if n_crowd else F.lit(1)
+    dealt = dealt.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"), (F.col("own") != F.col("other")).alias("cross"), "own", "filter", "id", "weight", "v", "filters")
     # a tile's meetings with other tiles hold its rows and theirs; only pairs across count there
     dealt = dealt.repartition("meeting").sortWithinPartitions("meeting", "id")
