@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftmill.config import EngineConfig
 from siftmill.functions import requests as R
 from siftmill.functions.text import escape_html, extension, split_lines
-from siftmill.operators import candidates, chunks, filters, findings, relevance, rules
+from siftmill.operators import blocks, candidates, chunks, filters, findings, relevance, reviewers, rules
 from siftmill.sources.archives import escapes_base
 from siftmill.sources.corpus import CODE_FILES_SQL, code_files
 
@@ -329,6 +329,33 @@ def keyword_snippets_top5(spark, sf_dir):
     return relevance.keyword_snippets(code_files(spark, sf_dir))
 
 
+@query("select 'src/pay/f' || o_orderkey || '.js' as path, 'handlePay' as name, 2::bigint as start_line, 6::bigint as end_line from orders where o_orderkey % 12 = 0")
+def function_blocks(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    rows = blocks.function_blocks(files, candidates.api_calls(files)).where("name is not null")
+    return rows.select("path", "name", long("start_line").alias("start_line"), long("end_line").alias("end_line"))
+
+
+@query("select 'src/pay/f' || o_orderkey || '.js' as path, 3::bigint as line, 'amount' as watch from orders where o_orderkey % 12 = 0")
+def validation_breakpoints(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    rows = blocks.guard_breakpoints(files, candidates.api_calls(files).where("path like 'src/pay/%'"))
+    return rows.select("path", long("line").alias("line"), F.array_join("watch", ",").alias("watch"))
+
+
+@query("select 'src/auth/f' || o_orderkey || '.js' as path, 2::bigint as start_line, 8::bigint as end_line from orders where o_orderkey % 12 = 2")
+def auth_branch_snippet(spark, sf_dir):
+    rows = blocks.role_branches(code_files(spark, sf_dir).where("path like 'src/auth/%'"))
+    return rows.select("path", long("start_line").alias("start_line"), long("end_line").alias("end_line"))
+
+
+@query("select event_id, case event_id % 3 when 0 then 'accepted' else 'validation' end as stage from events")
+def llm_item_validation(spark, sf_dir):
+    item = F.concat(F.lit('{"findings": [{"title": "t", "vulnerability_type": "v", "severity": "'), F.when(F.col("event_id") % 3 == 1, "worst").otherwise("low"), F.lit('", "confidence": "low", "evidence": ['), F.when(F.col("event_id") % 3 == 2, "").otherwise(F.col("props")), F.lit('], "attack_scenario": ["s"], "impact": "i", "root_cause": "r", "remediation": "m"}]}'))
+    rows = reviewers.items(table(spark, sf_dir, "events").select("event_id", item.alias("answer")), ("event_id",))
+    return rows.select("event_id", F.coalesce("drop_stage", F.lit("accepted")).alias("stage"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
