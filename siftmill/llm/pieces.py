@@ -2,8 +2,9 @@
 
 A text's pieces form a lattice.  Forward Viterbi scores, the best from the start to each place, are exact heuristics for a
 backward A-star search, which therefore takes the N best segmentations off its agenda in order.  No piece crosses the
-place before a run of white space, nor a line end or tab, so the lattice is searched part by part and the parts' N-best
-lists are merged; parts seen before are looked up.
+place before a run of white space, a line end or tab, or the place between marks and letters, so the lattice falls into
+parts.  A part's best and second best score are looked up; only the few parts of a text whose second choices cost least
+are searched, and their N-best lists merged.
 
 The vocabulary file ranks its pieces by merges and has no probabilities.  A piece's score is that of Zipf's law for its
 rank, -ln(1 + rank); a character without a piece is spelled in byte pieces at -ln(vocabulary size) - 10 in all.
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_PARTS = 200_000
+CACHE_PARTS = 400_000
+CACHE_LISTS = 50_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -49,9 +51,49 @@ class Pieces:
             self.spelling[k] = names[k].encode()
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece goes on over white space")
+        #: Pieces and their beginnings; the latter stand for no id.
+        self.walk = {p[:n]: None for p in self.ids for n in range(1, len(p))} | self.ids
         cuts = "".join(c for c in "\n\t" if not any(c in p and p != c for p in self.ids))
-        #: Parts of a text: white space with what follows it, and single characters that no longer piece holds.
-        self.parts = re.compile(f"[{cuts}]|{SPACE}+[^{SPACE}{cuts}]*|[^{SPACE}{cuts}]+") if cuts else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        marks = {c for p in self.ids for c in p if not c.isalnum() and c != SPACE and c not in cuts}
+        while beside := {c for x in pairs if SPACE not in x for c in x if c in marks and not set(x) <= marks}:
+            marks -= beside
+        marks = "".join(re.escape(c) for c in sorted(marks) if c.isascii())
+        #: Parts of a text: white space with the marks or the other characters behind it, and cut characters.  No piece goes
+        #: from marks to others, over a cut character, or on into white space.
+        self.parts = re.compile(f"[{cuts}]|{SPACE}*[{marks}]+|{SPACE}*[^{SPACE}{marks}{cuts}]+|{SPACE}+")
+
+    def best_two(self, text: str) -> tuple[list[int], float, float]:
+        """Ids and score of the best segmentation, and the score of the second best (minus infinity if there is none)."""
+        n, get, none = len(text), self.walk.get, 0
+        first, second, back = [-math.inf] * (n + 1), [-math.inf] * (n + 1), [(0, ())] * (n + 1)
+        first[0] = 0.0
+        for a in range(n):
+            x, y = first[a], second[a]
+            for b in range(a + 1, n + 1):
+                k = get(text[a:b], none)
+                if k is none:
+                    break
+                if k is None:
+                    continue
+                s = self.scores[k]
+                if x + s > first[b]:
+                    second[b] = max(first[b], y + s)
+                    first[b], back[b] = x + s, (a, (k,))
+                elif x + s > second[b]:
+                    second[b] = x + s
+            if text[a] not in self.ids:
+                s = self.unknown
+                if x + s > first[a + 1]:
+                    second[a + 1] = max(first[a + 1], y + s)
+                    first[a + 1], back[a + 1] = x + s, (a, tuple(self.bytes[c] for c in text[a].encode("utf-8", "replace")))
+                elif x + s > second[a + 1]:
+                    second[a + 1] = x + s
+        ids: list[int] = []
+        while n:
+            n, own = back[n]
+            ids[:0] = own
+        return ids, first[-1], second[-1]
 
     def edges(self, text: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each place of a text the edges that end there: where they begin, their ids and score."""
@@ -95,12 +137,23 @@ class Encoder:
 
     def __init__(self, path: str, n: int):
         self.pieces, self.n = Pieces(path), n
-        self.known: dict[str, tuple[bytes, float, float, list]] = {}
-
-    def part(self, text: str) -> tuple[bytes, float, float, list]:
-        """Best ids as bytes, best score, how much worse the second is, and all of the list."""
-        got = [(s, struct.pack(f"<{len(ids)}I", *ids)) for s, ids in n_best(self.pieces, text, self.n)]
-        return got[0][1], got[0][0], got[0][0] - got[1][0] if len(got) > 1 else math.inf, got
+        self.known: dict[str, tuple[bytes, float, float]] = {}
+        self.lists: dict[str, list[tuple[float, bytes]]] = {}
+
+    def part(self, text: str) -> tuple[bytes, float, float]:
+        """Best ids as bytes, their score, and how much worse the second best is."""
+        ids, best, second = self.pieces.best_two(text)
+        return struct.pack(f"<{len(ids)}I", *ids), best, best - second
+
+    def list_of(self, text: str) -> list[tuple[float, bytes]]:
+        """The n best segmentations of a part, the one that ``part`` gives first."""
+        if (got := self.lists.get(text)) is None:
+            if len(self.lists) > CACHE_LISTS:
+                self.lists.clear()
+            best, total, _ = self.known[text]
+            found = [(s, struct.pack(f"<{len(ids)}I", *ids)) for s, ids in n_best(self.pieces, text, self.n)]
+            got = self.lists[text] = [(total, best), *(x for x in found if x[1] != best)][: self.n]
+        return got
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """Scores and ids (little-endian unsigned 32 bits) of the n best segmentations of a text; an empty text has one, without ids."""
@@ -120,16 +173,17 @@ class Encoder:
         least = np.argsort(costs, kind="stable") if len(costs) < 64 else np.sort(np.argpartition(costs, self.n)[: self.n])
         near = sorted((float(costs[k]), int(k)) for k in least if costs[k] < math.inf)[: self.n - 1]
         agenda = [(near[0][0], ((0, 1),))] if near else []
-        cost = lambda i, c: rows[near[i][1]][1] - rows[near[i][1]][3][c][0]
+        lists = [self.list_of(parts[k]) for _, k in near]
+        cost = lambda i, c: lists[i][0][0] - lists[i][c][0]
         while agenda and len(out) < self.n:
             worse, choice = heapq.heappop(agenda)
             own = base.copy()
             for i, c in choice:
-                own[near[i][1]] = rows[near[i][1]][3][c][1]
+                own[near[i][1]] = lists[i][c][1]
             out.append((total - worse, b"".join(own)))
             i, c = choice[-1]
             rest = choice[:-1]
-            if c + 1 < len(rows[near[i][1]][3]):
+            if c + 1 < len(lists[i]):
                 heapq.heappush(agenda, (worse - cost(i, c) + cost(i, c + 1), (*rest, (i, c + 1))))
             if i + 1 < len(near):
                 heapq.heappush(agenda, (worse + cost(i + 1, 1), (*choice, (i + 1, 1))))
