@@ -3,7 +3,8 @@
 Suffixes are sorted by difference covers, but only where they can repeat.  Each window chooses a place by what stands in it
 (``anchors``), so equal windows, wherever they stand, choose equal places and meet under one name; the rest never meets.
 Windows that choose the same place form a context.  Contexts that occur more than once are repeats as a whole.  The others
-of a name go to one task, which sorts the suffixes of many names' contexts at once and compares adjacent prefixes.
+of a name go to one task, which sorts the suffixes of many names' contexts at once and compares adjacent prefixes.  Names with
+too many contexts for that are split by ranges of the distance from a window's start to its place (``crowded_spans``).
 
 Bitmaps of fixed size drop most rows before they are shuffled.  They only ever let too much through, which later steps sort
 out, so results do not depend on their size.
@@ -22,8 +23,10 @@ from .common import materialise
 from .suffixes import repeated
 
 BITMAP_BITS = 25
-#: Contexts of one name that are sorted in memory; those of names with more meet by their windows' hashes.
+#: Contexts of one name that are sorted in memory; those of names with more meet by ranges of their windows.
 GROUP = 2_500
+#: Parts into which a range is cut.
+FAN = 4
 #: Bytes of contexts that are sorted at once.
 POOL = 1 << 19
 
@@ -59,6 +62,45 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def crowded_spans(rows: DataFrame, window: int) -> list[DataFrame]:
+    """Tables of spans (k, start, length) of repeated windows among the contexts (k, start, place, bytes) of crowded names.
+
+    Equal windows begin equally far before their chosen places.  For a range of such distances, contexts that share a
+    window agree in the bytes common to all windows of the range, and contexts that agree in all bytes of these windows
+    repeat each other throughout it.  The first go on in smaller ranges, and of the second one of each kind, for the rest to
+    meet.  Every exchange is by a hash of bytes, so a name is spread over all tasks, and a round has few rows a context.
+    """
+
+    def split(batches):
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for n, (place, raw, low, high) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)):
+                nearest, farthest, step = place - (len(raw) - window), place, -(-(high - low + 1) // FAN)
+                for a in range(low, high + 1, step):
+                    b = min(a + step - 1, high)
+                    if b >= nearest and a <= farthest:
+                        core = _signed(digest(raw[place - a : place + window - b], a))
+                        full = _signed(digest(raw[place - b : place + window - a], a)) if nearest <= a and b <= farthest else None
+                        for column, x in zip(out, (n, a, b, core, full), strict=True):
+                            column.append(x)
+            at = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(4)), *(pa.array(x, pa.int32()) for x in out[1:3]), *(pa.array(x, pa.int64()) for x in out[3:])], names=["k", "start", "place", "bytes", "low", "high", "core", "full"])
+
+    spans = []
+    width = window - NAME + 1
+    rows = rows.select("k", "start", "place", "bytes", F.lit(0).alias("low"), F.lit(width - 1).alias("high"))
+    while width > 1 and not rows.isEmpty():
+        nodes = materialise(rows.mapInArrow(split, "k long, start int, place int, bytes binary, low int, high int, core long, full long"), "ranges")
+        shared = nodes.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")
+        equal = nodes.where("full is not null").groupBy("full").agg(F.count("*").alias("n"), F.min(F.struct("k", "start")).alias("one")).where("n > 1")
+        alive = materialise(nodes.join(shared, "core", "left_semi").join(equal, "full", "left"), "alive")
+        spans.append(alive.where("n is not null").select("k", (F.col("start") + F.col("place") - F.col("high")).cast("long").alias("start"), (F.col("high") - F.col("low") + window).cast("long").alias("length")))
+        rows = alive.where("high > low and (n is null or (one.k = k and one.start = start))").select("k", "start", "place", "bytes", "low", "high")
+        width = -(-width // FAN)
+    return spans
+
+
 def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
     """Spans of repeated windows of the rows (k long, text string): k, and spans as an array of start << 32 | length."""
     spark = keyed.sparkSession
@@ -89,7 +131,7 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
     c = materialise(keyed.mapInArrow(contexts, "k long, name long, context long, start int, length int"), "contexts")
     g = materialise(c.groupBy("name", "context").agg(F.count("*").alias("n"), F.min(F.struct("k", "start")).alias("one")), "classes")
     whole = c.join(g.where("n > 1").select("name", "context"), ["name", "context"]).select("k", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"))
-    mixed_names = g.groupBy("name").agg(F.count("*").alias("classes"), F.count_if(F.col("n") == 1).alias("single")).where("classes > 1 and single > 0").select("name")
+    mixed_names = materialise(g.groupBy("name").agg(F.count("*").alias("classes"), F.count_if(F.col("n") == 1).alias("single")).where("classes > 1 and single > 0").select("name", "classes"), "names")
 
     def mixing(batches):
         for batch in batches:
@@ -97,40 +139,25 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
 
     asked = g.join(mixed_names, "name").select("one.k", "one.start").mapInArrow(mixing, "at long")
     by_place = spark.sparkContext.broadcast(bitmap(asked, "at"))
+    by_crowd = spark.sparkContext.broadcast(bitmap(mixed_names.where(F.col("classes") > group), "name"))
 
     def texts(batches):
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
             for k, raw in zip(batch.column(0).to_pylist(), _raw(batch, 1), strict=True):
                 place, first, last = chosen(raw, window)
                 at = np.flatnonzero(in_bitmap(by_place.value, mixed(np.full(len(first), k, dtype=np.int64), first))) if len(first) else []
                 for p, a, b in zip(place[at].tolist(), first[at].tolist(), last[at].tolist(), strict=True) if len(at) else ():
-                    for column, x in zip(out, (_signed(digest(raw[p : p + NAME])), k, a, raw[a : b + window]), strict=True):
+                    for column, x in zip(out, (_signed(digest(raw[p : p + NAME])), k, a, p - a, raw[a : b + window]), strict=True):
                         column.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["name", "k", "start", "bytes"])
+                crowded = in_bitmap(by_crowd.value, np.asarray(out[0], dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary()), pa.array(crowded)], names=["name", "k", "start", "place", "bytes", "crowded"])
 
     def compare(batches):
-        digest = xxhash.xxh3_64_intdigest
-        last, rows, pool, crowd = None, [], [], False
-        out: tuple[list, list, list, list] = ([], [], [], [])
-
-        def hashes():
-            sizes = [len(x[2]) - window + 1 for x in rows]
-            values = np.fromiter((digest(raw[i : i + window]) for (_, _, raw), n in zip(rows, sizes, strict=True) for i in range(n)), dtype=np.uint64, count=sum(sizes))
-            ks = np.repeat(np.asarray([x[0] for x in rows], dtype=np.int64), sizes)
-            before = np.repeat(np.cumsum(sizes) - sizes, sizes)
-            return values, ks, np.repeat(np.asarray([x[1] for x in rows], dtype=np.int64), sizes) + np.arange(len(values)) - before
-
-        def add(*columns: list):
-            for column, x in zip(out, columns, strict=True):
-                column.extend(x)
-
-        def hand_on():
-            """The windows of a name with too many contexts, by their hashes."""
-            values, ks, starts = hashes()
-            add(ks.tolist(), starts.tolist(), [window] * len(ks), values.view(np.int64).tolist())
+        last, rows, pool = None, [], []
+        out: tuple[list, list, list] = ([], [], [])
 
         def sort():
             """Sort the suffixes of the pool; runs of neighbouring windows become one span."""
@@ -138,20 +165,19 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
                 if len(hit):
                     cut = np.flatnonzero(np.diff(hit) != 1) + 1
                     a, b = hit[np.concatenate([[0], cut])], hit[np.concatenate([cut, [len(hit)]]) - 1]
-                    add([k] * len(a), (a + start).tolist(), (b - a + window).tolist(), [None] * len(a))
+                    for column, x in zip(out, ([k] * len(a), (a + start).tolist(), (b - a + window).tolist()), strict=True):
+                        column.extend(x)
             pool.clear()
 
         def close():
             """The rows of a name are complete."""
-            if crowd:
-                hand_on()
-            elif len(rows) > 1:
+            if len(rows) > 1:
                 pool.extend(rows)
                 if sum(len(x[2]) for x in pool) > POOL:
                     sort()
 
         def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["k", "start", "length", "hash"])
+            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["k", "start", "length"])
             for column in out:
                 column.clear()
             return batch
@@ -160,22 +186,18 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
             for name, k, start, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if name != last:
                     close()
-                    last, rows, crowd = name, [], False
-                elif len(rows) >= group:
-                    hand_on()
-                    rows, crowd = [], True
-                    yield flush()
+                    last, rows = name, []
                 rows.append((k, start, raw))
             yield flush()
         close()
         sort()
         yield flush()
 
-    dealt = keyed.mapInArrow(texts, "name long, k long, start int, bytes binary").repartition("name").sortWithinPartitions("name")
-    found = materialise(dealt.mapInArrow(compare, "k long, start long, length long, hash long"), "windows")
-    crowded = found.where("hash is not null")
-    again = crowded.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    spans = whole.union(found.where("hash is null").drop("hash")).union(crowded.join(again, "hash").select("k", "start", "length"))
+    asked_texts = materialise(keyed.mapInArrow(texts, "name long, k long, start int, place int, bytes binary, crowded boolean"), "texts")
+    dealt = asked_texts.where("not crowded").select("name", "k", "start", "bytes").repartition("name").sortWithinPartitions("name")
+    spans = whole.union(dealt.mapInArrow(compare, "k long, start long, length long"))
+    for more in crowded_spans(asked_texts.where("crowded"), window):
+        spans = spans.union(more)
     return spans.groupBy("k").agg(F.collect_list(F.shiftleft(F.col("start"), 32).bitwiseOR(F.col("length"))).alias("spans"))
 
 
