@@ -42,7 +42,7 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
 
 
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys.astype(np.int64).view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+    place = keys.astype(np.int64).view(np.uint64) >> np.uint64(64 - (len(bits) * 64).bit_length() + 1)
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
@@ -137,15 +137,19 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(mixed(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)))], names=["at"])
 
-    asked = g.join(mixed_names, "name").select("one.k", "one.start").mapInArrow(mixing, "at long")
-    by_place = spark.sparkContext.broadcast(bitmap(asked, "at"))
+    asked = materialise(g.join(mixed_names, "name").select("one.k", "one.start"), "asked")
+    by_place = spark.sparkContext.broadcast(bitmap(asked.mapInArrow(mixing, "at long"), "at"))
     by_crowd = spark.sparkContext.broadcast(bitmap(mixed_names.where(F.col("classes") > group), "name"))
 
     def texts(batches):
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+            seen = set()
             for k, raw in zip(batch.column(0).to_pylist(), _raw(batch, 1), strict=True):
+                if k in seen:  # a repeated row
+                    continue
+                seen.add(k)
                 place, first, last = chosen(raw, window)
                 at = np.flatnonzero(in_bitmap(by_place.value, mixed(np.full(len(first), k, dtype=np.int64), first))) if len(first) else []
                 for p, a, b in zip(place[at].tolist(), first[at].tolist(), last[at].tolist(), strict=True) if len(at) else ():
@@ -193,12 +197,14 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
         sort()
         yield flush()
 
-    asked_texts = materialise(keyed.mapInArrow(texts, "name long, k long, start int, place int, bytes binary, crowded boolean"), "texts")
+    # The bitmap lets further copies through, and repeated rows share k: one row a context goes on.
+    found = keyed.mapInArrow(texts, "name long, k long, start int, place int, bytes binary, crowded boolean")
+    asked_texts = materialise(found.join(asked, ["k", "start"], "left_semi").dropDuplicates(["k", "start"]), "texts")
     dealt = asked_texts.where("not crowded").select("name", "k", "start", "bytes").repartition("name").sortWithinPartitions("name")
     spans = whole.union(dealt.mapInArrow(compare, "k long, start long, length long"))
     for more in crowded_spans(asked_texts.where("crowded"), window):
         spans = spans.union(more)
-    return spans.groupBy("k").agg(F.collect_list(F.shiftleft(F.col("start"), 32).bitwiseOR(F.col("length"))).alias("spans"))
+    return spans.groupBy("k").agg(F.collect_set(F.shiftleft(F.col("start"), 32).bitwiseOR(F.col("length"))).alias("spans"))
 
 
 def merged(spans: list[int] | None) -> list[tuple[int, int]]:

@@ -227,6 +227,35 @@ def test_repeated_passages(spark, group):
     assert sorted(((r.doc_id, sum(x.end - x.start for x in r.runs), bytes(r.kept)) for r in got), key=key) == sorted(((i, n, k) for (i, _), (n, k) in zip(rows, want, strict=True)), key=key)
 
 
+def test_repeated_rows_and_one_near_copy(spark):
+    """One row of a context is compared, however often the row is there, and a span counts once."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    near = text[:350] + "#" + text[351:]
+    few = [(1, text), (1, text), (2, near), (None, text[::-1]), (None, text[::-1]), (3, near[::-1])]
+    want = {i: kept for (i, _), (_, kept) in zip(few, plain_repeats([t.encode() for _, t in few], 200), strict=True)}
+    rows = [(1, text)] * 10_000 + [(2, near)] + [(None, text[::-1])] * 10_000 + [(3, near[::-1])]
+    got = repeats.cut_repeats(spark.createDataFrame(rows, DOCS)).groupBy("doc_id", "kept").count().collect()
+    assert {r.doc_id: bytes(r.kept) for r in got} == want and sorted(r["count"] for r in got) == [1, 1, 10_000, 10_000]
+    spans = repeats.spans_of(spark.createDataFrame([(1, text)] * 50, "k long, text string"), 200).first().spans
+    assert len(spans) == len(set(spans))
+
+
+def test_many_copies_with_one_variant(spark, monkeypatch):
+    """Copies that a full bitmap lets through are not compared."""
+    rng = random.Random(10)
+    passage = "".join(rng.choice("ijklmnop ") for _ in range(420))
+    variant = passage[:210] + "#" + passage[211:]
+    sides = {k: (f"{k:06} ", f" {k:06}") for k in range(10, 10_010)}
+    ends = collections.Counter(a[n:] for a, _ in sides.values() for n in range(8))
+    begins = collections.Counter(b[:n] for _, b in sides.values() for n in range(8))
+    rows = [(k, a + passage + b) for k, (a, b) in sides.items()] + [(4, variant)]
+    want = {k: a[: next(n for n in range(8) if ends[a[n:]] > 1)] + b[next(n for n in range(7, -1, -1) if begins[b[:n]] > 1) :] for k, (a, b) in sides.items()} | {4: "#"}
+    monkeypatch.setattr(repeats, "BITMAP_BITS", 6)
+    got = repeats.cut_repeats(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: bytes(r.kept).decode() for r in got} == want
+
+
 def test_repeats_keep_characters(spark):
     shared = "é" * 150
     rows = [(1, "x" + shared + "a"), (2, "yy" + shared + "b")]
