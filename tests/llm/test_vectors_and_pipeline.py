@@ -138,6 +138,36 @@ def test_pipeline_is_the_plain_one(spark, tmp_path):
     assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == plain_pipeline(DOCS)
 
 
+def test_near_dedup_by_similarity_of_five_words(spark, tmp_path):
+    """Against all pairs at similarity 0.8; short variants, chains, and texts with one repeated shingle."""
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    texts = []
+    for _ in range(12):
+        root = words(100)
+        texts.append(" ".join(root))
+        for n in (1, 1, 2, 4, 5, 6):
+            copy = list(root)
+            for k in rng.choice(100, n, replace=False):
+                copy[k] = "changed" + str(rng.integers(0, 10**6))
+            texts.append(" ".join(copy))
+    texts += [" ".join(["same"] * 400 + words(30)) for _ in range(4)] + ["", "one", "one", "One two"]
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))})
+    part = list(range(len(texts)))
+    root = lambda x: x if part[x] == x else root(part[x])
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                part[y] = x
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got) == sorted({root(k) for k in part})
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     rows = [(i, t, lang, "s", len(t or ""), 1, "x") for i, t, lang in DOCS]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept int, base string")
