@@ -2,7 +2,7 @@
 
 The coordinates are cut into blocks and each block has a codebook of random directions; every choice of one direction a
 block is a filter (a random product code).  A vector is list-decoded to all filters whose direction it exceeds by the cap's
-threshold, and to its best few in any case.  Vectors that share a filter, a label and a dimension meet and are verified in
+threshold, and to its best few in any case: as many as random pairs at the cosine's threshold need to meet (``measured``).  Vectors that share a filter, a label and a dimension meet and are verified in
 double precision.  A linked pair counts at the smallest filter that both have.  Equal vectors are one class throughout, and
 crowded filters are cut into tiles of which every two meet.
 """
@@ -22,6 +22,9 @@ from .common import components, materialise
 BLOCKS = 3
 #: Directions of a block that list decoding goes through, best first.
 DEPTH = 32
+#: Share of random pairs at the threshold that are to share a filter, and the filters a vector that this may take.
+RECALL = 0.995
+MOST_FILTERS = 64
 #: Crowded filters up to so many are broadcast; beyond that they are joined by a shuffle.
 MOST_BROADCAST = 100_000
 
@@ -36,10 +39,9 @@ def codebooks(dim: int, size: int) -> list[np.ndarray]:
     return out
 
 
-def decode(units: np.ndarray, size: int, expected: float, least: int) -> list[np.ndarray]:
-    """Filters of each unit vector, ascending: those over the threshold that a random vector exceeds ``expected`` times on average, and the ``least`` best."""
+def _sums(units: np.ndarray, size: int):
+    """For each unit vector the sums that list decoding goes through, and their filters."""
     n, dim = units.shape
-    threshold = NormalDist().inv_cdf(max(0.5, 1 - expected / size**BLOCKS)) / math.sqrt(dim) * math.sqrt(BLOCKS)
     parts = np.array_split(np.arange(dim), BLOCKS)
     depth = min(size, DEPTH)
     rank, gain = [], []
@@ -48,17 +50,58 @@ def decode(units: np.ndarray, size: int, expected: float, least: int) -> list[np
         order = np.argsort(-a, axis=1, kind="stable")[:, :depth]
         rank.append(order)
         gain.append(np.take_along_axis(a, order, axis=1))
-    out = []
     for k in range(n):
         total = (gain[0][k][:, None, None] + gain[1][k][None, :, None] + gain[2][k][None, None, :]).reshape(-1)
+        yield total, ((rank[0][k][:, None, None] * size + rank[1][k][None, :, None]) * size + rank[2][k][None, None, :]).reshape(-1)
+
+
+def _best(total: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n largest sums, largest first."""
+    n = min(n, len(total))
+    at = np.sort(np.argpartition(-total, n - 1)[:n])
+    return at[np.argsort(-total[at], kind="stable")]
+
+
+def decode(units: np.ndarray, size: int, expected: float, least: int) -> list[np.ndarray]:
+    """Filters of each unit vector, ascending: those over the threshold that a random vector exceeds ``expected`` times on average, and the ``least`` best."""
+    threshold = NormalDist().inv_cdf(max(0.5, 1 - expected / size**BLOCKS)) / math.sqrt(units.shape[1]) * math.sqrt(BLOCKS)
+    out = []
+    for total, filters in _sums(units, size):
         at = np.flatnonzero(total >= threshold)
         if len(at) < least:
-            at = np.argsort(-total, kind="stable")[:least]
-        i, j, l = np.unravel_index(at, (depth,) * 3)
-        out.append(np.sort((rank[0][k][i] * size + rank[1][k][j]) * size + rank[2][k][l]))
+            at = _best(total, least)
+        out.append(np.sort(filters[at]))
     return out
 
 
+def random_pairs(dim: int, cosine: float, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors at a cosine, in random directions."""
+    rng = np.random.default_rng([dim, n, seed])
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal(x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    return x, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+
+
+def measured(dim: int, size: int, cosine: float) -> tuple[int, int]:
+    """Size of the codebooks and number of best filters a vector, so that of 1,000 random pairs at the cosine RECALL share a filter.
+
+    The size is halved where over MOST_FILTERS filters were needed: in few dimensions large codebooks tell too little apart."""
+    pairs = random_pairs(dim, cosine, 1000, 1) if dim >= BLOCKS else None  # a block without coordinates tells nothing apart
+    while size > 1 and pairs is not None:
+        best = [[f[_best(t, MOST_FILTERS)] for t, f in _sums(x, size)] for x in pairs]
+        needed = []
+        for a, b in zip(*best, strict=True):
+            _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+            needed.append(np.maximum(i, j).min() + 1 if len(i) else MOST_FILTERS + 1)
+        least = int(np.sort(needed)[math.ceil(RECALL * len(needed)) - 1])
+        if least <= MOST_FILTERS:
+            return size, least
+        size //= 2
+    return 1, 1
+
+
 def _meet(ids: np.ndarray, own: np.ndarray, weight: np.ndarray, x: np.ndarray, filters: list[np.ndarray], at: int, cross: bool, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of one meeting: the weight that each row gains, and links that connect what is linked."""
     norm = np.sqrt((x * x).sum(axis=1))
@@ -106,6 +149,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, expected: float =
     classes = materialise(rows.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "classes")
     n = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     size = min(256, max(7, math.ceil((n / 16) ** (1 / BLOCKS))))  # a filter then has about 16 times ``expected`` vectors of a label
+    settings = {r["dim"]: measured(r["dim"], size, threshold) for r in classes.select(F.size("v").alias("dim")).distinct().collect()}
 
     def filters(batches):
         for batch in batches:
@@ -116,7 +160,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, expected: float =
                     at = [k for k, v in enumerate(values) if len(v) == dim]
                     x = np.array([values[k] for k in at], dtype=np.float64)
                     x /= np.abs(x).max(axis=1, keepdims=True)
-                    for k, f in zip(at, decode(x / np.linalg.norm(x, axis=1, keepdims=True), size, expected, least), strict=True):
+                    for k, f in zip(at, decode(x / np.linalg.norm(x, axis=1, keepdims=True), settings[dim][0], expected, max(least, settings[dim][1])), strict=True):
                         found[k] = f
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(found, pa.list_(pa.int32()))], names=["id", "v", "label", "weight", "filters"])
 

@@ -67,6 +67,17 @@ def test_recall_of_random_pairs():
     assert np.mean([bool(b) for b in both]) >= 0.99
 
 
+@pytest.mark.parametrize("dim", [2, 16, 64])
+@pytest.mark.parametrize("size", [64, 128, 256])
+def test_recall_at_each_size(dim, size):
+    """Other pairs than the filters were chosen by share one at every size of the codebooks."""
+    own, least = caps.measured(dim, size, 0.98)
+    x, y = caps.random_pairs(dim, 0.98, 1000, 2)
+    both = [len(np.intersect1d(a, b)) > 0 for a, b in zip(caps.decode(x, own, 16.0, max(8, least)), caps.decode(y, own, 16.0, max(8, least)), strict=True)]
+    print(f"dim {dim} size {size}: codebooks of {own}, at least {max(8, least)} filters, recall {np.mean(both):.4f}")
+    assert np.mean(both) >= 0.99
+
+
 DOCS = [
     (1, "The cats of the house were sleeping and dreaming near the old stove of the kitchen.", "en"),
     (2, "the cats of the house were sleeping and dreaming near the old stove of the kitchen.", "en"),
