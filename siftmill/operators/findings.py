@@ -53,10 +53,15 @@ def disabled_findings(files: DataFrame, handlers: DataFrame, calls: DataFrame) -
     return rows.select("path", F.lit(0).alias("rule"), F.lit(0).alias("ord"), short_hash(F.concat("path", F.lit("d"))).alias("id"), F.lit("Client-side Validation Bypass").alias("type"), F.lit("low").alias("severity"), F.lit("low").alias("confidence"), F.lit("restriction by an attribute of the UI").alias("cause"), own.alias("evidence"), F.col("path").alias("disabled"), texts().alias("notes"))
 
 
+def auth_primaries(files: DataFrame) -> DataFrame:
+    """The files whose content decides by a role in the client."""
+    low = F.lower("content")
+    return files.where(any_of(low, ("usertype", "role", "isadmin")) & F.contains(low, F.lit("admin")) & any_of(low, ("navigate", "requireauth", "관리자 권한")))
+
+
 def auth_findings(files: DataFrame, everything: DataFrame) -> DataFrame:
     """Branches on a role in the client; confidence is medium only with evidence of storage beside them and no missing dependency."""
-    low = F.lower("content")
-    primary = files.where(any_of(low, ("usertype", "role", "isadmin")) & F.contains(low, F.lit("admin")) & any_of(low, ("navigate", "requireauth", "관리자 권한")))
+    primary = auth_primaries(files)
     proof = storage_evidence(primary, everything)
     missing = missing_dependencies(everything).agg((F.count("*") > 0).alias("missing"))
     rows = primary.join(proof, "path", "left").crossJoin(F.broadcast(missing))  # one row

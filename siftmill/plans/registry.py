@@ -192,7 +192,7 @@ def missing_dependencies(spark, sf_dir):
 @query(f"{CORPUS}, p as (select path, regexp_extract(path, '^(.*)/', 1) as folder from code_files where path like 'src/auth/%'), flags as (select folder, bool_or(regexp_matches(content, '(?i)(sessionStorage|localStorage)\\.getItem\\s*\\(|document\\.cookie')) and bool_or(regexp_matches(content, '(?i)userType|role|isAdmin')) and bool_or(regexp_matches(content, '(?i)ADMIN|NAFAL')) as evidence from (select distinct folder from p) join code_files on starts_with(path, folder) group by folder) select path, evidence from p join flags using (folder)")
 def storage_evidence(spark, sf_dir):
     files = code_files(spark, sf_dir)
-    return relevance.storage_evidence(files.where("path like 'src/auth/%'"), files)
+    return relevance.storage_evidence(findings.auth_primaries(files), files)
 
 
 @query(f"{CORPUS}, l as (select path, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as n from code_files), e as (select path, n, 'on' || regexp_extract(line, 'on(Click|Submit|Change)\\s*=\\s*\\{{\\s*([A-Za-z_]\\w*)\\s*\\}}', 1) as ui_event, regexp_extract(line, 'on(Click|Submit|Change)\\s*=\\s*\\{{\\s*([A-Za-z_]\\w*)\\s*\\}}', 2) as what from l where regexp_matches(line, 'on(Click|Submit|Change)\\s*=\\s*\\{{') union all select path, n, 'disabled', trim(regexp_extract(line, 'disabled\\s*=\\s*\\{{([^}}]+)\\}}', 1)) from l where regexp_matches(line, 'disabled\\s*=\\s*\\{{')) select path, n::bigint as line, ui_event, what from e")
@@ -230,7 +230,7 @@ def endpoint_normalize(spark, sf_dir):
 
 @query(f"{CORPUS} select path, 'saveOrder' as name, 'payload,total' as parameters, 7::bigint as line from code_files where path like 'src/pay/g%' union all select path, 'handlePay', 'amount,orderId', 2::bigint from code_files where path like 'src/pay/f%'")
 def wrapper_calls(spark, sf_dir):
-    rows = candidates.wrapper_calls(code_files(spark, sf_dir).where("path like 'src/pay/%'"))
+    rows = candidates.wrapper_calls(code_files(spark, sf_dir))
     return rows.select("path", F.regexp_extract("snippet", r"([A-Za-z_]+)\(", 1).alias("name"), F.array_join("parameters", ",").alias("parameters"), long("line").alias("line"))
 
 
@@ -324,6 +324,13 @@ def first_hit_snippet(spark, sf_dir):
     return files.select("path", relevance.first_hit(F.col("content"), relevance.AUTH_KEYS).alias("f")).select("path", long("f.start_line").alias("start_line"), long("f.end_line").alias("end_line"))
 
 
+@query()
+def first_hit_snippet_all(spark, sf_dir):
+    """first_hit_snippet over every file; the SQL of that query asks for two folders only."""
+    files = code_files(spark, sf_dir).select("path", relevance.first_hit(F.col("content"), relevance.AUTH_KEYS).alias("f"))
+    return files.select("path", long("f.start_line").alias("start_line"), long("f.end_line").alias("end_line"))
+
+
 @query()
 def keyword_snippets_top5(spark, sf_dir):
     return relevance.keyword_snippets(code_files(spark, sf_dir))
@@ -339,7 +346,7 @@ def function_blocks(spark, sf_dir):
 @query("select 'src/pay/f' || o_orderkey || '.js' as path, 3::bigint as line, 'amount' as watch from orders where o_orderkey % 12 = 0")
 def validation_breakpoints(spark, sf_dir):
     files = code_files(spark, sf_dir)
-    rows = blocks.guard_breakpoints(files, candidates.api_calls(files).where("path like 'src/pay/%'"))
+    rows = blocks.guard_breakpoints(files, candidates.api_calls(files))
     return rows.select("path", long("line").alias("line"), F.array_join("watch", ",").alias("watch"))
 
 
@@ -349,6 +356,13 @@ def auth_branch_snippet(spark, sf_dir):
     return rows.select("path", long("start_line").alias("start_line"), long("end_line").alias("end_line"))
 
 
+@query()
+def auth_branch_snippet_all(spark, sf_dir):
+    """auth_branch_snippet over every file; the SQL of that query asks for one folder only."""
+    rows = blocks.role_branches(code_files(spark, sf_dir))
+    return rows.select("path", long("start_line").alias("start_line"), long("end_line").alias("end_line"))
+
+
 @query("select event_id, case event_id % 3 when 0 then 'accepted' else 'validation' end as stage from events")
 def llm_item_validation(spark, sf_dir):
     item = F.concat(F.lit('{"findings": [{"title": "t", "vulnerability_type": "v", "severity": "'), F.when(F.col("event_id") % 3 == 1, "worst").otherwise("low"), F.lit('", "confidence": "low", "evidence": ['), F.when(F.col("event_id") % 3 == 2, "").otherwise(F.col("props")), F.lit('], "attack_scenario": ["s"], "impact": "i", "root_cause": "r", "remediation": "m"}]}'))

@@ -76,3 +76,24 @@ def test_stream(spark, tmp_path):
         watch_archives(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert {(r.path, r.reason_code) for r in spark.read.parquet(str(tmp_path / "out/files")).collect()} == {("x.js", "INCLUDED_SOURCE"), ("dist/y.js", "EXCLUDED_DIR")}
     assert [r.error for r in spark.read.parquet(str(tmp_path / "out/rejected")).collect()] == ["OUTSIDE_BASE"]
+
+
+def test_queries_take_files_of_every_folder(spark, monkeypatch):
+    """The corpus's files in other folders give the same lines; each file gives a snippet."""
+    from siftmill.plans import registry
+    from siftmill.sources.corpus import KINDS
+
+    rows = [(f"web/k{n}.js", "\n".join(lines)) for n, (_, lines) in enumerate(KINDS)]
+    monkeypatch.setattr(registry, "code_files", lambda spark, sf_dir: spark.createDataFrame(rows, "path string, content string"))
+    got = lambda name: sorted(tuple(r) for r in registry.queries()[name](spark, "").collect())
+    assert got("wrapper_calls") == [("web/k0.js", "handlePay", "amount,orderId", 2), ("web/k1.js", "saveOrder", "payload,total", 7)]
+    assert got("validation_breakpoints") == [("web/k0.js", 3, "amount")]
+    assert got("storage_evidence") == [("web/k2.js", True)]
+    keys = [k.lower() for k in registry.relevance.AUTH_KEYS]
+    want = []
+    for path, content in rows:
+        lines = content.split("\n")
+        hit = next((k for k, x in enumerate(lines) if any(w in x.lower() for w in keys)), None)
+        want.append((path, 1, min(20, len(lines))) if hit is None else (path, max(1, hit - 3), min(len(lines), hit + 5)))
+    assert got("first_hit_snippet_all") == sorted(want)
+    assert got("auth_branch_snippet_all") == sorted((p, 2, 8) if p == "web/k2.js" else (p, 1, min(20, c.count("\n") + 1)) for p, c in rows)
