@@ -299,21 +299,69 @@ def test_n_best_is_the_best_of_all():
     own = pieces.Encoder(PIECE, 6)
 
     def everything(text):
-        edges = own.pieces.edges(pieces.SPACE + text.replace(" ", pieces.SPACE))
-        go = lambda at, s: [s] if at == 0 else [x for a, _, w in edges[at] for x in go(a, s + w)]
-        return sorted(go(len(text) + 1, 0.0), reverse=True)[:6]
+        go = lambda at, s: [s] if at == 0 else [x for a, _, w in own.pieces.edges(" " + text, at) for x in go(a, s + w)]
+        return [s / pieces.SCALE for s in sorted(go(len(text) + 1, 0), reverse=True)[:6]]
 
     rng = random.Random(0)
     for _ in range(150):
-        text = "".join(rng.choice(["a", "b", "the", " ", "\n", ".", "é", "\U0001f98a", "in", "\r"]) for _ in range(rng.randint(1, 6)))
-        got = own.encode(text)
-        assert np.allclose([s for s, _ in got], everything(text)) and len({ids for _, ids in got}) == len(got)
+        text = "".join(rng.choice(["a", "b", "the", " ", "\n", ".", "é", "\U0001f98a", "in", "\r", "\u2581"]) for _ in range(rng.randint(1, 6)))
+        got = own.encode([text])[0]
+        assert [s for s, _ in got] == everything(text) and len({ids for _, ids in got}) == len(got)
         assert all(own.decode(ids) == text for _, ids in got)
 
 
+def test_forward_pass_of_many_is_that_of_each():
+    own = pieces.Pieces(PIECE)
+    rng = random.Random(1)
+    for n in (1, 2, 7, 20, 40):
+        texts = ["".join(rng.choice("aaabethinons \u00e9\u4e00\u2581\U0001f98a") for _ in range(n)) for _ in range(60)]
+        assert [(i, a, max(b, pieces.NEVER // 2)) for i, a, b in own.best_two_of(texts)] == [(i, a, max(b, pieces.NEVER // 2)) for i, a, b in map(own.best_two, texts)]
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefghijklmnopqrstuvwxyzABCDEFG0123456789", "\u4e00\u3042\u00e9", "a"])
+def test_unbroken_text_does_not_hang(letters):
+    own = pieces.Encoder(PIECE, 4)
+    rng = random.Random(2)
+    text = "".join(rng.choice(letters) for _ in range(60_000))
+    got = own.encode([text])[0]
+    assert len({ids for _, ids in got}) == len(got) and [s for s, _ in got] == sorted((s for s, _ in got), reverse=True)
+    assert all(own.decode(ids) == text for _, ids in got)
+
+
+def test_n_best_agrees_with_the_library():
+    """The same pieces and scores in the library's own model with probabilities: its n best segmentations have our scores."""
+    import struct
+
+    import sentencepiece
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def field(number, raw):
+        return varint(number << 3 | 2) + varint(len(raw)) + raw
+
+    own = pieces.Encoder(PIECE, 5)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    kinds = lambda k: 2 if model.is_unknown(k) else 3 if model.is_control(k) else 6 if model.is_byte(k) else 1
+    raw = b"".join(field(1, field(1, model.id_to_piece(k).encode()) + b"\x15" + struct.pack("<f", own.pieces.scores[k] / pieces.SCALE) + b"\x18" + bytes([kinds(k)])) for k in range(model.get_piece_size()))
+    raw += field(2, b"\x18\x01\x98\x02\x01")  # a model with a probability for each piece, and byte pieces
+    raw += field(3, field(1, b"identity") + b"\x18\x01\x20\x00\x28\x01")  # a space before the text, none removed, spaces marked
+    library = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    rng = random.Random(3)
+    for _ in range(60):
+        text = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 3)))
+        theirs = [sum(own.pieces.scores[k] for k in ids) / pieces.SCALE for ids in library.nbest_encode_as_ids(text, 5)]
+        ours = own.encode([text])[0]
+        assert np.allclose([s for s, _ in ours[:5]], theirs, atol=1e-3), (text, ours, theirs)
+
+
 def test_pieces_odd_rows(spark):
     got = pieces.round_trip(odd(spark), PIECE).collect()
     assert len(got) == len(ODD) and all(r.same for r in got)
+    assert {r.doc_id for r in got if r.same} == {r.doc_id for r in got}
     assert pieces.segment(odd(spark), PIECE).where("rank = 0").count() == len(ODD) and pieces.round_trip(none(spark), PIECE).count() == 0
 
 
