@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,16 +16,19 @@ def texts(*values: str) -> Column:
     return F.array(*map(F.lit, values)) if values else F.expr("cast(array() as array<string>)")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it; a plain Column would be computed at each place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_lines(text: Column) -> Column:
     """Lines without their ends; an end at the very end of the text adds no line, and an empty text has none."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return bind(F.split(text, LINE_END, -1), lambda parts: F.slice(parts, 1, F.size(parts) - (F.element_at(parts, -1) == "").cast("int")))
 
 
 def lines_or_one(text: Column) -> Column:
     """Lines, and one empty line for an empty text."""
-    lines = split_lines(text)
-    return F.when(F.size(lines) == 0, texts("")).otherwise(lines)
+    return bind(F.split(text, LINE_END, -1), lambda parts: F.slice(parts, 1, F.greatest(F.lit(1), F.size(parts) - (F.element_at(parts, -1) == "").cast("int"))))
 
 
 def strip(text: Column) -> Column:

@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.functions.text import IDENTIFIER, any_of, count_of, indexed, joined, lines_or_one, texts
+from siftmill.functions.text import IDENTIFIER, any_of, bind, count_of, indexed, joined, lines_or_one, texts
 
 REACH = 120
 NO_HEADS = "cast(array() as array<struct<i:int,name:string,depth:int,opened:boolean,end:int>>)"
 # Headers of functions, in the order in which they are tried.
 HEADERS = (rf"\basync\s+function\s+({IDENTIFIER})\s*\(", rf"\bfunction\s+({IDENTIFIER})\s*\(", rf"\bconst\s+({IDENTIFIER})\s*=\s*async\s*\([^)]*\)\s*=>\s*\{{", rf"\bconst\s+({IDENTIFIER})\s*=\s*\([^)]*\)\s*=>\s*\{{")
+# Checked names, sorted, as they come out in this order.
 CHECKED = ("amount", "code", "email", "orderid", "password", "price", "role", "status", "userid", "usertype")
 GUARD = r"if\s*\(.*\)\s*return\b|if\s*\(.*\)\s*\{\s*return;?\s*\}"
 # Marks of code that only shows a role, and the tiers of lines that decide by one.
@@ -68,6 +69,24 @@ def function_blocks(files: DataFrame, calls: DataFrame) -> DataFrame:
     return with_block(rows, "line").select("path", "line", "block.name", "block.start_line", "block.end_line")
 
 
+def all_guards(files: DataFrame) -> DataFrame:
+    """The same lines anywhere in the files, for those without a call: path, line and watch."""
+    rows = files.select("path", F.explode(bind(lines_or_one(F.col("content")), lambda lines: _guards(indexed(lines)))).alias("g"))
+    return rows.select("path", "g.*")
+
+
+def _guards(lines: Column) -> Column:
+    """Of lines (i, line) those that check a value and return early, as structs of line (from 1) and watch."""
+
+    def leaves(low: Column) -> Column:
+        says = F.contains(low, F.lit("return")) & any_of(low, ("alert(", "throw new error", "seterror"))
+        return any_of(low, CHECKED) & (low.rlike(GUARD) | says)
+
+    watch = lambda low: F.filter(texts(*CHECKED), lambda k: F.contains(low, k))
+    low = F.transform(lines, lambda x: F.struct((x["i"] + 1).alias("line"), F.lower(x["line"]).alias("low")))
+    return F.transform(F.filter(low, lambda x: leaves(x["low"])), lambda x: F.struct(x["line"].alias("line"), watch(x["low"]).alias("watch")))
+
+
 def guard_breakpoints(files: DataFrame, calls: DataFrame) -> DataFrame:
     """Lines around each call that check a value and return early: path, call_line, line and watch (the checked names).
 
@@ -76,33 +95,28 @@ def guard_breakpoints(files: DataFrame, calls: DataFrame) -> DataFrame:
     rows = with_block(rows, "call_line")
     first = F.coalesce("block.start_line", F.greatest(F.lit(1), F.col("call_line") - 80))
     last = F.coalesce("block.end_line", F.least(F.size("lines"), F.col("call_line") + 80))
-
-    def guards(x: Column) -> Column:
-        low = F.lower(x["line"])
-        leaves = F.contains(low, F.lit("return")) & any_of(low, ("alert(", "throw new error", "seterror"))
-        return any_of(low, CHECKED) & (low.rlike(GUARD) | leaves)
-
-    hits = F.filter(F.slice(indexed(F.col("lines")), first, last - first + 1), guards)
-    watch = lambda x: F.filter(texts(*CHECKED), lambda k: F.contains(F.lower(x["line"]), k))
-    return rows.select("path", "call_line", F.explode(F.transform(hits, lambda x: F.struct((x["i"] + 1).alias("line"), watch(x).alias("watch")))).alias("g")).select("path", "call_line", "g.*")
+    near = bind(first, lambda a: F.slice(indexed(F.col("lines")), a, last - a + 1))
+    return rows.select("path", "call_line", F.explode(_guards(near)).alias("g")).select("path", "call_line", "g.*")
 
 
-def role_branches(files: DataFrame) -> DataFrame:
-    """path, start_line, end_line, snippet of the line that most likely decides by a role, six lines around it.
+def role_branches(files: DataFrame, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """path, the columns of ``keep``, start_line, end_line, snippet of the line that most likely decides by a role, six lines around it.
 
     Tiers are tried in order; imports and code that only shows a role do not count and are cut off at the edges; without a
     hit the first 20 lines.  Each step is a column of its own, so that no step is computed again for every line."""
-    rows = files.select("path", lines_or_one(F.col("content")).alias("lines")).withColumn("low", F.transform("lines", lambda x: F.lower(x)))
+    rows = files.select("path", F.struct(F.lit(0).alias("_"), *keep).alias("kept"), lines_or_one(F.col("content")).alias("lines")).withColumn("low", F.transform("lines", lambda x: F.lower(x)))
     first = lambda i: F.greatest(i - 3, F.lit(0))
     rows = rows.withColumn("around", F.transform("low", lambda x, i: joined(F.slice("low", first(i) + 1, F.least(i + 3, F.size("low") - 1) - first(i) + 1))))
     rows = rows.withColumn("shows", F.transform("around", lambda x: any_of(x, SHOWS) & ~x.rlike(FLOWS)))
     tier = lambda x: reduce(lambda rest, n: F.when(x.rlike(TIERS[n]), n).otherwise(rest), reversed(range(len(TIERS))), F.lit(None).cast("int"))
     rows = rows.withColumn("marked", F.transform(F.arrays_zip("low", "shows"), lambda m, i: F.struct(i.alias("i"), m["low"].rlike(r"^\s*import ").alias("imports"), m["shows"].alias("shows"), tier(m["low"]).alias("tier"))))
     hits = F.array_sort(F.transform(F.filter("marked", lambda m: m["tier"].isNotNull() & ~m["imports"] & ~m["shows"]), lambda m: F.struct(m["tier"], m["i"].alias("i"))))
-    rows = rows.select("path", "lines", "marked", F.get(hits, F.lit(0))["i"].alias("hit"))
+    rows = rows.select("path", "kept", "lines", "marked", F.get(hits, F.lit(0))["i"].alias("hit"))
     start = F.array_min(F.transform(F.filter("marked", lambda m: (m["i"] >= F.col("hit") - 6) & (m["i"] <= F.col("hit")) & (~m["shows"] | (m["i"] == F.col("hit")))), lambda m: m["i"]))
     rows = rows.withColumn("start", start)
     inner = F.transform(F.filter("marked", lambda m: (m["i"] >= F.col("start")) & (m["i"] <= F.col("hit") + 6) & ~m["imports"]), lambda m: m["i"])
     rows = rows.withColumn("inner", inner)
     a, b = F.coalesce(F.array_min("inner"), F.lit(0)), F.coalesce(F.array_max("inner"), F.least(F.size("lines"), F.lit(20)) - 1)
-    return rows.select("path", (a + 1).alias("start_line"), (b + 1).alias("end_line"), joined(F.slice("lines", a + 1, b - a + 1)).alias("snippet"))
+    rows = rows.withColumns({"a": a, "b": b})
+    a, b = F.col("a"), F.col("b")
+    return rows.select("path", "kept.*", (a + 1).alias("start_line"), (b + 1).alias("end_line"), joined(F.slice("lines", a + 1, b - a + 1)).alias("snippet")).drop("_")

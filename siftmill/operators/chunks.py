@@ -25,6 +25,11 @@ def build_chunks(files: DataFrame, config: EngineConfig = DEFAULT, keep: tuple[s
     return rows.select(*keep, "chunk_index", "total_chunks", "part.start_line", "part.end_line", F.sha2("part.content", 256).alias("chunk_hash"), "part.content")
 
 
+def skipped_chunks(chunks: DataFrame) -> DataFrame:
+    """The chunks without content, which no rule and no model sees."""
+    return chunks.where("content = ''")
+
+
 def chunk_counts(files: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     n = F.when(F.col("content") != "", F.size(chunk_frames(F.size(split_lines(F.col("content"))), config))).otherwise(0)
     return files.select(n.alias("n")).agg(F.count("*").alias("total_files"), F.sum("n").cast("long").alias("total_chunks"), F.count_if(F.col("n") > 0).alias("files_chunked"), F.count_if(F.col("n") == 0).alias("files_skipped"))

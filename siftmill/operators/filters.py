@@ -94,18 +94,22 @@ def built_for_files(path: Column, content: Column) -> Column:
 def load(files: DataFrame, contents: DataFrame, config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Route inventory rows to loaded (with content and its hash) or skipped (with a code), by the first cause that holds.
 
-    ``contents`` has path and raw; a path that it lacks was not found."""
+    ``contents`` has path and raw, and may have kind: file, or other for what is no plain file.  A path that it lacks was not
+    found; a file without raw could not be read."""
     files = files.drop("raw")
-    joined = files.join(contents.select("path", F.col("raw").alias("bytes")), "path", "left")
+    kind = F.col("kind") if "kind" in contents.columns else F.when(F.col("raw").isNotNull(), "file")
+    joined = files.join(contents.select("path", F.col("raw").alias("bytes"), kind.alias("kind")), "path", "left")
     text = F.col("bytes").cast("string")
     code = (
         F.when(~F.col("include"), "SKIPPED_NOT_INCLUDED")
         .when(F.col("path").startswith("/") | F.array_contains(F.split("path", "/"), ".."), "SKIPPED_PATH_TRAVERSAL")
-        .when(F.col("bytes").isNull(), "SKIPPED_NOT_FOUND")
+        .when(F.col("kind").isNull() & F.col("bytes").isNull(), "SKIPPED_NOT_FOUND")
+        .when(F.col("kind") == "other", "SKIPPED_NOT_FILE")
         .when(F.octet_length("bytes") > config.max_file_bytes, "SKIPPED_TOO_LARGE")
+        .when(F.col("bytes").isNull(), "SKIPPED_READ_ERROR")
         .when(~F.is_valid_utf8(text), "SKIPPED_DECODE_ERROR")
     )
     joined = joined.withColumn("skip_code", code)
-    loaded = joined.where("skip_code is null").withColumns({"content": text, "content_hash": F.sha2("bytes", 256)}).drop("bytes", "skip_code")
-    skipped = joined.where("skip_code is not null").withColumns({"include": F.lit(False), "reason_code": F.col("skip_code")}).drop("bytes", "skip_code")
+    loaded = joined.where("skip_code is null").withColumns({"content": text, "content_hash": F.sha2("bytes", 256)}).drop("bytes", "kind", "skip_code")
+    skipped = joined.where("skip_code is not null").withColumns({"include": F.lit(False), "reason_code": F.col("skip_code")}).drop("bytes", "kind", "skip_code")
     return loaded, skipped

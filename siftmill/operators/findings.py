@@ -1,22 +1,21 @@
-"""Findings over files: four rules, their merging, and the report."""
+"""Findings over files: four rules, what verifies them, and their merging."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftmill.config import DEFAULT, EngineConfig
 from siftmill.functions.requests import ENDPOINT_NOTE, UNKNOWN, auth_severity, classify, high_risk, severity, validation_parameters
-from siftmill.functions.text import any_of, joined, lines_or_one, short_hash, texts
-from siftmill.operators.candidates import call_candidates, ui_handlers
-from siftmill.operators.chunks import build_chunks, chunk_counts
-from siftmill.operators.filters import built_for_files, inventory_counts
-from siftmill.operators.relevance import AUTH_KEYS, first_hit, missing_dependencies, storage_evidence
-from siftmill.operators.rules import analyze_chunks, dom_flow
-
-FLOW = "source -> state/storage -> sink"
+from siftmill.functions.text import any_of, bind, extract_all, lines_or_one, short_hash, texts
+from siftmill.functions.verification import disabled_listing, guarded_request, read_request, request_observer
+from siftmill.operators.blocks import guard_breakpoints, role_branches
+from siftmill.operators.candidates import WRAPPER_NOTE, call_candidates, ui_handlers
+from siftmill.operators.filters import built_for_files
+from siftmill.operators.relevance import missing_dependencies, storage_evidence, top_lines
+from siftmill.operators.rules import dom_flow
+from siftmill.tables import written
+
+FLOW = "input to sink"
 CALL_GATE = ("axios.", "fetch(", "apiclient.", "request.", "httpclient.", "client.", "$.ajax", "jquery.ajax", "formdata")
 # The kinds that are merged by their requests, and their causes.
 CAUSES = {
@@ -29,7 +28,8 @@ CAUSES = {
     "Authorization Bypass": "authorization is decided on the client",
     "DOM XSS": "external input reaches an HTML sink without encoding",
 }
-COLUMNS = ("path", "rule", "ord", "id", "type", "severity", "confidence", "cause", "evidence", "disabled", "notes")
+COLUMNS = ("path", "rule", "ord", "id", "type", "severity", "confidence", "cause", "evidence", "disabled", "notes", "code")
+MOST_FILES = 20
 
 
 def _cause(kind: Column) -> Column:
@@ -47,10 +47,11 @@ def disabled_findings(files: DataFrame, handlers: DataFrame, calls: DataFrame) -
     of = handlers.groupBy("path").agg(F.min_by("disabled_expression", F.when(F.col("ui_event") == "disabled", order)).alias("expression"), F.min_by(F.struct("ui_event", "handler_name"), F.when(named, order)).alias("event"))
     first = calls.groupBy("path").agg(F.min_by("endpoint", F.struct("line", "pattern", "match")).alias("endpoint"))
     rows = files.join(of.where("expression is not null and event is not null"), "path").join(first, "path")
-    lines = lines_or_one(F.col("content"))
+    top = bind(lines_or_one(F.col("content")), top_lines)
     flow = F.array(F.lit(FLOW), F.concat(F.lit("ui_event: "), "event.ui_event"), F.concat(F.lit("disabled_expression: "), "expression"), F.concat(F.lit("handler: "), "event.handler_name"), F.concat(F.lit("endpoint: "), "endpoint"))
-    own = evidence(F.lit(1), F.least(F.size(lines), F.lit(20)), joined(F.slice(lines, 1, 20)), "disabled control", flow)
-    return rows.select("path", F.lit(0).alias("rule"), F.lit(0).alias("ord"), short_hash(F.concat("path", F.lit("d"))).alias("id"), F.lit("Client-side Validation Bypass").alias("type"), F.lit("low").alias("severity"), F.lit("low").alias("confidence"), F.lit("restriction by an attribute of the UI").alias("cause"), own.alias("evidence"), F.col("path").alias("disabled"), texts().alias("notes"))
+    rows = rows.withColumn("top", top)
+    own = evidence(F.col("top.start_line"), F.col("top.end_line"), F.col("top.snippet"), "disabled control", flow)
+    return rows.select("path", F.lit(0).alias("rule"), F.lit(0).alias("ord"), short_hash(F.concat("path", F.lit("d"))).alias("id"), F.lit("Client-side Validation Bypass").alias("type"), F.lit("low").alias("severity"), F.lit("low").alias("confidence"), F.lit("restriction by an attribute of the UI").alias("cause"), own.alias("evidence"), F.col("path").alias("disabled"), texts().alias("notes"), F.lit(None).cast("string").alias("code"))
 
 
 def auth_primaries(files: DataFrame) -> DataFrame:
@@ -64,11 +65,11 @@ def auth_findings(files: DataFrame, everything: DataFrame) -> DataFrame:
     primary = auth_primaries(files)
     proof = storage_evidence(primary, everything)
     missing = missing_dependencies(everything).agg((F.count("*") > 0).alias("missing"))
-    rows = primary.join(proof, "path", "left").crossJoin(F.broadcast(missing))  # one row
-    place = first_hit(F.col("content"), AUTH_KEYS)
+    places = role_branches(primary, keep=(auth_severity(F.col("content")).alias("severity"),))
+    rows = places.join(proof, "path", "left").crossJoin(F.broadcast(missing))  # one row
     confidence = F.when(F.col("evidence") & ~F.col("missing"), "medium").otherwise("low")
-    own = evidence(place["start_line"], place["end_line"], place["snippet"], "client-side role check", texts(FLOW))
-    return rows.select("path", F.lit(1).alias("rule"), F.lit(0).alias("ord"), short_hash(F.concat("path", F.lit("a"))).alias("id"), F.lit("Authorization Bypass").alias("type"), auth_severity(F.col("content")).alias("severity"), confidence.alias("confidence"), F.lit(CAUSES["Authorization Bypass"]).alias("cause"), own.alias("evidence"), F.lit("").alias("disabled"), F.when(F.col("missing"), texts("a dependency is missing")).otherwise(texts()).alias("notes"))
+    own = evidence(F.col("start_line"), F.col("end_line"), F.col("snippet"), "client-side role check", texts(FLOW))
+    return rows.select("path", F.lit(1).alias("rule"), F.lit(0).alias("ord"), short_hash(F.concat("path", F.lit("a"))).alias("id"), F.lit("Authorization Bypass").alias("type"), "severity", confidence.alias("confidence"), F.lit(CAUSES["Authorization Bypass"]).alias("cause"), own.alias("evidence"), F.lit("").alias("disabled"), F.when(F.col("missing"), texts("a dependency is missing")).otherwise(texts()).alias("notes"), request_observer(F.lit("session")).alias("code"))
 
 
 def dom_findings(files: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def dom_findings(files: DataFrame) -> DataFrame:
     gate = files.where(F.contains(low, F.lit("innerhtml")) & any_of(low, ("location", "document.url", "input.value", "postmessage")))
     rows = gate.withColumn("flow", dom_flow(F.col("content"))).where("flow is not null")
     own = evidence(F.col("flow.start_line"), F.col("flow.end_line"), F.col("flow.snippet"), "source beside a sink", texts(FLOW))
-    return rows.select("path", F.lit(2).alias("rule"), F.lit(0).alias("ord"), short_hash(F.concat("path", F.lit("x"))).alias("id"), F.lit("DOM XSS").alias("type"), F.lit("high").alias("severity"), F.lit("medium").alias("confidence"), F.lit(CAUSES["DOM XSS"]).alias("cause"), own.alias("evidence"), F.lit("").alias("disabled"), texts().alias("notes"))
+    return rows.select("path", F.lit(2).alias("rule"), F.lit(0).alias("ord"), short_hash(F.concat("path", F.lit("x"))).alias("id"), F.lit("DOM XSS").alias("type"), F.lit("high").alias("severity"), F.lit("medium").alias("confidence"), F.lit(CAUSES["DOM XSS"]).alias("cause"), own.alias("evidence"), F.lit("").alias("disabled"), texts().alias("notes"), F.lit(None).cast("string").alias("code"))
 
 
 def call_findings(files: DataFrame, calls: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def call_findings(files: DataFrame, calls: DataFrame) -> DataFrame:
     rows = calls.where("sink != 'function_call'").join(gated, "path", "left_semi")
     names = F.when((F.size("parameters") > 0) | (F.col("method") == "GET"), F.col("parameters")).otherwise(validation_parameters(F.col("snippet")))
     rows = rows.withColumn("names", names).withColumn("type", classify(F.col("method"), F.col("endpoint"), F.col("parameters")))
-    generic = (F.col("sink") == "$.ajax") & (F.col("endpoint") == UNKNOWN) & F.array_contains("notes", "generic ajax wrapper requires callsite tracing")
+    generic = (F.col("sink") == "$.ajax") & (F.col("endpoint") == UNKNOWN) & F.array_contains("notes", WRAPPER_NOTE)
     important = any_of(F.lower("endpoint"), ("session", "auth", "me", "profile", "wallet", "order")) | F.exists("names", lambda p: F.lower(p).isin("userid", "memberid", "accountid", "orderid", "paymentid")) | F.array_contains("notes", ENDPOINT_NOTE)
     rows = rows.where(~generic & ~((F.col("method") == "GET") & ~important))
     known, read, change = F.col("endpoint") != UNKNOWN, F.col("method") == "GET", F.col("method").isin("POST", "PUT", "PATCH")
@@ -94,13 +95,17 @@ def call_findings(files: DataFrame, calls: DataFrame) -> DataFrame:
     seed = F.concat_ws(":", "path", "method", "endpoint", "sink", F.array_join(F.array_sort("names"), ","), "type")
     own = evidence(F.col("start_line"), F.col("end_line"), F.col("snippet"), "request with checked values", flow)
     notes = F.array_compact(F.array(F.when(~known, ENDPOINT_NOTE), F.when(~shown & ~read, "irreversible or risky: no runnable verification")))
+    code = F.when(shown & read, read_request(F.col("endpoint"))).when(shown, guarded_request(F.col("method"), F.col("endpoint"), F.col("names")))
     place = F.col("line") * 10000 + F.col("pattern") * 1000 + F.col("match")
-    return rows.select("path", F.lit(3).alias("rule"), place.alias("ord"), short_hash(seed).alias("id"), "type", severity(F.col("type")).alias("severity"), F.when(shown, "medium").otherwise("low").alias("confidence"), _cause(F.col("type")).alias("cause"), own.alias("evidence"), F.lit("").alias("disabled"), notes.alias("notes"))
+    return rows.select("path", F.lit(3).alias("rule"), place.alias("ord"), short_hash(seed).alias("id"), "type", severity(F.col("type")).alias("severity"), F.when(shown, "medium").otherwise("low").alias("confidence"), _cause(F.col("type")).alias("cause"), own.alias("evidence"), F.lit("").alias("disabled"), notes.alias("notes"), code.alias("code"))
 
 
 def file_findings(files: DataFrame) -> DataFrame:
-    """Findings of all rules before merging; path, rule and ord give their order."""
-    handlers, calls = ui_handlers(files), call_candidates(files).persist()  # read by two rules
+    """Findings of all rules before merging; path, rule and ord give their order.  Calls are extracted once and written, as two rules read them."""
+    return findings_of(files, ui_handlers(files), written(call_candidates(files), "calls"))
+
+
+def findings_of(files: DataFrame, handlers: DataFrame, calls: DataFrame) -> DataFrame:
     own = files.where(~built_for_files(F.col("path"), F.col("content")))
     parts = [disabled_findings(own, handlers, calls), auth_findings(own, files), dom_findings(own), call_findings(own, calls)]
     return parts[0].select(*COLUMNS).unionByName(parts[1].select(*COLUMNS)).unionByName(parts[2].select(*COLUMNS)).unionByName(parts[3].select(*COLUMNS))
@@ -114,26 +119,60 @@ def _flow(name: str) -> Column:
     return F.when(F.col("type").isin(*merged), F.array_sort(values)).otherwise(texts())
 
 
-def merge_findings(findings: DataFrame, most_evidence: int = 5) -> DataFrame:
-    """One row per kind, request and cause: the first finding's values, all files, and the first pieces of evidence.
+def with_key(findings: DataFrame) -> DataFrame:
+    """Add key (kind, request and cause, by which findings merge) and at (their order)."""
+    key = F.struct("type", "cause", "disabled", *[_flow(k).alias(k) for k in ("method", "endpoint", "parameter", "sink")])
+    return findings.withColumn("key", key).withColumn("at", F.struct("path", "rule", "ord"))
+
 
-    Only the few first pieces of evidence of each task are shuffled: a key that a third of all findings share is no burden."""
-    order = F.struct("path", "rule", "ord")
-    keyed = findings.withColumn("key", F.struct("type", "cause", "disabled", *[_flow(k).alias(k) for k in ("method", "endpoint", "parameter", "sink")])).withColumn("at", order).persist()  # read four times
-    first = keyed.groupBy("key").agg(F.min_by(F.struct("id", "severity", "confidence", "notes"), "at").alias("first"), F.min("at").alias("at"), F.count("*").alias("merged"))
-    files = keyed.select("key", "path").distinct().groupBy("key").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_set("path")).alias("affected_files"))
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(16)))
-    best = lambda df, *by: df.withColumn("_n", F.row_number().over(_by(*by))).where(F.col("_n") <= most_evidence).drop("_n")
-    few = best(best(salted, "key", "salt"), "key")
-    pieces = few.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "evidence"))), lambda x: x["evidence"]).alias("evidence"))
+def merge_findings(findings: DataFrame, most_evidence: int = 5, most_files: int = MOST_FILES) -> DataFrame:
+    """One row per kind, request and cause: the first finding's values, how many findings and files, and the first files and pieces of evidence.
+
+    ``memberships`` has all files.  A key that a third of all findings share is counted by file first, and of its files and
+    evidence only the first of each task are shuffled."""
+    keyed = written(with_key(findings), "findings")
+    by_file = keyed.groupBy("key", "path").agg(F.min_by(F.struct("id", "severity", "confidence", "notes", "code"), "at").alias("first"), F.min("at").alias("at"), F.count("*").alias("merged"))
+    first = by_file.groupBy("key").agg(F.min_by("first", "at").alias("first"), F.min("at").alias("at"), F.sum("merged").alias("merged"), F.count("*").alias("n_files"))
+    files = _first(by_file.select("key", "path"), "path", most_files).groupBy("key").agg(F.array_sort(F.collect_list("path")).alias("affected_files"))
+    pieces = _first(keyed.select("key", "at", "evidence"), "at", most_evidence).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "evidence"))), lambda x: x["evidence"]).alias("evidence"))
     out = first.join(files, "key").join(pieces, "key")
-    return out.select("first.id", "key.type", "first.severity", "first.confidence", "key.cause", "key.method", "key.endpoint", "key.parameter", "key.sink", "affected_files", "n_files", "merged", "evidence", "first.notes", "at")
+    return out.select("first.id", "key.type", "first.severity", "first.confidence", "key.cause", "key.method", "key.endpoint", "key.parameter", "key.sink", "affected_files", "n_files", "merged", "evidence", "first.notes", "first.code", "at")
+
+
+def memberships(findings: DataFrame) -> DataFrame:
+    """Files of each merged finding: id (that of its first finding) and path, a row each."""
+    keyed = written(with_key(findings).select("key", "path", "at", "id"), "members")
+    return keyed.select("key", "path").distinct().join(keyed.groupBy("key").agg(F.min_by("id", "at").alias("id")), "key").select("id", "path")
+
 
+def _first(rows: DataFrame, by: str, n: int) -> DataFrame:
+    """The n first rows of each key; Spark keeps only so many of each task before it shuffles."""
+    order = Window.partitionBy("key").orderBy(by)
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
 
-def _by(*columns: str):
-    from pyspark.sql import Window
 
-    return Window.partitionBy(*columns).orderBy("at")
+def playbooks(files: DataFrame, handlers: DataFrame, calls: DataFrame) -> DataFrame:
+    """How to verify what the rules find by hand: path, rule, ord (as in ``findings_of``), strategy, breakpoints, code and limits.
+
+    A breakpoint is a struct of start_line, end_line, reason and watch (variables)."""
+    own = files.where(~built_for_files(F.col("path"), F.col("content")))
+    stop = lambda first, last, reason, watch: F.struct(first.cast("int").alias("start_line"), last.cast("int").alias("end_line"), F.lit(reason).alias("reason"), watch.alias("watch"))
+    out = lambda rows, rule, ord_, strategy, stops, code, limits: rows.select("path", F.lit(rule).alias("rule"), ord_.alias("ord"), F.lit(strategy).alias("strategy"), stops.alias("breakpoints"), code.alias("code"), limits.alias("limits"))
+    roles = auth_primaries(own).withColumn("n", F.size(lines_or_one(F.col("content"))))
+    auth = out(roles, 1, F.lit(0), "auth_route_guard", F.array(stop(F.lit(1), F.col("n"), "branch on a role", texts("userInfo", "user", "role", "userType", "isAdmin"))), F.lit(None).cast("string"), texts())
+    first = calls.groupBy("path").agg(F.min_by(F.struct("start_line", "end_line", "parameters"), F.struct("line", "pattern", "match")).alias("call"))
+    controls = disabled_findings(own, handlers, calls).select("path").join(first, "path")
+    disabled = out(controls, 0, F.lit(0), "disabled_button_bypass", F.array(stop(F.col("call.start_line"), F.col("call.end_line"), "before the request", F.concat(texts("payload"), "call.parameters"))), disabled_listing(), texts("the control's state may be kept elsewhere", "see the checks of its handler"))
+    found = call_findings(own, calls).select("path", "ord")
+    place = F.col("line") * 10000 + F.col("pattern") * 1000 + F.col("match")
+    of = calls.withColumn("ord", place).join(found, ["path", "ord"], "left_semi")
+    guards = guard_breakpoints(own, of).groupBy("path", "call_line").agg(F.array_sort(F.collect_list(F.struct("line", "watch"))).alias("guards"))  # at most as many as a function has lines
+    of = of.join(guards.withColumnRenamed("call_line", "line"), ["path", "line"], "left")
+    checks = F.coalesce(F.transform("guards", lambda g: stop(g["line"], g["line"], "a check that leaves early", g["watch"])), F.expr("cast(array() as array<struct<start_line:int,end_line:int,reason:string,watch:array<string>>>)"))
+    watch = F.array_sort(F.array_distinct(F.concat(texts("payload"), "parameters", F.coalesce(F.flatten(F.transform("guards", lambda g: g["watch"])), texts()), extract_all(F.col("endpoint"), r"\{([^}]+)\}"))))
+    stops = F.concat(checks, F.array(stop(F.col("start_line"), F.col("end_line"), "before the request", watch)))
+    changed = out(of, 3, F.col("ord"), "breakpoint_payload_mutation", stops, request_observer(F.col("endpoint")), F.when(F.col("endpoint") == UNKNOWN, texts("the address is not known")).otherwise(texts()))
+    return auth.unionByName(disabled).unionByName(changed)
 
 
 def summary_card(merged: DataFrame) -> DataFrame:
@@ -141,22 +180,3 @@ def summary_card(merged: DataFrame) -> DataFrame:
     one = lambda c, d: F.coalesce(F.get(F.col(c), F.lit(0)), F.lit(d))
     place = F.get("evidence", F.lit(0))
     return merged.select("id", "type", "severity", "confidence", place["path"].alias("path"), place["start_line"].alias("start_line"), place["end_line"].alias("end_line"), one("method", UNKNOWN).alias("method"), one("endpoint", UNKNOWN).alias("endpoint"), one("sink", "N/A").alias("sink"), F.when(F.size("parameter") > 0, F.array_join("parameter", ", ")).otherwise("N/A").alias("parameters"))
-
-
-@dataclass(frozen=True)
-class Report:
-    """All parts of an analysis as lazy tables."""
-
-    inventory: DataFrame
-    counts: DataFrame
-    chunks: DataFrame
-    chunk_counts: DataFrame
-    chunk_findings: DataFrame
-    findings: DataFrame
-    focus: tuple[str, ...] = ("authorization", "validation", "DOM sinks")
-
-
-def analyze(files: DataFrame, inventory: DataFrame, config: EngineConfig = DEFAULT) -> Report:
-    """The whole analysis of loaded files (path, content) with their inventory; texts of files and chunks are left out of what is shown."""
-    chunks = build_chunks(files, config)
-    return Report(inventory.drop("raw"), inventory_counts(inventory), chunks.drop("content"), chunk_counts(files, config), analyze_chunks(chunks), merge_findings(file_findings(files)))

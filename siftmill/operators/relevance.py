@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftmill.functions.text import any_of, frame, indexed, joined, lines_or_one, split_lines, texts
+from siftmill.functions.text import any_of, bind, frame, joined, lines_or_one, split_lines, texts
 
 # The keywords of the score.
 KEYWORDS = (
@@ -19,6 +19,12 @@ KEYWORDS = (
 AUTH_KEYS = ("requireAuth", "checkSession", "userInfo.userType", "userType", "role", "isAdmin", "ADMIN", "NAFAL", "navigate")
 DOM_KEYS = ("innerHTML", "outerHTML", "insertAdjacentHTML", "document.write", "location", "document.URL", "postMessage", "input.value")
 VALIDATION_KEYS = ("axios.post", "axios.put", "fetch", "FormData", "amount", "price", "status", "productId", "userId", "orderId", "totalAmount", "usePoints")
+# The keywords of snippets, in the order in which they are sought.
+SNIPPET_KEYS = (
+    "userType", "role", "isAdmin", "ADMIN", "localStorage", "sessionStorage", "cookie", "innerHTML", "outerHTML", "insertAdjacentHTML",
+    "document.write", "eval", "Function", "location", "document.URL", "postMessage", "input.value", "price", "amount", "status", "productId",
+    "userId", "payment", "order", "auction", "axios", "fetch", "FormData",
+)
 MISSING = "../utils/sessionUtils"
 
 
@@ -27,18 +33,19 @@ def lowered(words: tuple[str, ...]) -> tuple[str, ...]:
 
 
 def relevance(path: Column, content: Column) -> Column:
-    """Two for each keyword in the path and one for each in the content; presence counts, not frequency."""
-    add = lambda acc, k: acc + F.contains(F.lower(path), k).cast("int") * 2 + F.contains(F.lower(content), k).cast("int")
-    return F.aggregate(texts(*lowered(KEYWORDS)), F.lit(0), add)
+    """Two for each keyword in the path and one for each in the content, both in lower case; presence counts, not frequency."""
+    found = lambda text: reduce(lambda a, b: a + b, [F.contains(text, F.lit(k)).cast("int") for k in lowered(KEYWORDS)])
+    return found(path) * 2 + found(content)
 
 
 def most_relevant(files: DataFrame, n: int = 20, by: tuple[str, ...] = ()) -> DataFrame:
     """The n files with the largest scores over 0, ties by path; with ``by`` so many of each group."""
-    scored = files.withColumn("score", relevance(F.col("path"), F.col("content"))).where("score > 0")
+    low = files.withColumns({"_path": F.lower("path"), "_content": F.lower("content")})  # columns, so that each is lowered once
+    scored = low.withColumn("score", relevance(F.col("_path"), F.col("_content"))).drop("_path", "_content")
     if not by:
-        return scored.orderBy(F.desc("score"), "path").limit(n)
+        return scored.orderBy(F.desc("score"), "path").limit(n).where("score > 0")  # scores over 0 come first
     order = Window.partitionBy(*by).orderBy(F.desc("score"), "path")
-    return scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+    return scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n").where("score > 0")
 
 
 def missing_dependencies(files: DataFrame) -> DataFrame:
@@ -71,33 +78,35 @@ def storage_evidence(primary: DataFrame, files: DataFrame) -> DataFrame:
 
 def first_hit(content: Column, keys: tuple[str, ...], around: int = 4) -> Column:
     """The frame of the first line with one of the keys, in any case; without one the first 20 lines."""
-    lines = lines_or_one(content)
-    hits = F.filter(indexed(lines), lambda x: any_of(F.lower(x["line"]), lowered(keys)))
-    top = F.struct(F.lit(1).alias("start_line"), F.least(F.size(lines), F.lit(20)).alias("end_line"), joined(F.slice(lines, 1, 20)).alias("snippet"))
-    return F.when(F.size(hits) > 0, frame(lines, F.get(hits, F.lit(0))["i"], around, around)).otherwise(top)
 
 
-def keyword_snippets(files: DataFrame, keys: tuple[str, ...] = (*AUTH_KEYS, *DOM_KEYS, *VALIDATION_KEYS), most: int = 5, around: int = 6) -> DataFrame:
-    """Up to ``most`` different frames of each file, by key and then line; the first 20 lines of a file without a hit.
+    def first(lines: Column) -> Column:
+        hits = F.filter(F.transform(lines, lambda x, i: F.when(any_of(F.lower(x), lowered(keys)), i)), lambda i: i.isNotNull())
+        return bind(F.get(hits, F.lit(0)), lambda i: F.when(i.isNotNull(), frame(lines, i, around, around)).otherwise(top_lines(lines)))
 
-    Rows: path, start_line, end_line, keyword (null without a hit) and snippet."""
-    lines = lines_or_one(F.col("content"))
-    by_key = [F.transform(F.filter(indexed(lines), _has(key)), _framed(lines, n, name, around)) for n, (key, name) in enumerate(zip(lowered(keys), keys, strict=True))]
-    hits = files.select("path", F.explode(F.concat(*by_key)).alias("f")).select("path", "f.*")
-    first = hits.groupBy("path", "start_line", "end_line").agg(F.min(F.struct("key", "line", "keyword", "snippet")).alias("one"))
-    order = Window.partitionBy("path").orderBy("one.key", "one.line")
-    kept = first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("path", "start_line", "end_line", "one.keyword", "one.snippet")
-    none = files.where(~any_of(F.lower("content"), lowered(keys))).select("path", first_hit(F.col("content"), ("\0",)).alias("f"))
-    return kept.unionByName(none.select("path", "f.start_line", "f.end_line", F.lit(None).cast("string").alias("keyword"), "f.snippet"))
+    return bind(lines_or_one(content), first)
 
 
-def _has(key: str):
-    return lambda x: F.contains(F.lower(x["line"]), F.lit(key))
+def top_lines(lines: Column, n: int = 20) -> Column:
+    return F.struct(F.lit(1).alias("start_line"), F.least(F.size(lines), F.lit(n)).alias("end_line"), joined(F.slice(lines, 1, n)).alias("snippet"))
 
 
-def _framed(lines: Column, n: int, name: str, around: int):
-    def of(x: Column) -> Column:
-        f = frame(lines, x["i"], around, around)
-        return F.struct(F.lit(n).alias("key"), x["i"].alias("line"), F.lit(name).alias("keyword"), f["start_line"].alias("start_line"), f["end_line"].alias("end_line"), f["snippet"].alias("snippet"))
+def keyword_snippets(files: DataFrame, keys: tuple[str, ...] = SNIPPET_KEYS, most: int = 5, around: int = 6) -> DataFrame:
+    """Up to ``most`` different frames of each file, by key and then line; the first 20 lines of a file without a hit.
 
-    return of
+    Rows: path, start_line, end_line, keyword (null without a hit) and snippet."""
+    names = F.array(*[F.struct(F.lit(k).alias("low"), F.lit(name).alias("name")) for k, name in zip(lowered(keys), keys, strict=True)])
+
+    def of_file(lines: Column) -> Column:
+        """Each step is bound, so that a file is split once and its keys are sought only in lines with a hit."""
+        low = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.lower(x).alias("line")))
+        hits = F.filter(low, lambda x: any_of(x["line"], lowered(keys)))
+        place = lambda i, k: F.struct(F.greatest(i - around, F.lit(0)).alias("first"), F.least(i + around, F.size(lines) - 1).alias("last"), k.alias("keyword"))
+        by_key = bind(hits, lambda h: F.flatten(F.transform(names, lambda k: F.transform(F.filter(h, lambda x: F.contains(x["line"], k["low"])), lambda x: place(x["i"], k["name"])))))
+        frames = lambda found: F.slice(F.array_distinct(F.transform(found, lambda f: F.struct(f["first"], f["last"]))), 1, most)
+        named = lambda f, found: F.get(F.filter(found, lambda x: (x["first"] == f["first"]) & (x["last"] == f["last"])), F.lit(0))["keyword"]
+        shown = lambda f, found: F.struct((f["first"] + 1).alias("start_line"), (f["last"] + 1).alias("end_line"), named(f, found).alias("keyword"), joined(F.slice(lines, f["first"] + 1, f["last"] - f["first"] + 1)).alias("snippet"))
+        top = bind(top_lines(lines), lambda t: F.array(F.struct(t["start_line"], t["end_line"], F.lit(None).cast("string").alias("keyword"), t["snippet"])))
+        return bind(by_key, lambda found: F.when(F.size(found) > 0, F.transform(frames(found), lambda f: shown(f, found))).otherwise(top))
+
+    return files.select("path", F.explode(bind(lines_or_one(F.col("content")), of_file)).alias("f")).select("path", "f.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.functions.text import any_of, frame, indexed, lines_or_one, short_hash
+from siftmill.functions.text import any_of, bind, frame, lines_or_one, short_hash
 from siftmill.operators.filters import built_for_chunks
 
 # Fixed values of the rules.
@@ -25,27 +25,28 @@ RULES = {
 
 
 def sink_lines(lines: Column, sinks: tuple[str, ...]) -> Column:
-    """Lines (i, line) with a sink that is not given a static text."""
-    return F.filter(indexed(lines), lambda x: any_of(F.lower(x["line"]), sinks) & ~any_of(F.lower(x["line"]), HARMLESS) & ~F.lower(x["line"]).rlike(STATIC))
+    """Lines (i, line in lower case) with a sink that is not given a static text."""
+    low = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.lower(x).alias("line")))
+    return F.filter(low, lambda x: any_of(x["line"], sinks) & ~any_of(x["line"], HARMLESS) & ~x["line"].rlike(STATIC))
 
 
 def has_dom_flow(content: Column) -> Column:
     """Whether a source stands within six lines of a sink; sources count in their own case."""
-    lines = lines_or_one(content)
-    return F.exists(sink_lines(lines, SINKS), lambda x: any_of(frame(lines, x["i"], 6, 6)["snippet"], SOURCES))
+    near = lambda lines: F.exists(sink_lines(lines, SINKS), lambda x: any_of(frame(lines, x["i"], 6, 6)["snippet"], SOURCES))
+    return any_of(content, SOURCES) & any_of(F.lower(content), SINKS) & bind(lines_or_one(content), near)
 
 
 def dom_flow(content: Column) -> Column:
     """The first frame (start_line, end_line, snippet) around a sink with a source in any case, or null."""
-    lines = lines_or_one(content)
-    frames = F.transform(sink_lines(lines, FILE_SINKS), lambda x: frame(lines, x["i"], 6, 6))
-    return F.get(F.filter(frames, lambda f: any_of(F.lower(f["snippet"]), tuple(s.lower() for s in SOURCES))), F.lit(0))
+    frames = lambda lines: F.transform(sink_lines(lines, FILE_SINKS), lambda x: frame(lines, x["i"], 6, 6))
+    first = bind(lines_or_one(content), lambda lines: F.get(F.filter(frames(lines), lambda f: any_of(F.lower(f["snippet"]), tuple(s.lower() for s in SOURCES))), F.lit(0)))
+    return F.when(any_of(F.lower(content), FILE_SINKS), first)
 
 
 def chunk_rules(path: Column, content: Column) -> Column:
     """Array of the types of the rules that hold, in the order of the rules."""
     hits = {
-        "DOM XSS": ~built_for_chunks(path, content) & has_dom_flow(content),
+        "DOM XSS": has_dom_flow(content) & ~built_for_chunks(path, content),
         "Unsafe eval": F.contains(content, F.lit("eval(")),
         "Command Injection": any_of(content, COMMANDS),
     }

@@ -13,7 +13,8 @@ from siftmill.functions import requests as R
 from siftmill.functions.text import escape_html, extension, split_lines
 from siftmill.operators import blocks, candidates, chunks, filters, findings, relevance, reviewers, rules
 from siftmill.sources.archives import escapes_base
-from siftmill.sources.corpus import CODE_FILES_SQL, code_files
+from siftmill.report import analyze
+from siftmill.sources.corpus import CODE_FILES_SQL, code_files, varied_columns, varied_files
 
 FLAGSHIP = "scan_decisions"
 SMALL = EngineConfig(chunk_lines=20, overlap_lines=5)
@@ -324,16 +325,29 @@ def first_hit_snippet(spark, sf_dir):
     return files.select("path", relevance.first_hit(F.col("content"), relevance.AUTH_KEYS).alias("f")).select("path", long("f.start_line").alias("start_line"), long("f.end_line").alias("end_line"))
 
 
-@query()
+_AUTH = "|".join(k.lower().replace(".", "\\.") for k in relevance.AUTH_KEYS)
+
+
+@query(f"""{CORPUS}, l as (select path, string_split(content, chr(10)) as ls from code_files), n as (select path, ls, unnest(range(len(ls))) as i from l), h as (select path, min(i) as i from n where regexp_matches(lower(ls[i + 1]), '{_AUTH}') group by path)
+select path, (case when i is null then 1 else greatest(i - 4, 0) + 1 end)::bigint as start_line, (case when i is null then least(20, len(ls)) else least(i + 4, len(ls) - 1) + 1 end)::bigint as end_line from l left join h using (path)""")
 def first_hit_snippet_all(spark, sf_dir):
     """first_hit_snippet over every file; the SQL of that query asks for two folders only."""
     files = code_files(spark, sf_dir).select("path", relevance.first_hit(F.col("content"), relevance.AUTH_KEYS).alias("f"))
     return files.select("path", long("f.start_line").alias("start_line"), long("f.end_line").alias("end_line"))
 
 
-@query()
+_KEYS = ", ".join(f"'{k.lower()}'" for k in relevance.SNIPPET_KEYS)
+_NAMES = ", ".join(f"'{k}'" for k in relevance.SNIPPET_KEYS)
+
+
+@query(f"""{CORPUS}, l as (select path, string_split(content, chr(10)) as ls from code_files), k as (select unnest([{_KEYS}]) as key, unnest([{_NAMES}]) as name, unnest(range({len(relevance.SNIPPET_KEYS)})) as ord),
+  n as (select path, ls, unnest(range(len(ls))) as i from l), h as (select path, ls, greatest(i - 6, 0) as a, least(i + 6, len(ls) - 1) as b, ord * 1000 + i as pos, name from n join k on contains(lower(ls[i + 1]), key)),
+  f as (select path, any_value(ls) as ls, a, b, min(pos) as pos, arg_min(name, pos) as keyword from h group by path, a, b), t as (select *, row_number() over (partition by path order by pos) as r from f)
+select path, (a + 1)::bigint as start_line, (b + 1)::bigint as end_line, keyword, array_to_string(ls[a + 1 : b + 1], chr(10)) as snippet from t where r <= 5
+union all select path, 1, least(20, len(ls)), null, array_to_string(ls[1 : 20], chr(10)) from l where path not in (select path from h)""")
 def keyword_snippets_top5(spark, sf_dir):
-    return relevance.keyword_snippets(code_files(spark, sf_dir))
+    rows = relevance.keyword_snippets(code_files(spark, sf_dir))
+    return rows.select("path", long("start_line").alias("start_line"), long("end_line").alias("end_line"), "keyword", "snippet")
 
 
 @query("select 'src/pay/f' || o_orderkey || '.js' as path, 'handlePay' as name, 2::bigint as start_line, 6::bigint as end_line from orders where o_orderkey % 12 = 0")
@@ -370,6 +384,78 @@ def llm_item_validation(spark, sf_dir):
     return rows.select("event_id", F.coalesce("drop_stage", F.lit("accepted")).alias("stage"))
 
 
+def _varied(kind: str) -> str:
+    return f"with files as (select o_orderkey % 9 as p, o_orderkey % 12 as d, o_orderkey % 8 as q, o_orderkey as k, {', '.join(varied_columns(kind))} from orders)"
+
+
+@query(f"{_varied('call')} select path, 'act' as name, p + 1 as start_line, p + d + q + 4 as end_line from files where k % 7 <> 0")
+def function_blocks_varied(spark, sf_dir):
+    files = varied_files(spark, sf_dir, "call")
+    rows = blocks.function_blocks(files, candidates.api_calls(files)).where("name is not null")
+    return rows.select("path", "name", long("start_line").alias("start_line"), long("end_line").alias("end_line"))
+
+
+@query(f"{_varied('call')} select path, p + d + 3 as call_line, p + d + 2 as line, 'amount' as watch from files")
+def guard_breakpoints_varied(spark, sf_dir):
+    files = varied_files(spark, sf_dir, "call")
+    rows = blocks.guard_breakpoints(files, candidates.api_calls(files))
+    return rows.select("path", long("call_line").alias("call_line"), long("line").alias("line"), F.array_join("watch", ",").alias("watch"))
+
+
+@query(f"{_varied('flow')} select path, greatest(1, p + d + 2 - 6) as start_line, least(p + d + q + 3, p + d + 2 + 6) as end_line from files where d + 1 <= 6")
+def dom_flow_varied(spark, sf_dir):
+    files = varied_files(spark, sf_dir, "flow").withColumn("f", rules.dom_flow(F.col("content"))).where("f is not null")
+    return files.select("path", long("f.start_line").alias("start_line"), long("f.end_line").alias("end_line"))
+
+
+# Lines: the import, p notes, the badge, d steps, the branch (line p + d + 3), two more, q steps, the end.  Up to three lines
+# from the badge count as showing a role; six lines around the branch are taken, from the first that shows none, without imports.
+@query(f"{_varied('role')} select path, case when p + d + 3 - 6 <= 1 then 2 else p + d + 3 - 6 end as low, p + d + 3 as hit, least(p + d + 3 + 6, p + d + q + 6) as end_line from files where d >= 10")
+def role_branch_varied(spark, sf_dir):
+    files = varied_files(spark, sf_dir, "role").where(F.regexp_extract("path", "([0-9]+)", 1).cast("long") % 12 >= 10)
+    rows = blocks.role_branches(files)
+    hit = F.size(F.split(F.substring_index("content", "if (user.role", 1), "\n"))
+    rows = rows.join(files.select("path", hit.alias("hit")), "path")
+    return rows.select("path", long("start_line").alias("low"), long("hit").alias("hit"), long("end_line").alias("end_line"))
+
+
+def _analysis(spark, sf_dir):
+    inventory = _inventory(spark, sf_dir)
+    loaded, skipped = filters.load(inventory, inventory)
+    return analyze(inventory, loaded, skipped)
+
+
+@query()
+def analyze_top20(spark, sf_dir):
+    """Merged findings of the 20 most relevant files."""
+    found = _analysis(spark, sf_dir).findings
+    return found.select("id", "type", "severity", "confidence", F.array_join("affected_files", ",").alias("files"), long("merged").alias("merged"))
+
+
+@query()
+def playbooks(spark, sf_dir):
+    """How to verify the findings of the 20 most relevant files."""
+    rows = _analysis(spark, sf_dir).playbooks
+    return rows.select("path", "rule", long("ord").alias("ord"), "strategy", F.to_json("breakpoints").alias("breakpoints"), "code")
+
+
+@query(f"{_DECIDED}, kept as (select path, content from decided where reason_code like 'INCLUDED%') select (select count(*) from decided) as total_files_scanned, count(*) as loaded_count, count(*) as total_chunks, cast(sum((path like 'public/%')::int + contains(content, 'eval(')::int + contains(content, 'child_process.exec')::int) as bigint) as finding_count from kept")
+def report_counts(spark, sf_dir):
+    return _analysis(spark, sf_dir).summary().drop("readable_finding_count")
+
+
+@query()
+def report_json(spark, sf_dir):
+    """The one document of a report."""
+    return _analysis(spark, sf_dir).json()
+
+
+@query(f"{CORPUS} select path, list_aggregate(list_sort(list_distinct(regexp_extract_all(content, '(?i)(axios\\.(post|put)|fetch)\\(\\s*[''`\"]([^''`\"]+)', 3))), 'string_agg', ',') as endpoints from code_files where regexp_matches(content, '(?i)(axios\\.(post|put)|fetch)\\(\\s*[''`\"]')")
+def distinct_endpoints(spark, sf_dir):
+    files = code_files(spark, sf_dir).withColumn("e", R.endpoints(F.col("content"))).where(F.size("e") > 0)
+    return files.select("path", F.array_join("e", ",").alias("endpoints"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

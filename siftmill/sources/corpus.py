@@ -46,8 +46,45 @@ def corpus_columns() -> list[str]:
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path and content of every derived file."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(*corpus_columns())
+    """path and content of every derived file.  A table in one small Parquet file would be one task: its keys are dealt out before the texts are made."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    wanted = spark.sparkContext.defaultParallelism
+    if len(orders.inputFiles()) < wanted:
+        orders = orders.repartition(wanted)
+    return orders.selectExpr(*corpus_columns())
 
 
 CODE_FILES_SQL = f"select {', '.join(corpus_columns())} from orders"
+
+
+# A second corpus, of which places and distances vary with the key: filler lines before, between and after what is looked for.
+_FILL = {"before": 9, "between": 12, "after": 8}
+
+
+def _fill(what: str, text: str) -> str:
+    return f"repeat(concat('{text}', chr(10)), cast(o_orderkey % {_FILL[what]} as int))"
+
+
+def _text(*parts: str) -> str:
+    """Lines in quotes and filler texts, put together; filler brings its own line ends."""
+    return f"concat({', '.join(p if p.startswith('repeat(') else f"'{p}', chr(10)" for p in parts)}, '// end')"
+
+
+VARIED = {
+    # a function around a guard and a call; of every seventh the brace is never closed
+    "call": _text(_fill("before", "// note"), "async function act(amount) {", _fill("between", "  step();"), "  if (amount <= 0) return;", "  await axios.post(`/api/act`, { amount });", _fill("after", "  step();")) .replace("'// end')", "case when o_orderkey % 7 = 0 then '// end' else '}' end)"),
+    # a source and, some lines on, a sink
+    "flow": _text(_fill("before", "// note"), "const h = location.hash;", _fill("between", "step();"), "box.outerHTML = h;", _fill("after", "step();")),
+    # a branch on a role between lines that only show one
+    "role": _text("import { navigate } from app;", _fill("before", "// note"), "const c = badge(color);", _fill("between", "step();"), "if (user.role === admin) {", "  leave();", "}", _fill("after", "step();")),
+}
+
+
+def varied_columns(kind: str) -> list[str]:
+    return [f"concat('{kind}/f', cast(o_orderkey as varchar(20)), '.js') as path", f"{VARIED[kind]} as content"]
+
+
+def varied_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """path and content of the files of one kind."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").repartition(spark.sparkContext.defaultParallelism)
+    return orders.selectExpr(*varied_columns(kind))
