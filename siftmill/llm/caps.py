@@ -10,6 +10,7 @@ crowded filters are cut into tiles of which every two meet.
 from __future__ import annotations
 
 import math
+from functools import cache
 from statistics import NormalDist
 
 import numpy as np
@@ -20,8 +21,6 @@ from pyspark.sql import functions as F
 from .common import components, materialise
 
 BLOCKS = 3
-#: Directions of a block that list decoding goes through, best first.
-DEPTH = 32
 #: Share of random pairs at the threshold that are to share a filter, and the filters a vector that this may take.
 RECALL = 0.995
 MOST_FILTERS = 64
@@ -39,38 +38,64 @@ def codebooks(dim: int, size: int) -> list[np.ndarray]:
     return out
 
 
-def _sums(units: np.ndarray, size: int):
-    """For each unit vector the sums that list decoding goes through, and their filters."""
-    n, dim = units.shape
-    parts = np.array_split(np.arange(dim), BLOCKS)
-    depth = min(size, DEPTH)
+def _gains(units: np.ndarray, size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each block the products of unit vectors with its directions, best first, and these directions."""
     rank, gain = [], []
-    for part, book in zip(parts, codebooks(dim, size), strict=True):
-        a = units[:, part] @ book.T if len(part) else np.zeros((n, size))
-        order = np.argsort(-a, axis=1, kind="stable")[:, :depth]
+    for part, book in zip(np.array_split(np.arange(units.shape[1]), BLOCKS), codebooks(units.shape[1], size), strict=True):
+        a = units[:, part] @ book.T if len(part) else np.zeros((len(units), size))
+        order = np.argsort(-a, axis=1, kind="stable")
         rank.append(order)
         gain.append(np.take_along_axis(a, order, axis=1))
-    for k in range(n):
-        total = (gain[0][k][:, None, None] + gain[1][k][None, :, None] + gain[2][k][None, None, :]).reshape(-1)
-        yield total, ((rank[0][k][:, None, None] * size + rank[1][k][None, :, None]) * size + rank[2][k][None, None, :]).reshape(-1)
+    return rank, gain
 
 
-def _best(total: np.ndarray, n: int) -> np.ndarray:
-    """Places of the n largest sums, largest first."""
-    n = min(n, len(total))
-    at = np.sort(np.argpartition(-total, n - 1)[:n])
-    return at[np.argsort(-total[at], kind="stable")]
+def _over(gain: list[np.ndarray], threshold: float) -> tuple[np.ndarray, ...]:
+    """All choices of one place a block whose gains (each falling) sum to the threshold or more: their places and sums.
+
+    Blocks are gone through best first and only as far as the best of the others can still lift a sum over the threshold."""
+    a, b, c = gain
+    i = a[: np.searchsorted(-a, b[0] + c[0] - threshold, side="right")]
+    j = b[: np.searchsorted(-b, a[0] + c[0] - threshold, side="right")]
+    both = i[:, None] + j[None, :]
+    many = np.searchsorted(-c, both - threshold, side="right")
+    x, y = np.nonzero(many)
+    times = many[x, y]
+    z = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    x, y = np.repeat(x, times), np.repeat(y, times)
+    return x, y, z, both[x, y] + c[z]
+
+
+def _best(gain: list[np.ndarray], n: int) -> tuple[np.ndarray, ...]:
+    """The n choices with the largest sums, largest first: places and sums.  The choice of rank r has places of which the product of the ranks is at most r, so n is enough of each block."""
+    x, y, z = _products(n, len(gain[0]))
+    total = gain[0][x] + gain[1][y] + gain[2][z]
+    at = np.argsort(-total, kind="stable")[:n]
+    return x[at], y[at], z[at], total[at]
+
+
+@cache
+def _products(n: int, size: int) -> tuple[np.ndarray, ...]:
+    """Places below ``size`` of three blocks of which the ranks, from 1 on, have a product of at most n."""
+    rank = np.arange(1, min(n, size) + 1)
+    return np.nonzero(rank[:, None, None] * rank[None, :, None] * rank[None, None, :] <= n)
+
+
+def _filters(rank: list[np.ndarray], places: tuple[np.ndarray, ...], size: int) -> np.ndarray:
+    x, y, z = (r[p] for r, p in zip(rank, places, strict=True))
+    return (x * size + y) * size + z
 
 
 def decode(units: np.ndarray, size: int, expected: float, least: int) -> list[np.ndarray]:
-    """Filters of each unit vector, ascending: those over the threshold that a random vector exceeds ``expected`` times on average, and the ``least`` best."""
+    """Filters of each unit vector, ascending: all over the threshold that a random vector exceeds ``expected`` times on average, and the ``least`` best."""
     threshold = NormalDist().inv_cdf(max(0.5, 1 - expected / size**BLOCKS)) / math.sqrt(units.shape[1]) * math.sqrt(BLOCKS)
+    rank, gain = _gains(units, size)
     out = []
-    for total, filters in _sums(units, size):
-        at = np.flatnonzero(total >= threshold)
-        if len(at) < least:
-            at = _best(total, least)
-        out.append(np.sort(filters[at]))
+    for k in range(len(units)):
+        own, order = [g[k] for g in gain], [r[k] for r in rank]
+        *places, sums = _over(own, threshold)
+        if len(sums) < least:
+            *places, sums = _best(own, least)
+        out.append(np.sort(_filters(order, tuple(places), size)))
     return out
 
 
@@ -90,7 +115,10 @@ def measured(dim: int, size: int, cosine: float) -> tuple[int, int]:
     The size is halved where over MOST_FILTERS filters were needed: in few dimensions large codebooks tell too little apart."""
     pairs = random_pairs(dim, cosine, 1000, 1) if dim >= BLOCKS else None  # a block without coordinates tells nothing apart
     while size > 1 and pairs is not None:
-        best = [[f[_best(t, MOST_FILTERS)] for t, f in _sums(x, size)] for x in pairs]
+        best = []
+        for x in pairs:
+            rank, gain = _gains(x, size)
+            best.append([_filters([r[k] for r in rank], _best([g[k] for g in gain], MOST_FILTERS)[:3], size) for k in range(len(x))])
         needed = []
         for a, b in zip(*best, strict=True):
             _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
@@ -104,6 +132,7 @@ def measured(dim: int, size: int, cosine: float) -> tuple[int, int]:
 
 def _meet(ids: np.ndarray, own: np.ndarray, weight: np.ndarray, x: np.ndarray, filters: list[np.ndarray], at: int, cross: bool, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of one meeting: the weight that each row gains, and links that connect what is linked."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components would leave the range of doubles
     norm = np.sqrt((x * x).sum(axis=1))
     linked = (x @ x.T) / np.outer(norm, norm) >= threshold
     np.fill_diagonal(linked, False)

@@ -394,3 +394,29 @@ def test_media_round_trip(spark):
         raw = (text or "").encode()
         want[len(raw), hashlib.sha256(raw.ljust(max(1, -(-len(raw) // 192)) * 192)).hexdigest()] += 1
     assert texts == want and media.inspect(media.store(none(spark))).count() == 0
+
+
+def test_every_media_column(spark, monkeypatch):
+    """Against the texts themselves, around the size from which all of the format is used, and with images of few rows."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäß") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    texts = [None, "", "a", "x" * 192, "x" * 193] + [" ".join(rng.choice(words) for _ in range(n)) for n in (30, 1900, 2200, 9000)]
+    for most in (media.MOST, 50):
+        monkeypatch.setattr(media, "MOST", most)
+        for text in texts:
+            raw = (text or "").encode()
+            payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
+            stored = media.to_images(payload)
+            assert media.to_images(payload) == stored and media.from_images(stored).tobytes() == payload
+    got = {r.doc_id: r for r in media.inspect(media.store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    monkeypatch.undo()
+    for k, text in enumerate(texts):
+        raw, r = (text or "").encode(), got[k]
+        payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
+        stored = media.to_images(payload)
+        x = np.frombuffer(payload, dtype=np.uint8).astype(int)
+        steps = sum(abs(int(a) - int(b)) for a, b in zip(payload[192:], payload, strict=False)) * 1000 // max(1, len(payload) - 192)
+        hist = ",".join(str(sum(b >> 5 == n for b in payload)) for n in range(8))
+        feature = f"192x{len(payload) // 192};mean={int(x.sum()) * 1000 // len(x)};var={(int((x * x).sum()) * len(x) - int(x.sum()) ** 2) // len(x) ** 2};step={steps};hist={hist}"
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) == want

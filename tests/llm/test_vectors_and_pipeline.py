@@ -67,6 +67,29 @@ def test_recall_of_random_pairs():
     assert np.mean([bool(b) for b in both]) >= 0.99
 
 
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_list_decoding_finds_all_filters(size):
+    """Against all sums: every filter over the threshold, and where these are too few the best."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((40, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    parts = np.array_split(np.arange(12), caps.BLOCKS)
+    a, b, c = (x[:, p] @ book.T for p, book in zip(parts, caps.codebooks(12, size), strict=True))
+    for expected, least in ((0.5, 3), (16.0, 8), (500.0, 8)):
+        limit = caps.NormalDist().inv_cdf(max(0.5, 1 - expected / size**3)) / np.sqrt(12) * np.sqrt(3)
+        for k, got in enumerate(caps.decode(x, size, expected, least)):
+            total = (a[k][:, None, None] + b[k][None, :, None] + c[k][None, None, :]).reshape(-1)
+            over = np.flatnonzero(total >= limit)
+            want = over if len(over) >= least else np.sort(np.argsort(-total)[:least])
+            assert got.tolist() == want.tolist()
+
+
+def test_vectors_of_any_magnitude(spark):
+    rows = [(k, [s * y for y in (1.0, 2.0, 3.0, 4.0)], 1) for k, s in enumerate((1e-300, 1.0, 1e300, -1.0))]
+    got = caps.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 0, 3)]
+
+
 @pytest.mark.parametrize("dim", [2, 16, 64])
 @pytest.mark.parametrize("size", [64, 128, 256])
 def test_recall_at_each_size(dim, size):
