@@ -37,11 +37,10 @@ def chosen(raw: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return place[first], first, np.concatenate([first[1:], [n]]) - 1
 
 
-def named(raw: bytes, window: int) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Of each chosen place: the hash of its NAME bytes, the hash of all bytes of its windows, where these begin, and how many there are (both hashes as signed 64 bits)."""
+def named(raw: bytes, window: int) -> tuple[list[int], list[bytes], list[int], list[int]]:
+    """Of each chosen place: the hash of its NAME bytes (signed 64 bits), that of all bytes of its windows (128 bits, so that different ones do not meet), where these begin, and how many there are."""
     place, first, last = (x.tolist() for x in chosen(raw, window))
-    digest = xxhash.xxh3_64_intdigest
+    digest, whole = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
     fix = lambda x: x - (1 << 64) if x >> 63 else x
     names = [fix(digest(raw[p : p + NAME])) for p in place]
-    whole = [fix(digest(raw[a : b + window])) for a, b in zip(first, last, strict=True)]
-    return names, whole, first, [b - a + window for a, b in zip(first, last, strict=True)]
+    return names, [whole(raw[a : b + window]) for a, b in zip(first, last, strict=True)], first, [b - a + window for a, b in zip(first, last, strict=True)]

@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftmill.tables import written
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table by the path that the session's file systems know."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    held = getattr(spark, "_siftmill_dir", None)
-    if held is None:
-        held = spark._siftmill_dir = "file://" + tempfile.mkdtemp(prefix="siftmill-")
-    return held
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftmill-{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    """df as a Parquet table in the shared folder: lineage is cut, lost executors lose nothing.  ``siftmill.tables.release`` deletes what a session has written."""
+    return written(df, label)
 
 
 def components(edges: DataFrame) -> DataFrame:

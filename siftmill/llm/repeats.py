@@ -6,8 +6,9 @@ Windows that choose the same place form a context.  Contexts that occur more tha
 of a name go to one task, which sorts the suffixes of many names' contexts at once and compares adjacent prefixes.  Names with
 too many contexts for that are split by ranges of the distance from a window's start to its place (``crowded_spans``).
 
-Bitmaps of fixed size drop most rows before they are shuffled.  They only ever let too much through, which later steps sort
-out, so results do not depend on their size.
+Bitmaps drop most rows before they are shuffled.  They only ever let too much through, which exact joins behind them sort out,
+so results do not depend on their size; where the keys would fill the largest bitmap there is none, and the joins do it all.
+Hashes that stand for bytes have 128 bits, and so have the keys of rows: even 10 ** 13 of them hardly ever meet by chance.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from .anchors import chosen, named, NAME
 from .common import materialise
 from .suffixes import repeated
 
+#: Bitmaps have at most two to this power of bits, and at least four for each key.
 BITMAP_BITS = 25
 #: Contexts of one name that are sorted in memory; those of names with more meet by ranges of their windows.
 GROUP = 2_500
@@ -31,21 +33,32 @@ FAN = 4
 POOL = 1 << 19
 
 
-def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of 2 ** BITMAP_BITS bits in which the bits of all keys are set; at most 2 ** (BITMAP_BITS - 6) words are collected."""
-    place = F.shiftrightunsigned(F.col(column), 64 - BITMAP_BITS)
-    words = keys.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - BITMAP_BITS}) & 63 as int))").alias("bit"))
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
+def bitmap(keys: DataFrame, column: str) -> np.ndarray | None:
+    """A bitmap in which the bits of all keys are set, or None if there are too many keys for the largest; ``keys`` is a written table."""
+    n = keys.count()
+    bits = max(10, (4 * n).bit_length())
+    if bits > BITMAP_BITS:
+        return None
+    place = F.shiftrightunsigned(F.col(column), 64 - bits)
+    words = keys.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))").alias("bit"))
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most 2 ** (BITMAP_BITS - 6) rows
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
     out[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64).view(np.uint64)
     return out
 
 
-def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def in_bitmap(bits: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+    if bits is None:
+        return np.ones(len(keys), dtype=bool)
     place = keys.astype(np.int64).view(np.uint64) >> np.uint64(64 - (len(bits) * 64).bit_length() + 1)
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def short(k: bytes) -> int:
+    """The first half of a row's key as a number."""
+    return int.from_bytes(k[:8], "little", signed=True)
+
+
 def mixed(k: np.ndarray, start: np.ndarray) -> np.ndarray:
     """One number for a row and a place in it."""
     with np.errstate(over="ignore"):
@@ -72,7 +85,7 @@ def crowded_spans(rows: DataFrame, window: int) -> list[DataFrame]:
     """
 
     def split(batches):
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for n, (place, raw, low, high) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)):
@@ -80,18 +93,18 @@ def crowded_spans(rows: DataFrame, window: int) -> list[DataFrame]:
                 for a in range(low, high + 1, step):
                     b = min(a + step - 1, high)
                     if b >= nearest and a <= farthest:
-                        core = _signed(digest(raw[place - a : place + window - b], a))
-                        full = _signed(digest(raw[place - b : place + window - a], a)) if nearest <= a and b <= farthest else None
+                        core = digest(raw[place - a : place + window - b], a)
+                        full = digest(raw[place - b : place + window - a], a) if nearest <= a and b <= farthest else None
                         for column, x in zip(out, (n, a, b, core, full), strict=True):
                             column.append(x)
             at = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(4)), *(pa.array(x, pa.int32()) for x in out[1:3]), *(pa.array(x, pa.int64()) for x in out[3:])], names=["k", "start", "place", "bytes", "low", "high", "core", "full"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(4)), *(pa.array(x, pa.int32()) for x in out[1:3]), *(pa.array(x, pa.binary()) for x in out[3:])], names=["k", "start", "place", "bytes", "low", "high", "core", "full"])
 
     spans = []
     width = window - NAME + 1
     rows = rows.select("k", "start", "place", "bytes", F.lit(0).alias("low"), F.lit(width - 1).alias("high"))
     while width > 1 and not rows.isEmpty():
-        nodes = materialise(rows.mapInArrow(split, "k long, start int, place int, bytes binary, low int, high int, core long, full long"), "ranges")
+        nodes = materialise(rows.mapInArrow(split, "k binary, start int, place int, bytes binary, low int, high int, core binary, full binary"), "ranges")
         shared = nodes.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")
         equal = nodes.where("full is not null").groupBy("full").agg(F.count("*").alias("n"), F.min(F.struct("k", "start")).alias("one")).where("n > 1")
         alive = materialise(nodes.join(shared, "core", "left_semi").join(equal, "full", "left"), "alive")
@@ -102,7 +115,7 @@ def crowded_spans(rows: DataFrame, window: int) -> list[DataFrame]:
 
 
 def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
-    """Spans of repeated windows of the rows (k long, text string): k, and spans as an array of start << 32 | length."""
+    """Spans of repeated windows of the rows (k binary, text string): k, and spans as an array of start << 32 | length."""
     spark = keyed.sparkSession
 
     def names(batches):
@@ -113,33 +126,32 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
                 out += [digest(raw[p : p + NAME]) for p in chosen(raw, window)[0].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(out, dtype=np.uint64).view(np.int64))], names=["name"])
 
-    twice = keyed.mapInArrow(names, "name long").groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    twice = materialise(keyed.mapInArrow(names, "name long").groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "twice")
     by_name = spark.sparkContext.broadcast(bitmap(twice, "name"))
 
     def contexts(batches):
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            columns: tuple[list, list, list, list, list] = ([], [], [], [], [])
             for k, raw in zip(batch.column(0).to_pylist(), _raw(batch, 1), strict=True):
-                name, whole, first, length = (np.asarray(x, dtype=np.int64) for x in named(raw, window))
-                at = np.flatnonzero(in_bitmap(by_name.value, name)) if len(name) else []
-                if len(at):
-                    for column, x in zip(columns, (np.full(len(at), k, dtype=np.int64), name[at], whole[at], first[at].astype(np.int32), length[at].astype(np.int32)), strict=True):
+                name, whole, first, length = named(raw, window)
+                for n in np.flatnonzero(in_bitmap(by_name.value, np.asarray(name, dtype=np.int64))).tolist() if name else ():
+                    for column, x in zip(columns, (k, name[n], whole[n], first[n], length[n]), strict=True):
                         column.append(x)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["k", "name", "context", "start", "length"])
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=["k", "name", "context", "start", "length"])
 
-    c = materialise(keyed.mapInArrow(contexts, "k long, name long, context long, start int, length int"), "contexts")
+    c = keyed.mapInArrow(contexts, "k binary, name long, context binary, start int, length int")
+    c = materialise(c if by_name.value is not None else c.join(twice, "name", "left_semi"), "contexts")
     g = materialise(c.groupBy("name", "context").agg(F.count("*").alias("n"), F.min(F.struct("k", "start")).alias("one")), "classes")
     whole = c.join(g.where("n > 1").select("name", "context"), ["name", "context"]).select("k", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"))
     mixed_names = materialise(g.groupBy("name").agg(F.count("*").alias("classes"), F.count_if(F.col("n") == 1).alias("single")).where("classes > 1 and single > 0").select("name", "classes"), "names")
 
     def mixing(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)))], names=["at"])
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(np.array(list(map(short, batch.column(0).to_pylist())), dtype=np.int64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)))], names=["at"])
 
-    asked = materialise(g.join(mixed_names, "name").select("one.k", "one.start"), "asked")
+    asked = materialise(g.join(mixed_names, "name").select("one.k", "one.start", (F.col("classes") > group).alias("crowded")).dropDuplicates(["k", "start"]), "asked")
     by_place = spark.sparkContext.broadcast(bitmap(asked.mapInArrow(mixing, "at long"), "at"))
-    by_crowd = spark.sparkContext.broadcast(bitmap(mixed_names.where(F.col("classes") > group), "name"))
 
     def texts(batches):
         digest = xxhash.xxh3_64_intdigest
@@ -151,13 +163,12 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
                     continue
                 seen.add(k)
                 place, first, last = chosen(raw, window)
-                at = np.flatnonzero(in_bitmap(by_place.value, mixed(np.full(len(first), k, dtype=np.int64), first))) if len(first) else []
+                at = np.flatnonzero(in_bitmap(by_place.value, mixed(np.full(len(first), short(k), dtype=np.int64), first))) if len(first) else []
                 for p, a, b in zip(place[at].tolist(), first[at].tolist(), last[at].tolist(), strict=True) if len(at) else ():
                     for column, x in zip(out, (_signed(digest(raw[p : p + NAME])), k, a, p - a, raw[a : b + window]), strict=True):
                         column.append(x)
-            if out[0]:
-                crowded = in_bitmap(by_crowd.value, np.asarray(out[0], dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary()), pa.array(crowded)], names=["name", "k", "start", "place", "bytes", "crowded"])
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["name", "k", "start", "place", "bytes"])
 
     def compare(batches):
         last, rows, pool = None, [], []
@@ -181,7 +192,7 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
                     sort()
 
         def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["k", "start", "length"])
+            batch = pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), *(pa.array(x, pa.int64()) for x in out[1:])], names=["k", "start", "length"])
             for column in out:
                 column.clear()
             return batch
@@ -198,10 +209,10 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
         yield flush()
 
     # The bitmap lets further copies through, and repeated rows share k: one row a context goes on.
-    found = keyed.mapInArrow(texts, "name long, k long, start int, place int, bytes binary, crowded boolean")
-    asked_texts = materialise(found.join(asked, ["k", "start"], "left_semi").dropDuplicates(["k", "start"]), "texts")
+    found = keyed.mapInArrow(texts, "name long, k binary, start int, place int, bytes binary")
+    asked_texts = materialise(found.join(asked, ["k", "start"]).dropDuplicates(["k", "start"]), "texts")
     dealt = asked_texts.where("not crowded").select("name", "k", "start", "bytes").repartition("name").sortWithinPartitions("name")
-    spans = whole.union(dealt.mapInArrow(compare, "k long, start long, length long"))
+    spans = whole.union(dealt.mapInArrow(compare, "k binary, start long, length long"))
     for more in crowded_spans(asked_texts.where("crowded"), window):
         spans = spans.union(more)
     return spans.groupBy("k").agg(F.collect_set(F.shiftleft(F.col("start"), 32).bitwiseOR(F.col("length"))).alias("spans"))
@@ -239,7 +250,8 @@ def cut_repeats(docs: DataFrame, window: int = 200, whole_characters: bool = Fal
     An empty table gives no rows; other columns pass through unless they have the name of a new one.
     """
     docs = docs.drop("n_bytes", "runs", "kept", "_k", "_spans")
-    key = F.xxhash64(id_col, text_col)
+    own_id = F.when(F.col(id_col).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.length(F.col(id_col).cast("string")), F.lit(":"), F.col(id_col).cast("string")))
+    key = F.unhex(F.md5(F.concat(own_id, F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
     spans = spans_of(docs.select(key.alias("k"), F.col(text_col).cast("string").alias("text")), window, group)
     joined = docs.withColumn("_k", key).join(spans.select(F.col("k").alias("_k"), F.col("spans").alias("_spans")), "_k", "left").drop("_k")
     place = joined.columns.index(text_col)

@@ -237,7 +237,7 @@ def test_repeated_rows_and_one_near_copy(spark):
     rows = [(1, text)] * 10_000 + [(2, near)] + [(None, text[::-1])] * 10_000 + [(3, near[::-1])]
     got = repeats.cut_repeats(spark.createDataFrame(rows, DOCS)).groupBy("doc_id", "kept").count().collect()
     assert {r.doc_id: bytes(r.kept) for r in got} == want and sorted(r["count"] for r in got) == [1, 1, 10_000, 10_000]
-    spans = repeats.spans_of(spark.createDataFrame([(1, text)] * 50, "k long, text string"), 200).first().spans
+    spans = repeats.spans_of(spark.createDataFrame([(bytearray(b"k" * 16), text)] * 50, "k binary, text string"), 200).first().spans
     assert len(spans) == len(set(spans))
 
 
