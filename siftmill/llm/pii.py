@@ -29,13 +29,29 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
-#: Wide patterns for further kinds: tokens with a digit that are long enough for a key, and grouped identity numbers.
+#: Wide patterns for further kinds: tokens with a digit that are long enough for a key, grouped identity numbers, two or
+#: three capitalised words, and a number before capitalised words.
 CANDIDATES = {
-    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,64}+[0-9])[A-Za-z0-9_/+-]{16,128}+(?![A-Za-z0-9_/+-])",
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+",
     "identity": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "person": r"(?<![A-Za-z])[A-Z][a-z]{1,20}+(?:\.?+ [A-Z][a-z]{1,20}+){1,2}+(?![A-Za-z])",
+    "address": r"(?<![0-9A-Za-z])[0-9]{1,5}+(?: [A-Z][a-z]{1,20}+){1,3}+(?:,? [0-9]{5}(?![0-9]))?+(?![A-Za-z])",
 }
+#: Kinds whose labelers are weighed together; what one text form is worth says nothing of another.
+FAMILIES = (("secret", "identity"), ("person",), ("address",))
 # The gazetteer of key prefixes.
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "AIza", "glpat-")
+# The gazetteers of forms of address, first names and kinds of street.
+TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau")
+FIRST_NAMES = (
+    "Alice", "Andrew", "Anna", "Anthony", "Barbara", "Betty", "Brian", "Carlos", "Charles", "Christopher", "Daniel", "David", "Deborah", "Donald", "Dorothy",
+    "Edward", "Elizabeth", "Emily", "Emma", "George", "Hans", "Helen", "James", "Jennifer", "Jessica", "John", "Joseph", "Juan", "Karen", "Kenneth", "Laura",
+    "Linda", "Lisa", "Margaret", "Maria", "Mark", "Mary", "Matthew", "Michael", "Nancy", "Patricia", "Paul", "Peter", "Richard", "Robert", "Sandra", "Sarah",
+    "Steven", "Susan", "Thomas", "William",
+)
+STREETS = ("Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Boulevard", "Blvd", "Court", "Square", "Terrace")
+NAMED_FOR = r"(?i)(?:\bname|contact|dear|signed|regards|employee|patient|customer|born)\W{0,6}$"
+PLACED_FOR = r"(?i)(?:address|lives? at|ship(?:ped)? to|located at|residence|deliver(?:ed)? to)\W{0,6}$"
 CONTEXT_FOR = r"(?i)(?:passw(?:or)?d|passwd|pwd|token|secret|api[_ -]?key|access[_ -]?key|auth|credential|ssn|social security|identity)\W{0,6}$"
 CONTEXT_AGAINST = r"(?i)(?:https?:|www\.|/|sha1|sha256|md5|commit|checksum|version|doi|isbn)\W{0,3}$"
 LABELERS = 4
@@ -88,8 +104,22 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of(n, kind) for n, kind in enumerate(KINDS)]))
 
 
-def votes(hit: Column, gap: Column) -> list[Column]:
+def one_of(words: tuple[str, ...]) -> str:
+    return r"\b(?:" + "|".join(words) + r")\b"
+
+
+def votes(kind: str, hit: Column, gap: Column) -> list[Column]:
     """1, -1 or 0 (abstains) of the regex, gazetteer, context and shape labelers."""
+    if kind == "person":
+        regex = F.when(hit.rlike("^" + one_of(TITLES)), 1).otherwise(0)
+        gazetteer = F.when(hit.rlike(one_of(FIRST_NAMES)), 1).otherwise(-1)
+        context = F.when(gap.rlike(NAMED_FOR), 1).otherwise(0)
+        return [regex, gazetteer, context, F.when((gap == "") | gap.rlike(r"[.!?:\n]\s*$"), -1).otherwise(0)]
+    if kind == "address":
+        regex = F.when(hit.rlike("[0-9]{5}$"), 1).otherwise(0)
+        gazetteer = F.when(hit.rlike(one_of(STREETS)), 1).otherwise(-1)
+        context = F.when(gap.rlike(PLACED_FOR), 1).otherwise(0)
+        return [regex, gazetteer, context, F.when(hit.rlike("^[0-9]+ [A-Z][a-z]+$"), -1).otherwise(0)]
     digits = F.length(F.regexp_replace(hit, "[^0-9]", ""))
     share = digits / F.length(hit)
     regex = F.when(hit.rlike(r"^(?:[0-9a-f]{16,}|[0-9A-F]{16,}|[A-Z0-9]{20}|[0-9]{3}-[0-9]{2}-[0-9]{4})$") & hit.rlike("[A-Za-z]|-"), 1).when(hit.rlike(r"[a-z]-[a-z]|/"), -1).otherwise(0)
@@ -101,6 +131,11 @@ def votes(hit: Column, gap: Column) -> list[Column]:
 
 def features(kind: str, hit: Column, gap: Column) -> list[Column]:
     """What the final classifier sees of a span; each takes a few values."""
+    flag = lambda c: c.cast("string")
+    if kind == "person":
+        return [F.lit(kind), flag(hit.rlike("^" + one_of(TITLES))), flag(hit.rlike(one_of(FIRST_NAMES))), flag(F.size(F.split(hit, " "))), flag(gap.rlike(NAMED_FOR))]
+    if kind == "address":
+        return [F.lit(kind), flag(hit.rlike(one_of(STREETS))), flag(hit.rlike("[0-9]{5}$")), flag(F.size(F.split(hit, " "))), flag(gap.rlike(PLACED_FOR))]
     share = F.length(F.regexp_replace(hit, "[^0-9]", "")) / F.length(hit)
     mix = F.concat(hit.rlike("[a-z]").cast("int").cast("string"), hit.rlike("[A-Z]").cast("int").cast("string"), hit.rlike("[_/+-]").cast("int").cast("string"), hit.rlike("(?i)[g-z]").cast("int").cast("string"))
     return [F.lit(kind), F.least(F.floor(F.length(hit) / 8), F.lit(6)).cast("string"), F.floor(share * 4).cast("string"), mix, gap.rlike(r"[=:]\s*[\"']?$").cast("string"), gap.rlike(CONTEXT_FOR).cast("string")]
@@ -111,10 +146,11 @@ def candidate_spans(text: Column) -> Column:
     none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string,cell:string>>)")
 
     def of(kind: str, pattern: str) -> Column:
-        cell = lambda x: F.concat_ws("|", *[v.cast("string") for v in votes(x["hit"], x["gap"])], *features(kind, x["hit"], x["gap"]))
+        cell = lambda x: F.concat_ws("|", *[v.cast("string") for v in votes(kind, x["hit"], x["gap"])], *features(kind, x["hit"], x["gap"]))
         return F.transform(located(text, pattern), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), cell(x).alias("cell")))
 
-    return F.when(text.rlike("[0-9]"), F.concat(*[of(*x) for x in CANDIDATES.items()])).otherwise(none)
+    numbered = F.when(text.rlike("[0-9]"), F.concat(*[of(k, CANDIDATES[k]) for k in ("secret", "identity", "address")])).otherwise(none)
+    return F.concat(numbered, of("person", CANDIDATES["person"]))
 
 
 def accepted(cells: dict[str, int], rounds: int = 30) -> list[str]:
@@ -124,6 +160,8 @@ def accepted(cells: dict[str, int], rounds: int = 30) -> list[str]:
     whatever the corpus.  Starts from the majority of the votes, and then alternates the posteriors of the cells with the
     prior and the labelers' rates of each vote.
     """
+    if not cells:
+        return []
     parsed = {c: ([int(v) for v in c.split("|")[:LABELERS]], c.split("|")[LABELERS:]) for c in cells}
     post = {c: 0.9 if sum(v) > 0 else 0.1 if sum(v) < 0 else 0.5 for c, (v, _) in parsed.items()}
     for _ in range(rounds):
@@ -148,6 +186,12 @@ def accepted(cells: dict[str, int], rounds: int = 30) -> list[str]:
     return [c for c in cells if score(parsed[c][1]) > 0]
 
 
+def accepted_of(cells: dict[str, int]) -> list[str]:
+    """The accepted cells of all families, each weighed by itself."""
+    kind = lambda c: c.split("|")[LABELERS]
+    return [c for family in FAMILIES for c in accepted({c: n for c, n in cells.items() if kind(c) in family})]
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, base and extra, arrays of structs (start, kind, end) and (start, end, kind).
 
@@ -159,7 +203,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     spans = spans.select(id_col, "base", free.alias("candidates"))
     cells = {r["cell"]: r["n"] for r in spans.select(F.explode("candidates.cell").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    good = accepted(cells)
+    good = accepted_of(cells)
     kept = F.filter("candidates", lambda c: c["cell"].isin(good)) if good else F.filter("candidates", lambda c: F.lit(False))
     return spans.select(id_col, "base", F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))).alias("extra"))
 
@@ -170,7 +214,7 @@ def annotate(docs: DataFrame, text_col: str = "text") -> DataFrame:
     free = F.filter("_candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     found = docs.withColumns({"base": base_spans(text), "_candidates": candidate_spans(text)}).withColumn("_candidates", free)
     cells = {r["cell"]: r["n"] for r in found.select(F.explode("_candidates.cell").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    good = accepted(cells)
+    good = accepted_of(cells)
     kept = F.filter("_candidates", lambda c: c["cell"].isin(good) if good else F.lit(False))
     return found.withColumn("extra", F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))).drop("_candidates")
 

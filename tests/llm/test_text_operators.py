@@ -71,6 +71,15 @@ def test_pii_adds_secrets_and_masks(spark):
     assert pii.find(none(spark)).count() == 0 and pii.find(odd(spark)).count() == len(ODD)
 
 
+def test_pii_names_addresses_and_long_keys(spark):
+    """Names and addresses are told from other capitalised words; keys have no longest form."""
+    rows = [(k, f"the contact Anna Smith{k % 7 * 'x'} of it lives at {k + 1} Elm Street and so on") for k in range(30)]
+    rows += [(100 + k, f"In the Big House of {k + 1} Green Apples nobody sang.") for k in range(30)]
+    rows += [(200 + k, f'the token = "{hashlib.sha512(str(k).encode()).hexdigest()}{"0a" * 80}" of it') for k in range(20)]
+    found = {r.doc_id: [(x.kind, x.start, x.end) for x in r.extra] for r in pii.find(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found[0] == [("address", 38, 50), ("person", 12, 22)] and found[103] == [] and found[200] == [("secret", 13, 301)]
+
+
 # toxicity
 
 
