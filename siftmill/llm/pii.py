@@ -29,18 +29,6 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
-#: Wide patterns for further kinds: tokens with a digit that are long enough for a key, grouped identity numbers, two or
-#: three capitalised words, and a number before capitalised words.
-CANDIDATES = {
-    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+",
-    "identity": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "person": r"(?<![A-Za-z])[A-Z][a-z]{1,20}+(?:\.?+ [A-Z][a-z]{1,20}+){1,2}+(?![A-Za-z])",
-    "address": r"(?<![0-9A-Za-z])[0-9]{1,5}+(?: [A-Z][a-z]{1,20}+){1,3}+(?:,? [0-9]{5}(?![0-9]))?+(?![A-Za-z])",
-}
-#: Kinds whose labelers are weighed together; what one text form is worth says nothing of another.
-FAMILIES = (("secret", "identity"), ("person",), ("address",))
-# The gazetteer of key prefixes.
-KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "AIza", "glpat-")
 # The gazetteers of forms of address, first names and kinds of street.
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau")
 FIRST_NAMES = (
@@ -50,6 +38,19 @@ FIRST_NAMES = (
     "Steven", "Susan", "Thomas", "William",
 )
 STREETS = ("Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Boulevard", "Blvd", "Court", "Square", "Terrace")
+#: Wide patterns for further kinds: tokens with a digit that are long enough for a key, grouped identity numbers, capitalised
+#: words behind a form of address or from a first name on, and a number before capitalised words.  Any two capitalised words
+#: would be far too many candidates in some languages.
+CANDIDATES = {
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+",
+    "identity": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "person": r"(?<![A-Za-z])(?:(?:" + "|".join(TITLES) + r")\.?+ [A-Z][a-z]{1,20}+|(?:" + "|".join(FIRST_NAMES) + r")(?= [A-Z][a-z]))(?: [A-Z][a-z]{1,20}+){0,2}+(?![A-Za-z])",
+    "address": r"(?<![0-9A-Za-z])[0-9]{1,5}+(?: [A-Z][a-z]{1,20}+){1,3}+(?:,? [0-9]{5}(?![0-9]))?+(?![A-Za-z])",
+}
+#: Kinds whose labelers are weighed together; what one text form is worth says nothing of another.
+FAMILIES = (("secret", "identity"), ("person",), ("address",))
+# The gazetteer of key prefixes.
+KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "AIza", "glpat-")
 NAMED_FOR = r"(?i)(?:\bname|contact|dear|signed|regards|employee|patient|customer|born)\W{0,6}$"
 PLACED_FOR = r"(?i)(?:address|lives? at|ship(?:ped)? to|located at|residence|deliver(?:ed)? to)\W{0,6}$"
 CONTEXT_FOR = r"(?i)(?:passw(?:or)?d|passwd|pwd|token|secret|api[_ -]?key|access[_ -]?key|auth|credential|ssn|social security|identity)\W{0,6}$"

@@ -213,6 +213,14 @@ def test_stages_keep_the_columns(spark, tmp_path):
     assert masked.text.startswith("Mail me at <email> or <phone>,") and masked.n_chars == len(masked.text) and masked.base == "x"
 
 
+def test_toxicity_of_held_out_documents(spark):
+    """Of the labelled documents that were not learned from, those predicted toxic are, and most toxic ones are predicted."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("toxic is not null").select("doc_id", "toxic").distinct()
+    got = queries.op2_toxicity_crf(spark, "/root/testdata/sf0.01").where("held_out").join(labels, "doc_id").select("predicted", "toxic", "score").toPandas()
+    hit = ((got.predicted == 1) & (got.toxic == 1)).sum()
+    assert len(got) > 50 and hit >= 0.9 * (got.predicted == 1).sum() and hit >= 0.5 * (got.toxic == 1).sum()
+
+
 def test_queries_on_the_smallest_tables(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").toPandas().set_index("doc_id")
     for name, q in queries.queries().items():
