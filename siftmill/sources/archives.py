@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from siftmill.config import DEFAULT, EngineConfig
 from siftmill.functions.text import extension
 
+#: Bytes of entries that are held before they go on.
+BATCH_BYTES = 16 << 20
 ENTRY = "archive string, entry_ord int, path string, size long, attributes long, raw binary, error string"
 
 
@@ -50,10 +52,15 @@ def expand_archives(archives: DataFrame, config: EngineConfig = DEFAULT) -> tupl
     """
     limit, members = config.max_unpacked_bytes, config.max_members
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["archive", "entry_ord", "path", "size", "attributes", "raw", "error"])
+
     def unpack(batches):
+        """Entries go on in small batches; an error found later comes as a row of its own, by which the archive is dropped."""
         for batch in batches:
             for name, raw, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = []
+                rows, held = [], 0
                 if error is None:
                     try:
                         with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -75,12 +82,15 @@ def expand_archives(archives: DataFrame, config: EngineConfig = DEFAULT) -> tupl
                                         error = "TOO_LARGE_UNPACKED"
                                         break
                                     rows.append((name, k, i.filename.replace("\\", "/"), len(data), i.external_attr, data, None))
+                                    held += len(data)
+                                    if held > BATCH_BYTES:
+                                        yield table(rows)
+                                        rows, held = [], 0
                     except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError):
                         error = "BAD_ZIP"
                 if error is not None:
                     rows = [(name, -1, None, None, None, None, error)]
-                kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["archive", "entry_ord", "path", "size", "attributes", "raw", "error"])
+                yield table(rows)
 
     entries = archives.select("archive", "raw", "error").mapInArrow(unpack, ENTRY)
     found = entries.withColumn("error", F.coalesce("error", path_error(F.col("path")), mode_error(F.col("attributes"))))
