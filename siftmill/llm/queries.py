@@ -87,9 +87,57 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect(store(read_table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives
+
+    return hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import exact_copies
+
+    return exact_copies(read_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tries import prefix_trie
+
+    c = F.col("c")
+    return prefix_trie(read_table(spark, sf_dir, "conversations"), borrow=F.crc32(c.cast("string")) % 4, base=c - c % 20, most=3)
+
+
+_NEGATIVES = """with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, other) as integer) as rank, other as negative_id, positive_score, score as negative_score
+from p join s on p.anchor_id = s.anchor_id and not s.same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, other) <= 5"""
+
+_EXACT = """select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256
+from (select doc_id, coalesce(text, '') as t from documents) window same as (partition by t)"""
+
+# DuckDB has no crc32: one step of the register for each bit.
+_CRC = "xor(list_reduce(list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint)), lambda a, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda r, i: xor(r >> 1, (r & 1) * 3988292384), xor(a, b)), 4294967295), 4294967295)"
+_TRIE = f"""with t as (select conv_id, coalesce(role, '') || chr(10) || coalesce(text, '') as x, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words,
+    row_number() over (partition by conv_id order by turn nulls first, sha256(coalesce(role, '') || chr(10) || coalesce(text, ''))) - 1 as pos from conversations where conv_id is not null),
+c as (select conv_id, {_CRC} % 4 as h from (select distinct conv_id from t)),
+r as (select c.conv_id as c, 0 as own, t.pos, x, words from c join t on t.conv_id = c.conv_id - c.conv_id % 20 and t.pos < h union all select c.conv_id, 1, t.pos, x, words from c join t on t.conv_id = c.conv_id and t.pos >= h),
+d as (select c, row_number() over (partition by c order by own, pos) as d, sha256(x) as x, words from r),
+m as (select c, d, words, sha256(string_agg(x, ',') over (partition by c order by d rows unbounded preceding)) as k from d union all select conv_id, 0, 0, '' from c),
+n as (select d, k, min(c) as conv, count(*) as n, any_value(words) as words from m group by d, k),
+up as (select n.d, n.k, n.conv, n.n, n.words, m.k as parent from n left join m on m.c = n.conv and m.d = n.d - 1),
+kids as (select parent, count(*) as kids from up where parent is not null group by parent),
+own as (select up.*, coalesce(kids, 0) as kids, (n - 1) * words as saved from up left join kids on kids.parent = up.k),
+below as (select m.k, sum(case when kids = 0 then 1 else 0 end) as leaves, sum(saved) as saved from own join m on m.c = own.conv and m.d <= own.d group by m.k),
+ends as (select k, sha256(string_agg(cast(c as varchar), ',' order by c)) as ends from (select c, k from m qualify d = max(d) over (partition by c)) group by k)
+select own.conv as conv_id, cast(own.d as bigint) as depth, p.conv as parent_conv_id, cast(own.n as bigint) as n_convs, cast(own.kids as bigint) as n_children, cast(leaves as bigint) as n_leaves, cast(below.saved as bigint) as saved_tokens, coalesce(ends, sha256('')) as ends_sha256
+from own join below on below.k = own.k left join n p on p.k = own.parent left join ends on ends.k = own.k"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_hard_negatives": _NEGATIVES, "op12_exact_dedup": _EXACT, "op13_conversation_trie": _TRIE}
