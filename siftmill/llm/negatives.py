@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-CLUSTERS = 16
+CLUSTERS = 8
 #: Anchors that the centers are fitted on, and rows that the tiers' bounds are chosen on; both touch speed only.
 SAMPLE = 4096
 #: Shares of a cluster's list at which its tiers end; a last tier has the rest.
@@ -31,6 +31,11 @@ MOST = 1 << 28
 _SLACK = 1e-9
 
 
+def unpacked(vectors: list[bytes], dim: int) -> np.ndarray:
+    """Packed vectors of one length as rows of doubles."""
+    return np.frombuffer(b"".join(vectors), dtype="<i4").reshape(len(vectors), dim).astype(np.float64)
+
+
 def centers(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Unit centers of a spherical k-means over the rows of x that are not zero."""
     norm = np.linalg.norm(x, axis=1)
@@ -72,7 +77,7 @@ def walk(asks: list[dict], ids: np.ndarray, rows: np.ndarray, labels: np.ndarray
 
     The list is gone along by falling bound.  An ask leaves it once the bound is below all that it still takes."""
     order = np.argsort(-bound, kind="stable")
-    q = np.array([a["v"] for a in asks], dtype=np.float64)
+    q = unpacked([a["v"] for a in asks], x.shape[1])
     norm = np.linalg.norm(q, axis=1)
     label, anchor, same = (np.array([a[k] for a in asks]) for k in ("label", "anchor", "same"))
     low, high = np.array([a["low"] for a in asks], np.int64), np.array([a["high"] for a in asks], np.int64)
@@ -101,40 +106,40 @@ NO_ID = np.iinfo(np.int64).max
 
 
 class Lists:
-    """The clusters of a set of anchors and the lists of rows that they share.  ``rows``: row, id, label, v (whole numbers as doubles)."""
+    """The clusters of a set of anchors and the lists of rows that they share.  ``rows``: row, id, label, dim and v (packed)."""
 
     def __init__(self, rows: DataFrame, anchors: DataFrame):
         self.rows, self.anchors = rows, anchors
-        sample = lambda df: df.select("v", F.xxhash64("row").alias("h")).orderBy("h").limit(SAMPLE).collect()
-        seen: dict[int, list] = {}
-        for r in sample(anchors):
-            seen.setdefault(len(r["v"]), []).append(r["v"])
-        self.centers = fitted = {d: centers(np.array(v, dtype=np.float64), CLUSTERS) for d, v in seen.items()}
+
+        def sample(df: DataFrame) -> dict[int, np.ndarray]:
+            seen: dict[int, list] = {}
+            for r in df.select("dim", "v", F.xxhash64("row").alias("h")).orderBy("h").limit(SAMPLE).collect():
+                seen.setdefault(r["dim"], []).append(bytes(r["v"]))
+            return {d: unpacked(v, d) for d, v in seen.items()}
+
+        self.centers = fitted = {d: centers(x, CLUSTERS) for d, x in sample(anchors).items()}
 
         def place(batches):
             for batch in batches:
-                v = batch.column(1).to_pylist()
-                own, angle = [], []
-                for x in v:
-                    c = fitted.get(len(x), np.zeros((1, len(x))))
-                    a = angles(np.array([x], dtype=np.float64), c)[1][0]
-                    own.append(int(np.argmin(a)))
-                    angle.append(float(a.min()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int32()), pa.array([len(x) for x in v], pa.int32()), pa.array(angle)], names=["anchor", "cluster", "dim", "angle"])
-
-        self.members = materialise(anchors.select("row", "v").mapInArrow(place, "anchor long, cluster int, dim int, angle double"), "members")
+                v, dims = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+                own, angle, norm = np.zeros(len(v), np.int32), np.zeros(len(v)), np.zeros(len(v))
+                for d in np.unique(dims).tolist():
+                    k = np.flatnonzero(dims == d)
+                    norm[k], a = angles(unpacked([v[j] for j in k], d), fitted.get(d, np.zeros((1, d))))
+                    own[k], angle[k] = a.argmin(axis=1), a.min(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), batch.column(2), pa.array(angle), pa.array(norm)], names=["anchor", "cluster", "dim", "angle", "norm"])
+
+        self.members = materialise(anchors.select("row", "v", "dim").mapInArrow(place, "anchor long, cluster int, dim int, angle double, norm double"), "members")
         self.widest: dict[int, np.ndarray] = {}
         for r in self.members.groupBy("dim", "cluster").agg(F.max("angle").alias("widest")).collect():
             c = self.widest.setdefault(r["dim"], np.zeros(len(fitted.get(r["dim"], [0]))))
             c[r["cluster"]] = r["widest"]
-        self.sizes = {r["dim"]: r["count"] for r in rows.groupBy(F.size("v").alias("dim")).count().collect() if r["dim"] in self.widest}
-        known: dict[int, list] = {}
-        for r in sample(rows):
-            known.setdefault(len(r["v"]), []).append(r["v"])
+        self.sizes = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect() if r["dim"] in self.widest}
+        known = sample(rows)
         self.ends: dict[int, np.ndarray] = {}  # by dim: for each tier but the last, each cluster's bound at its end
         for d, widest in self.widest.items():
             if d in known:
-                own = -np.sort(-self._bounds(d, np.array(known[d], dtype=np.float64)), axis=0)
+                own = -np.sort(-self._bounds(d, known[d]), axis=0)
                 self.ends[d] = np.stack([own[min(len(own) - 1, int(t * len(own)))] for t in TIERS])
             else:
                 self.ends[d] = np.full((len(TIERS), len(widest)), -np.inf)
@@ -151,19 +156,17 @@ class Lists:
         wanted: dict[int, list[tuple[int, int]]] = {}
         for (d, c), many in groups.items():
             wanted.setdefault(d, []).append((c, many))
-        own, ends, told = self, self.ends, {d: sorted(v) for d, v in wanted.items()}
+        ends, told = self.ends, {d: sorted(v) for d, v in wanted.items()}
         fitted, widest = self.centers, self.widest
 
         def deal(batches):
             for batch in batches:
                 for part in (batch.slice(i, 2048) for i in range(0, len(batch), 2048)):
-                    v, row = part.column(3).to_pylist(), part.column(0).to_numpy()
-                    dims = np.array([len(x) for x in v])
+                    v, row, dims = part.column(3).to_pylist(), part.column(0).to_numpy(), part.column(4).to_numpy()
                     at, cell, bound = [], [], []
                     for d in set(dims.tolist()) & set(told):
                         k = np.flatnonzero(dims == d)
-                        x = np.array([v[j] for j in k], dtype=np.float64)
-                        norm, angle = angles(x, fitted.get(d, np.zeros((1, d))))
+                        norm, angle = angles(unpacked([v[j] for j in k], d), fitted.get(d, np.zeros((1, d))))
                         b = bounds(norm, angle, widest[d])
                         which = (b[:, None, :] < ends[d][None]).sum(axis=1)
                         chunk = (row[k].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks[d]
@@ -174,12 +177,12 @@ class Lists:
                                 bound.append(b[j, c])
                                 cell.append(np.stack([np.full(len(j), d), np.full(len(j), c), np.full(len(j), g), chunk[j]], axis=1))
                     if at and sum(map(len, at)):
-                        taken = pa.RecordBatch.from_arrays(part.columns, names=part.schema.names).take(pa.array(np.concatenate(at)))
+                        taken = part.select(["row", "id", "label", "v"]).take(pa.array(np.concatenate(at)))
                         cells = np.concatenate(cell)
                         names = ["dim", "cluster", "grp", "chunk", "bound", *taken.schema.names]
                         yield pa.RecordBatch.from_arrays([*(pa.array(cells[:, i], pa.int32()) for i in range(4)), pa.array(np.concatenate(bound)), *taken.columns], names=names)
 
-        lists = own.rows.select("row", "id", "label", "v").mapInArrow(deal, f"dim int, cluster int, grp int, chunk int, bound double, row long, id long, label {dict(self.rows.dtypes)['label']}, v array<double>")
+        lists = self.rows.select("row", "id", "label", "v", "dim").mapInArrow(deal, "dim int, cluster int, grp int, chunk int, bound double, row long, id long, label long, v binary")
         sizes = self.rows.sparkSession.createDataFrame([(d, c, many, chunks[d]) for (d, c), many in groups.items()], "dim int, cluster int, many int, chunks int")
         members = asks.join(F.broadcast(sizes), ["dim", "cluster"]).withColumn("grp", F.pmod(F.xxhash64("anchor", "slot"), F.col("many")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         members = members.join(self.anchors.select(F.col("row").alias("anchor"), "label", "v"), "anchor").select("dim", "cluster", "grp", "chunk", "anchor", "slot", "same", "low", "high", "most", "label", "v")
@@ -187,7 +190,8 @@ class Lists:
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
             got: list[tuple] = []
             if len(left) and len(right):
-                got = walk(left.to_pylist(), right.column("id").to_numpy(), right.column("row").to_numpy(), right.column("label").to_numpy(), np.array(right.column("v").to_pylist(), dtype=np.float64), right.column("bound").to_numpy())
+                x = unpacked(right.column("v").to_pylist(), left.column("dim")[0].as_py())
+                got = walk(left.to_pylist(), *(right.column(c).to_numpy() for c in ("id", "row", "label")), x, right.column("bound").to_numpy())
             return pa.table([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["anchor", "slot", "score", "id", "row"])
 
         key = ["dim", "cluster", "grp", "chunk"]
@@ -196,7 +200,7 @@ class Lists:
     def all(self, asks: DataFrame, limit: int) -> DataFrame:
         """What the asks find in the whole lists: tier after tier, until every ask is certified."""
         found, tiers = None, len(TIERS) + 1
-        norms = self.anchors.select(F.col("row").alias("anchor"), F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+        norms = self.members.select("anchor", "norm")
         asks = materialise(asks, "asks")
         first = asks
         for tier in range(tiers):
@@ -222,14 +226,23 @@ def best(found: DataFrame, asks: DataFrame, limit: int) -> DataFrame:
 
 
 def prepared(vectors: DataFrame, scale: int, relabel: tuple[int, int], id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """Rows that take part (row, vec_id, id, label, v): neither label nor vector null, all components finite.  ``id`` comes after all others where vec_id is null."""
+    """Rows that take part (row, vec_id, id, label, dim, v): neither label nor vector null, all components finite.  ``v`` is packed: the whole
+    numbers as little-endian 32-bit ones.  ``id`` comes after all others where vec_id is null."""
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     own = own.where(F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
-    within = lambda x, most: F.greatest(F.lit(-float(most)), F.least(F.lit(float(most)), x))
-    whole = F.transform("v", lambda x: within(F.floor(within(x * scale, 1 << 50)).cast("double"), MOST))
     label = F.when(F.col("vec_id") % relabel[0] == 0, (F.col("label") + 1) % relabel[1]).otherwise(F.col("label"))
-    rows = own.select("vec_id", F.coalesce("vec_id", F.lit(NO_ID)).alias("id"), label.alias("label"), whole.alias("v"))
+
+    def packed(batches):
+        for batch in batches:
+            lists = batch.column(3)
+            whole = np.clip(np.floor(np.clip(lists.flatten().to_numpy(zero_copy_only=False) * scale, -1e15, 1e15)), -MOST, MOST).astype("<i4").tobytes()
+            ends = 4 * np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            v = [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists.value_lengths().cast(pa.int32()), pa.array(v, pa.binary())], names=["vec_id", "id", "label", "dim", "v"])
+
+    rows = own.select("vec_id", F.coalesce("vec_id", F.lit(NO_ID)).alias("id"), label.alias("label"), "v")
+    rows = rows.mapInArrow(packed, "vec_id long, id long, label long, dim int, v binary")
     return materialise(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
 
 
@@ -246,7 +259,7 @@ def hard_negatives(vectors: DataFrame, every: int = 100, positives: int = 5, neg
     rows = prepared(vectors, scale, relabel, id_col, vector_col, label_col)
     anchors = materialise(rows.where(F.col("vec_id") % every == 0), "anchors")
     lists = Lists(rows, anchors)
-    others = rows.groupBy("label", F.size("v").alias("dim")).agg((F.count("*") - 1).alias("others"))
+    others = rows.groupBy("label", "dim").agg((F.count("*") - 1).alias("others"))
     asks = lists.members.join(anchors.select(F.col("row").alias("anchor"), "label"), "anchor").join(others, ["label", "dim"])
     far = 1 << 62
     asks = asks.select("anchor", F.lit(0).alias("slot"), "cluster", "dim", F.lit(True).alias("same"), F.lit(-far).alias("low"), F.lit(far).alias("high"), F.least(F.lit(positives), "others").cast("int").alias("most")).where("most > 0")
