@@ -18,7 +18,7 @@ def texts(*values: str) -> Column:
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once, however often ``use`` names it; a plain Column would be computed at each place."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))  # a second parameter of ``use`` would be given the place
 
 
 def split_lines(text: Column) -> Column:

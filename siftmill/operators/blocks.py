@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.functions.text import IDENTIFIER, any_of, bind, count_of, indexed, joined, lines_or_one, texts
 
 REACH = 120
-NO_HEADS = "cast(array() as array<struct<i:int,name:string,depth:int,opened:boolean,end:int>>)"
 # Headers of functions, in the order in which they are tried.
 HEADERS = (rf"\basync\s+function\s+({IDENTIFIER})\s*\(", rf"\bfunction\s+({IDENTIFIER})\s*\(", rf"\bconst\s+({IDENTIFIER})\s*=\s*async\s*\([^)]*\)\s*=>\s*\{{", rf"\bconst\s+({IDENTIFIER})\s*=\s*\([^)]*\)\s*=>\s*\{{")
 # Checked names, sorted, as they come out in this order.
@@ -34,44 +33,47 @@ def _header(line: Column) -> Column:
     return reduce(lambda rest, p: F.when(line.rlike(p), F.regexp_extract(line, p, 1)).otherwise(rest), reversed(HEADERS), F.lit(None).cast("string"))
 
 
-def with_block(rows: DataFrame, line: str) -> DataFrame:
-    """Add block: struct name, start_line, end_line of the innermost function around a line (from 1), or null; rows have lines.
+def block_table(files: DataFrame) -> DataFrame:
+    """Braces and headers of each file, told once: path, seg and lines, those of 120 lines (REACH) as structs.
 
-    Headers are sought up to 120 lines above, and their braces have to close at or up to 120 lines below the line."""
-    at = F.greatest(F.lit(1), F.least(F.col(line), F.size("lines"))) - 1
-    first, last = F.greatest(F.lit(0), F.col("_at") - REACH), F.least(F.size("lines") - 1, F.col("_at") + REACH)
-    near = F.transform(F.slice("lines", first + 1, last - first + 1), lambda x, k: F.struct((k + first).alias("i"), count_of(x, "{").alias("opens"), count_of(x, "}").alias("closes"), F.when(k + first <= F.col("_at"), _header(x)).alias("name")))
-    rows = rows.withColumn("_at", at).withColumn("_near", near)
+    A struct has i (from 0), depth and opened (braces open after the line, and opened up to it), before and known (the same before the line), and the
+    name of the function whose header stands there, or null.  A block ends at the nearest line below that is no deeper than before
+    its header: depths are all that is needed to find it.  Files without a header have no rows.  A file is bounded
+    (``EngineConfig.max_file_bytes``), so its lines may be summed in one window."""
+    lines = files.where(F.col("content").rlike("|".join(HEADERS))).select("path", F.posexplode(lines_or_one(F.col("content"))).alias("i", "line"))
+    lines = lines.select("path", "i", count_of(F.col("line"), "{").alias("opens"), count_of(F.col("line"), "}").alias("closes"), _header(F.col("line")).alias("name"))
+    above = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumns({"depth": F.sum(F.col("opens") - F.col("closes")).over(above).cast("int"), "opened": F.sum("opens").over(above).cast("int")})
+    one = F.struct("i", "depth", "opened", (F.col("depth") - F.col("opens") + F.col("closes")).alias("before"), (F.col("opened") - F.col("opens")).alias("known"), "name")
+    return lines.groupBy("path", F.floor(F.col("i") / REACH).cast("int").alias("seg")).agg(F.array_sort(F.collect_list(one)).alias("lines"))
 
-    def step(acc: Column, x: Column) -> Column:
-        """All headers above at once: what each has open, and where it ends."""
-        held = F.transform(
-            F.concat(acc, F.when(x["name"].isNotNull(), F.array(F.struct(x["i"].alias("i"), x["name"].alias("name"), F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(None).cast("int").alias("end")))).otherwise(F.expr(NO_HEADS))),
-            lambda h: F.struct(
-                h["i"].alias("i"),
-                h["name"].alias("name"),
-                (h["depth"] + x["opens"] - x["closes"]).alias("depth"),
-                (h["opened"] | (x["opens"] > 0)).alias("opened"),
-                F.coalesce(h["end"], F.when((h["opened"] | (x["opens"] > 0)) & (h["depth"] + x["opens"] - x["closes"] <= 0) & (x["i"] >= F.col("_at")), x["i"])).alias("end"),
-            ),
-        )
-        return held
 
-    heads = F.filter(F.aggregate("_near", F.expr(NO_HEADS), step), lambda h: h["end"].isNotNull())
-    rows = rows.withColumn("_head", F.try_element_at(heads, F.lit(-1)))
-    block = F.when(F.col("_head").isNotNull(), F.struct(F.col("_head.name").alias("name"), (F.col("_head.i") + 1).alias("start_line"), (F.col("_head.end") + 1).alias("end_line")))
-    return rows.withColumn("block", block).drop("_at", "_near", "_head")
+def enclosing(calls: DataFrame, table: DataFrame) -> DataFrame:
+    """The innermost function around each line (path, line from 1): path, line and block, a struct of name, start_line and end_line, or null.
+
+    Headers are sought up to 120 lines above, and their braces have to close at or up to 120 lines below the line, so a line
+    meets its own segment of the table, the one above and the one below."""
+    asked = calls.select("path", "line").distinct().withColumn("at", F.col("line") - 1)
+    own = F.floor(F.col("at") / REACH).cast("int")
+    met = asked.withColumn("seg", F.explode(F.array(own - 1, own, own + 1))).join(table, ["path", "seg"])
+    met = met.groupBy("path", "line", "at").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines"))
+    heads = F.filter("lines", lambda x: x["name"].isNotNull() & (x["i"] <= F.col("at")) & (x["i"] >= F.col("at") - REACH))
+    below = F.filter("lines", lambda x: (x["i"] >= F.col("at")) & (x["i"] <= F.col("at") + REACH))
+    met = met.withColumns({"heads": heads, "below": below})
+    end = lambda h: F.array_min(F.transform(F.filter("below", lambda x: (x["depth"] <= h["before"]) & (x["opened"] > h["known"])), lambda x: x["i"]))
+    closed = F.filter(F.transform("heads", lambda h: F.struct(h["name"].alias("name"), (h["i"] + 1).alias("start_line"), (end(h) + 1).alias("end_line"))), lambda h: h["end_line"].isNotNull())
+    met = met.select("path", "line", F.try_element_at(closed, F.lit(-1)).alias("block"))
+    return asked.select("path", "line").join(met, ["path", "line"], "left")
 
 
 def function_blocks(files: DataFrame, calls: DataFrame) -> DataFrame:
     """The function around each call: path, line, name, start_line, end_line (null where there is none)."""
-    rows = calls.select("path", "line").distinct().join(files.select("path", lines_or_one(F.col("content")).alias("lines")), "path")
-    return with_block(rows, "line").select("path", "line", "block.name", "block.start_line", "block.end_line")
+    return enclosing(calls, block_table(files)).select("path", "line", "block.name", "block.start_line", "block.end_line")
 
 
 def all_guards(files: DataFrame) -> DataFrame:
-    """The same lines anywhere in the files, for those without a call: path, line and watch."""
-    rows = files.select("path", F.explode(bind(lines_or_one(F.col("content")), lambda lines: _guards(indexed(lines)))).alias("g"))
+    """Lines that check a value and return early, anywhere in the files: path, line and watch (the checked names)."""
+    rows = files.where(F.col("content").rlike("(?i)return")).select("path", F.explode(bind(lines_or_one(F.col("content")), lambda lines: _guards(indexed(lines)))).alias("g"))
     return rows.select("path", "g.*")
 
 
@@ -90,13 +92,13 @@ def _guards(lines: Column) -> Column:
 def guard_breakpoints(files: DataFrame, calls: DataFrame) -> DataFrame:
     """Lines around each call that check a value and return early: path, call_line, line and watch (the checked names).
 
-    They are sought in the function around the call, else up to 80 lines around it."""
-    rows = calls.select("path", F.col("line").alias("call_line")).distinct().join(files.select("path", lines_or_one(F.col("content")).alias("lines")), "path")
-    rows = with_block(rows, "call_line")
-    first = F.coalesce("block.start_line", F.greatest(F.lit(1), F.col("call_line") - 80))
-    last = F.coalesce("block.end_line", F.least(F.size("lines"), F.col("call_line") + 80))
-    near = bind(first, lambda a: F.slice(indexed(F.col("lines")), a, last - a + 1))
-    return rows.select("path", "call_line", F.explode(_guards(near)).alias("g")).select("path", "call_line", "g.*")
+    They are sought in the function around the call, else up to 80 lines around it: intervals of lines meet the file's guards by
+    the segments of 120 lines that they reach."""
+    around = enclosing(calls, block_table(files)).select("path", F.col("line").alias("call_line"), F.coalesce("block.start_line", F.greatest(F.lit(1), F.col("line") - 80)).alias("first"), F.coalesce("block.end_line", F.col("line") + 80).alias("last"))
+    seg = lambda c: F.floor((F.col(c) - 1) / REACH)
+    around = around.withColumn("seg", F.explode(F.sequence(seg("first"), seg("last"))))
+    guards = all_guards(files.join(calls.select("path").distinct(), "path", "left_semi")).withColumn("seg", seg("line"))
+    return around.join(guards, ["path", "seg"]).where("line between first and last").select("path", "call_line", "line", "watch")
 
 
 def role_branches(files: DataFrame, keep: tuple[Column, ...] = ()) -> DataFrame:

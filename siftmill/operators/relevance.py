@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.functions.text import any_of, bind, frame, joined, lines_or_one, split_lines, texts
+from siftmill.operators.running import running_sums
 
 # The keywords of the score.
 KEYWORDS = (
@@ -17,8 +18,6 @@ KEYWORDS = (
     "amount", "status", "productId", "userId", "payment", "order", "auction",
 )
 AUTH_KEYS = ("requireAuth", "checkSession", "userInfo.userType", "userType", "role", "isAdmin", "ADMIN", "NAFAL", "navigate")
-DOM_KEYS = ("innerHTML", "outerHTML", "insertAdjacentHTML", "document.write", "location", "document.URL", "postMessage", "input.value")
-VALIDATION_KEYS = ("axios.post", "axios.put", "fetch", "FormData", "amount", "price", "status", "productId", "userId", "orderId", "totalAmount", "usePoints")
 # The keywords of snippets, in the order in which they are sought.
 SNIPPET_KEYS = (
     "userType", "role", "isAdmin", "ADMIN", "localStorage", "sessionStorage", "cookie", "innerHTML", "outerHTML", "insertAdjacentHTML",
@@ -55,25 +54,30 @@ def missing_dependencies(files: DataFrame) -> DataFrame:
     return asked.join(there, "dependency", "left_anti")
 
 
+#: After every character that a path goes on with.
+LAST = "\U0010ffff"
+
+
 def storage_evidence(primary: DataFrame, files: DataFrame) -> DataFrame:
     """For each primary path whether it and the files whose paths begin with its folder read storage, name a role and name an administrator.
 
-    The folder is not ended by a slash, so src/a also takes in src/ab.  Files are first reduced to one row of flags per
-    folder; folders are matched by all of their prefixes, so the join is an equality and no file meets every other."""
+    The folder is not ended by a slash, so src/a also takes in src/ab.  In the order of paths such files are one range: the flagged
+    files and both ends of each folder's range are put into one order, and what lies between the ends is the difference of running
+    sums there.  No file is repeated for the folders above it."""
     flags = {
         "reads": F.col("content").rlike(r"(?i)(?:sessionStorage|localStorage)\.getItem\s*\(|document\.cookie"),
         "keys": F.col("content").rlike(r"(?i)userType|role|isAdmin"),
         "admin": F.col("content").rlike(r"(?i)ADMIN|NAFAL"),
     }
     own = primary.select("path", F.regexp_extract("path", r"^(.*)/", 1).alias("folder"), *[f.alias(f"own_{k}") for k, f in flags.items()])
-    wanted = own.where("folder != ''").select("folder").distinct().withColumn("n", F.length("folder"))
-    lengths = wanted.select("n").distinct()
-    flagged = files.select("path", *[f.alias(k) for k, f in flags.items()]).where("reads or keys or admin")
-    prefixes = flagged.join(F.broadcast(lengths), F.length("path") >= F.col("n")).select(F.col("path").substr(F.lit(1), F.col("n")).alias("folder"), *flags)
-    found = prefixes.groupBy("folder").agg(*[F.bool_or(k).alias(k) for k in flags])
-    joined_ = own.join(found, "folder", "left")
-    both = reduce(lambda a, b: a & b, [F.col(f"own_{k}") | F.coalesce(F.col(k), F.lit(False)) for k in flags])
-    return joined_.select("path", both.alias("evidence"))
+    folders = own.where("folder != ''").select("folder").distinct()
+    flagged = files.select(F.col("path").alias("at"), F.lit(1).alias("kind"), F.lit("").alias("folder"), *[f.cast("long").alias(k) for k, f in flags.items()]).where("reads + keys + admin > 0")
+    end = lambda at, kind: folders.select(at.alias("at"), F.lit(kind).alias("kind"), "folder", *[F.lit(0).cast("long").alias(k) for k in flags])
+    points = flagged.union(end(F.col("folder"), 0)).union(end(F.concat("folder", F.lit(LAST)), 2))
+    sums = running_sums(points, [], [F.col("at"), F.col("kind")], {f"sum_{k}": k for k in flags})
+    ends = sums.where("kind != 1").groupBy("folder").agg(*[F.sum(F.when(F.col("kind") == 2, F.col(f"sum_{k}")).otherwise(-F.col(f"sum_{k}"))).alias(f"in_{k}") for k in flags])
+    both = reduce(lambda a, b: a & b, [F.col(f"own_{k}") | (F.coalesce(F.col(f"in_{k}"), F.lit(0)) > 0) for k in flags])
+    return own.join(ends, "folder", "left").select("path", both.alias("evidence"))
 
 
 def first_hit(content: Column, keys: tuple[str, ...], around: int = 4) -> Column:

@@ -4,21 +4,27 @@ A model is any ``str -> str`` that the caller brings; it runs in Arrow batches.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.functions.requests import json_object, safe_to_show
 from siftmill.functions.text import any_of, escape_html, joined, short_hash, texts
+from siftmill.sources.zips import opened
+from siftmill.tables import written
 
 SEVERITIES = ("low", "medium", "high", "critical")
 CONFIDENCES = ("low", "medium", "high")
 POC_TYPES = ("browser_console", "manual_check")
 # Texts that code to be shown never has.
 NEVER_SHOWN = ("delete", "remove", "transfer", "withdraw", "refund", "bulk", "axios.delete", "document.cookie=", "child_process", "eval(")
-REQUIRED = ("title", "vulnerability_type", "severity", "confidence", "evidence", "attack_scenario", "impact", "root_cause", "remediation")
 # The keys that a chunk's item has to have.
 CHUNK_REQUIRED = ("vulnerability_type", "severity", "confidence", "source_path", "start_line", "end_line", "evidence", "attack_scenario", "impact", "root_cause", "remediation")
 FILE_REQUIRED = ("title", "vulnerability_type", "affected_files", "summary", "impact", "root_cause", "remediation")
@@ -80,28 +86,72 @@ def ask(prompts: DataFrame, model: Callable[[str], str] = quiet) -> DataFrame:
                     errors.append(None)
                 except Exception as e:  # the caller's code: what it raises becomes a row
                     answers.append(None)
-                    errors.append(str(e)[:240])
+                    errors.append(type(e).__name__)  # its text may quote the prompt or a key
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "answer", "error"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
     return prompts.mapInArrow(run, f"{fields}, answer string, error string")
 
 
-def items(answers: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per item of the answers: ``keep``, index, the typed fields, id, drop_stage (shape, validation or null) and code, null where it may not be shown."""
-    rows = answers.select(*keep, F.posexplode(F.try_variant_get(json_object(F.col("answer")), "$.findings", "array<variant>")).alias("index", "item"))
-    text = {k: F.try_variant_get("item", f"$.{k}", "string") for k in ("title", "vulnerability_type", "severity", "confidence", "impact", "root_cause", "remediation")}
-    evidence, scenario = F.try_variant_get("item", "$.evidence", "array<variant>"), F.try_variant_get("item", "$.attack_scenario", "array<string>")
-    code = F.try_variant_get("item", "$.console_poc.code", "string")
-    whole = F.schema_of_variant("item").startswith("OBJECT")
-    lacking = F.lit(False)
-    for k in REQUIRED:
-        lacking = lacking | F.try_variant_get("item", f"$.{k}", "variant").isNull()
-    bad = ~text["severity"].isin(*SEVERITIES) | ~text["confidence"].isin(*CONFIDENCES) | evidence.isNull() | (F.size(evidence) == 0) | scenario.isNull() | (F.size(scenario) == 0) | F.forall(evidence, lambda e: ~F.schema_of_variant(e).startswith("OBJECT"))
-    stage = F.when(~whole, "shape").when(lacking | F.coalesce(bad, F.lit(True)), "validation")
-    seed = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in (text["vulnerability_type"], text["title"], text["severity"], text["root_cause"], text["impact"], F.col("index").cast("string"))])
-    shown = F.when(F.coalesce(safe_to_show(code), F.lit(False)), code)
-    return rows.select(*keep, "index", *[v.alias(k) for k, v in text.items()], F.coalesce(F.size(evidence), F.lit(0)).alias("n_evidence"), short_hash(seed).alias("id"), stage.alias("drop_stage"), shown.alias("code"))
+def _segments(files, base: str) -> list[str]:
+    found = files.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True))
+    return sorted(f.path for f in found if f.path.endswith(".parquet"))
+
+
+def ask_once(prompts: DataFrame, model: Callable[[str], str], ledger: str, every: int = 16) -> DataFrame:
+    """``ask`` that never pays twice: answers are kept in a ledger, a folder that all executors share, by the SHA-256 of their prompts.
+
+    Prompts that the ledger answers are not asked; equal prompts are asked once.  A task appends what it was told after every ``every``
+    answers, as a segment that appears whole under its partition's folder.  A task that is tried again, on whichever executor, first
+    reads its partition's segments and goes on after them.  So a lost executor costs at most ``every`` calls a task.  Failed calls are
+    not kept: the next run asks again."""
+    spark, columns = prompts.sparkSession, prompts.columns
+    keyed = prompts.withColumn("_key", F.sha2("prompt", 256))
+    files, base = opened(ledger)
+    known = "_key string, answer string"
+    kept = spark.read.schema(known).option("recursiveFileLookup", "true").parquet(ledger) if _segments(files, base) else spark.createDataFrame([], known)
+    asked = written(keyed.select("_key", "prompt").dropDuplicates(["_key"]).join(kept.select("_key"), "_key", "left_anti"), "asked")
+    run_ = hashlib.sha256("".join(sorted(asked.inputFiles())).encode()).hexdigest()[:16]
+    schema = pa.schema([("_key", pa.string()), ("answer", pa.string())])
+
+    def run(batches):
+        store, root = opened(ledger)
+        own = f"{root}/run={run_}/part={TaskContext.get().partitionId()}"
+        done = {}
+        for path in _segments(store, own):
+            with store.open_input_file(path) as f:
+                done |= {r["_key"]: r["answer"] for r in pq.read_table(f, schema=schema).to_pylist()}
+        new: list[tuple[str, str]] = []
+
+        def keep():
+            store.create_dir(own, recursive=True)
+            part = f"{own}/{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
+                pq.write_table(pa.Table.from_arrays([pa.array([x[k] for x in new], pa.string()) for k in (0, 1)], schema=schema), f)
+            store.move(part, f"{part}.parquet")
+            new.clear()
+
+        for batch in batches:
+            answers, errors = [], []
+            for key, prompt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                error = None
+                if key not in done:
+                    try:
+                        done[key] = model(prompt) or ""
+                        new.append((key, done[key]))
+                    except Exception as e:  # the caller's code: what it raises becomes a row
+                        error = type(e).__name__
+                    if len(new) >= every:
+                        keep()
+                answers.append(done.get(key))
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=["_key", "answer", "error"])
+        if new:
+            keep()
+
+    told = written(asked.mapInArrow(run, "_key string, answer string, error string"), "told")
+    every_answer = kept.select("_key", "answer", F.lit(None).cast("string").alias("error")).dropDuplicates(["_key"]).unionByName(told)
+    return keyed.join(every_answer, "_key").select(*columns, "answer", "error")
 
 
 def is_payload(answer: Column) -> Column:

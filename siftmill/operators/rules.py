@@ -16,6 +16,7 @@ HARMLESS = ("testelement.innerhtml", "innerhtml = ''", 'innerhtml = ""')
 STATIC = r"""innerhtml\s*=\s*['"][^'"]*['"]\s*;?"""
 COMMANDS = ("child_process.exec", "child_process.execSync", 'require("child_process").exec', "require('child_process').exec")
 
+NO_LINES = "cast(array() as array<int>)"
 #: type, severity, confidence, reason, cwe; the messages are ours, the codes are stable.
 RULES = {
     "DOM XSS": ("high", "medium", "external input may reach an HTML sink", "CWE-79"),
@@ -24,22 +25,39 @@ RULES = {
 }
 
 
-def sink_lines(lines: Column, sinks: tuple[str, ...]) -> Column:
-    """Lines (i, line in lower case) with a sink that is not given a static text."""
-    low = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.lower(x).alias("line")))
-    return F.filter(low, lambda x: any_of(x["line"], sinks) & ~any_of(x["line"], HARMLESS) & ~x["line"].rlike(STATIC))
+REACH = 6
+
+
+def first_flow(lines: Column, sinks: tuple[str, ...], sources: tuple[str, ...], any_case: bool) -> Column:
+    """Index (from 0) of the first line with a sink, not given a static text, that has a source within six lines; null without one.
+
+    One pass over the lines with a sink or a source, which remembers the last source and the sinks of the last six lines: each hit
+    knows the nearest other one before it, and no frame of lines is made."""
+
+    def mark(x: Column, i: Column) -> Column:
+        low = F.lower(x)
+        sink = any_of(low, sinks) & ~any_of(low, HARMLESS) & ~low.rlike(STATIC)
+        return F.struct(i.alias("i"), sink.alias("sink"), any_of(low if any_case else x, tuple(k.lower() for k in sources) if any_case else sources).alias("source"))
+
+    def step(acc: Column, x: Column) -> Column:
+        open_ = F.concat(F.filter(acc["open"], lambda s: s >= x["i"] - REACH), F.when(x["sink"], F.array(x["i"])).otherwise(F.expr(NO_LINES)))
+        source = F.when(x["source"], x["i"]).otherwise(acc["source"])
+        told = F.when(x["source"], F.array_min(open_)).when(x["sink"] & (source >= x["i"] - REACH), x["i"])
+        return F.struct(source.alias("source"), open_.alias("open"), F.least(acc["first"], told).alias("first"))
+
+    none = F.lit(None).cast("int")
+    start = F.struct(none.alias("source"), F.expr(NO_LINES).alias("open"), none.alias("first"))
+    return F.aggregate(F.filter(F.transform(lines, mark), lambda x: x["sink"] | x["source"]), start, step, lambda acc: acc["first"])
 
 
 def has_dom_flow(content: Column) -> Column:
     """Whether a source stands within six lines of a sink; sources count in their own case."""
-    near = lambda lines: F.exists(sink_lines(lines, SINKS), lambda x: any_of(frame(lines, x["i"], 6, 6)["snippet"], SOURCES))
-    return any_of(content, SOURCES) & any_of(F.lower(content), SINKS) & bind(lines_or_one(content), near)
+    return any_of(content, SOURCES) & any_of(F.lower(content), SINKS) & first_flow(lines_or_one(content), SINKS, SOURCES, False).isNotNull()
 
 
 def dom_flow(content: Column) -> Column:
     """The first frame (start_line, end_line, snippet) around a sink with a source in any case, or null."""
-    frames = lambda lines: F.transform(sink_lines(lines, FILE_SINKS), lambda x: frame(lines, x["i"], 6, 6))
-    first = bind(lines_or_one(content), lambda lines: F.get(F.filter(frames(lines), lambda f: any_of(F.lower(f["snippet"]), tuple(s.lower() for s in SOURCES))), F.lit(0)))
+    first = bind(lines_or_one(content), lambda lines: bind(first_flow(lines, FILE_SINKS, SOURCES, True), lambda i: F.when(i.isNotNull(), frame(lines, i, REACH, REACH))))
     return F.when(any_of(F.lower(content), FILE_SINKS), first)
 
 

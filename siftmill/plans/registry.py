@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftmill.config import EngineConfig
 from siftmill.functions import requests as R
 from siftmill.functions.text import escape_html, extension, split_lines
 from siftmill.operators import blocks, candidates, chunks, filters, findings, relevance, reviewers, rules
-from siftmill.sources.archives import escapes_base
-from siftmill.report import analyze
-from siftmill.sources.corpus import CODE_FILES_SQL, code_files, varied_columns, varied_files
+from siftmill.operators.running import running_sum
+from siftmill.sources.archives import escapes_base, settle
+from siftmill.report import analyze, write_document
+from siftmill.sources.corpus import CODE_FILES_SQL, code_files, corpus_columns, varied_columns, varied_files
+from siftmill.sources.zips import read_zip_entries, write_archives
+from siftmill.tables import new_folder
 
 FLAGSHIP = "scan_decisions"
 SMALL = EngineConfig(chunk_lines=20, overlap_lines=5)
@@ -90,9 +92,39 @@ def load_skip_codes(spark, sf_dir):
 
 @query("select source, count(*) as members, cast(sum(strlen(text)) as bigint) as bytes, count(*) filter (where running > 200000) as over_cap from (select source, text, sum(strlen(text)) over (partition by source order by doc_id) as running from documents) group by source")
 def archive_limits(spark, sf_dir):
-    running = F.sum(F.octet_length("text")).over(W.partitionBy("source").orderBy("doc_id"))
-    docs = table(spark, sf_dir, "documents").withColumn("running", running)
-    return docs.groupBy("source").agg(F.count("*").alias("members"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.count_if(F.col("running") > 200000).alias("over_cap"))
+    light = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").alias("bytes"))
+    docs = running_sum(light, ["source"], [F.col("doc_id")], "bytes", "running")
+    return docs.groupBy("source").agg(F.count("*").alias("members"), F.sum("bytes").cast("long").alias("bytes"), F.count_if(F.col("running") > 200000).alias("over_cap"))
+
+
+def _archived(spark, sf_dir):
+    """Archives of 200 documents each, written and read back; every fifth has an entry that leaves its folder, and every fifth one entry too many."""
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
+    number = F.floor(F.col("doc_id") / 200)
+    kind, archive = F.pmod(number, F.lit(5)), F.concat(F.lit("a"), number.cast("string"), F.lit(".zip"))
+    entries = docs.select("doc_id", archive.alias("archive"), kind.alias("kind"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "raw")
+    more = entries.where("kind >= 3").groupBy("archive", "kind").agg(F.count("*").alias("n"))
+    up = more.where("kind = 3").select("archive", F.lit("d/../../up.txt").alias("path"), F.lit(b"").alias("raw"))
+    many = more.where("kind = 4").select("archive", F.explode(F.sequence(F.lit(1).cast("long"), 202 - F.col("n"))).alias("k")).select("archive", F.concat(F.lit("e/"), F.col("k").cast("string")).alias("path"), F.lit(b"").alias("raw"))
+    folder = new_folder(spark, "archives")
+    write_archives(entries.select("archive", "path", "raw").union(up).union(many), folder)
+    return settle(read_zip_entries(spark, folder, EngineConfig(max_members=201)))
+
+
+_ARCHIVED = "with e as (select doc_id // 200 as archive, (doc_id // 200) % 5 as kind, doc_id, coalesce(text, '') as text from documents where doc_id is not null)"
+
+
+@query(f"{_ARCHIVED} select archive, 'd/' || doc_id || '.txt' as path, cast(strlen(text) as bigint) as size, sha256(text) as content_hash from e where kind < 3")
+def archive_entries(spark, sf_dir):
+    """Entries of archives that break no rule, by the data source that plans ranges of their directories."""
+    files, _ = _archived(spark, sf_dir)
+    return files.select(F.regexp_extract("archive", "a([0-9]+)[.]zip$", 1).cast("long").alias("archive"), "path", "size", F.sha2("raw", 256).alias("content_hash"))
+
+
+@query(f"{_ARCHIVED} select distinct archive, case kind when 3 then 'OUTSIDE_BASE' else 'TOO_MANY_MEMBERS' end as error from e where kind >= 3")
+def archive_rejects(spark, sf_dir):
+    _, rejected = _archived(spark, sf_dir)
+    return rejected.select(F.regexp_extract("archive", "a([0-9]+)[.]zip$", 1).cast("long").alias("archive"), "error")
 
 
 @query("select o_orderkey % 4 as kind, count(*) as paths, case o_orderkey % 4 when 1 then true when 3 then true else false end as outside from orders group by 1, 3")
@@ -201,7 +233,26 @@ def ui_handlers(spark, sf_dir):
     return candidates.ui_handlers(code_files(spark, sf_dir)).select("path", long("line").alias("line"), "ui_event", F.coalesce("handler_name", "disabled_expression").alias("what"))
 
 
-@query()
+# The calls of the corpus's templates: kind of file, first and last line, pattern, and what is told of each.
+_CALLS = """calls as (select * from (values
+    (0, 4, 4, 0, 'POST', '/api/orders/{orderId}/payment/~', 'amount,orderId,usePoints', 'axios.post', 'high', 'authorization not visible here'),
+    (0, 2, 2, 6, 'UNKNOWN', 'UNKNOWN', 'amount,orderId', 'function_call', 'low', 'what the called function sends is not visible here;address not resolved'),
+    (1, 2, 6, 2, 'POST', '/api/cart/#/items', 'JSON,accept,productId,quantity', 'fetch', 'high', 'authorization not visible here;parameters handed over as an object'),
+    (1, 7, 7, 6, 'UNKNOWN', 'UNKNOWN', 'payload,total', 'function_call', 'low', 'what the called function sends is not visible here;address not resolved'),
+    (8, 1, 1, 1, 'GET', '{API_BASE}/users/{userId}/orders?limit=10', 'limit', 'apiClient.get', 'high', 'address begins with a base variable;authorization not visible here'),
+    (8, 2, 6, 4, 'PUT', '/v1/users/#/status', 'payload', 'apiClient.request', 'high', 'authorization not visible here;parameters handed over as an object'),
+    (8, 2, 6, 5, 'PUT', '/v1/users/#/status', 'payload', 'request', 'high', 'authorization not visible here;parameters handed over as an object'),
+    (8, 7, 7, 5, 'UNKNOWN', 'UNKNOWN', '', 'request', 'low', 'address not resolved;authorization not visible here;method not resolved'),
+    (8, 8, 8, 0, 'GET', '/api/profile/#', 'page', 'axios.get', 'high', 'authorization not visible here'),
+    (9, 3, 7, 3, 'POST', '/api/reset/#', 'form,type', '$.ajax', 'high', 'authorization not visible here;parameters handed over as an object'),
+    (11, 41, 41, 0, 'DELETE', '/api/items/#', '', 'axios.delete', 'medium', 'authorization not visible here')
+  ) as t(kind, a, b, pattern, method, endpoint, parameters, sink, confidence, notes)),
+made as (select path, content, a, b, pattern, method, replace(replace(endpoint, '#', cast(o_orderkey as varchar)), '~', lower(o_orderstatus)) as endpoint, parameters, sink, confidence, notes, kind
+  from calls join code on kind = o_orderkey % 12)"""
+_CODE = f"with code as (select o_orderkey, o_orderstatus, {', '.join(corpus_columns())} from orders), {_CALLS}"
+
+
+@query(f"{_CODE} select path, a as line, pattern, 0 as match, method, endpoint, parameters, a as start_line, b as end_line, array_to_string(string_split(content, chr(10))[a : b], chr(10)) as snippet, sink, confidence, notes from made")
 def api_candidates(spark, sf_dir):
     rows = candidates.call_candidates(code_files(spark, sf_dir))
     return rows.withColumns({"parameters": F.array_join("parameters", ","), "notes": F.array_join("notes", ";")})
@@ -261,7 +312,19 @@ def severity_counts(spark, sf_dir):
     return code_files(spark, sf_dir).groupBy(R.auth_severity(F.col("content")).alias("severity")).agg(F.count("*").alias("files"))
 
 
-@query()
+# The findings of each file and how they merge: calls by their request, disabled controls by file, the other two rules as one each.
+_FOUND = f"""{_CODE}, found as (
+  select path, 0 as rule, 0 as place, 'Client-side Validation Bypass' as type, 'low' as severity, 'low' as confidence, null as method, 'UNKNOWN' as endpoint, null as parameters, null as sink, 1 as a, 7 as b, path || 'd' as seed, path as own from code where o_orderkey % 12 = 0
+  union all select path, 1, 0, 'Authorization Bypass', 'high', 'low', null, null, null, null, 2, 8, path || 'a', '' from code where o_orderkey % 12 = 2
+  union all select path, 2, 0, 'DOM XSS', 'high', 'medium', null, null, null, null, 1, 5, path || 'x', '' from code where o_orderkey % 12 = 5
+  union all select path, 3, a * 10 + pattern, type, case type when 'Generic API Review Candidate' then 'low' when 'Payment/Point Manipulation Candidate' then 'high' when 'State/Status Manipulation Candidate' then 'high' else 'medium' end,
+    case when endpoint = 'UNKNOWN' or method = 'DELETE' then 'low' else 'medium' end, method, endpoint, parameters, sink, a, b, concat_ws(':', path, method, endpoint, sink, parameters, type), ''
+  from (select *, case when kind = 0 then 'Payment/Point Manipulation Candidate' when kind = 8 and a = 1 then 'IDOR / Unauthorized Data Access Candidate' when kind = 8 and a = 2 then 'State/Status Manipulation Candidate'
+    when kind = 8 then 'Generic API Review Candidate' when kind = 9 then 'Account Recovery Flow Abuse Candidate' else 'Client-side Validation Bypass' end as type from made where sink <> 'function_call')),
+merged as (select arg_min(struct_pack(seed, severity, confidence, path, a, b), struct_pack(path, rule, place)) as one, type, method, endpoint, parameters, sink, count(distinct path) as n_files, count(*) as merged, list_sort(list(distinct path)) as files from found group by type, method, endpoint, parameters, sink, own)"""
+
+
+@query(f"{_FOUND} select left(sha256(one.seed), 12) as id, type, one.severity as severity, one.confidence as confidence, coalesce(endpoint, '') as endpoint, n_files, merged, least(5, merged) as pieces from merged")
 def findings_dedup(spark, sf_dir):
     merged = findings.merge_findings(findings.file_findings(code_files(spark, sf_dir)))
     return merged.select("id", "type", "severity", "confidence", F.array_join("endpoint", ",").alias("endpoint"), long("n_files").alias("n_files"), long("merged").alias("merged"), long(F.size("evidence")).alias("pieces"))
@@ -273,7 +336,7 @@ def dom_findings_merge(spark, sf_dir):
     return findings.merge_findings(findings.dom_findings(files).select(*findings.COLUMNS)).groupBy("type").agg(F.count("*").alias("findings"))
 
 
-@query()
+@query(f"{_FOUND} select left(sha256(one.seed), 12) as id, type, one.severity as severity, one.confidence as confidence, one.path as path, one.a as start_line, one.b as end_line, coalesce(method, 'UNKNOWN') as method, coalesce(endpoint, 'UNKNOWN') as endpoint, coalesce(sink, 'N/A') as sink, case when coalesce(parameters, '') = '' then 'N/A' else replace(parameters, ',', ', ') end as parameters from merged")
 def report_summary(spark, sf_dir):
     return findings.summary_card(findings.merge_findings(findings.file_findings(code_files(spark, sf_dir))))
 
@@ -370,7 +433,7 @@ def auth_branch_snippet(spark, sf_dir):
     return rows.select("path", long("start_line").alias("start_line"), long("end_line").alias("end_line"))
 
 
-@query()
+@query(f"{CORPUS} select path, case when path like 'src/auth/%' then 2 else 1 end::bigint as start_line, case when path like 'src/auth/%' then 8 else least(20, len(string_split(content, chr(10)))) end::bigint as end_line from code_files")
 def auth_branch_snippet_all(spark, sf_dir):
     """auth_branch_snippet over every file; the SQL of that query asks for one folder only."""
     rows = blocks.role_branches(code_files(spark, sf_dir))
@@ -379,9 +442,9 @@ def auth_branch_snippet_all(spark, sf_dir):
 
 @query("select event_id, case event_id % 3 when 0 then 'accepted' else 'validation' end as stage from events")
 def llm_item_validation(spark, sf_dir):
-    item = F.concat(F.lit('{"findings": [{"title": "t", "vulnerability_type": "v", "severity": "'), F.when(F.col("event_id") % 3 == 1, "worst").otherwise("low"), F.lit('", "confidence": "low", "evidence": ['), F.when(F.col("event_id") % 3 == 2, "").otherwise(F.col("props")), F.lit('], "attack_scenario": ["s"], "impact": "i", "root_cause": "r", "remediation": "m"}]}'))
-    rows = reviewers.items(table(spark, sf_dir, "events").select("event_id", item.alias("answer")), ("event_id",))
-    return rows.select("event_id", F.coalesce("drop_stage", F.lit("accepted")).alias("stage"))
+    item = F.concat(F.lit('{"findings": [{"title": "t", "source_path": "a", "start_line": 1, "end_line": "2", "vulnerability_type": "v", "severity": "'), F.when(F.col("event_id") % 3 == 1, "worst").otherwise("low"), F.lit('", "confidence": "low", "evidence": ['), F.when(F.col("event_id") % 3 == 2, F.col("props")).otherwise('3, {"source_path": "a", "start_line": 1, "end_line": 2, "snippet": "s", "reason": "r"}'), F.lit('], "attack_scenario": ["s"], "impact": "i", "root_cause": "r", "remediation": "m"}]}'))
+    rows = reviewers.chunk_items(table(spark, sf_dir, "events").select("event_id", item.alias("answer")), ("event_id",))
+    return rows.select("event_id", F.when(F.col("accepted"), "accepted").otherwise("validation").alias("stage"))
 
 
 def _varied(kind: str) -> str:
@@ -409,10 +472,11 @@ def dom_flow_varied(spark, sf_dir):
 
 
 # Lines: the import, p notes, the badge, d steps, the branch (line p + d + 3), two more, q steps, the end.  Up to three lines
-# from the badge count as showing a role; six lines around the branch are taken, from the first that shows none, without imports.
-@query(f"{_varied('role')} select path, case when p + d + 3 - 6 <= 1 then 2 else p + d + 3 - 6 end as low, p + d + 3 as hit, least(p + d + 3 + 6, p + d + q + 6) as end_line from files where d >= 10")
+# from the badge count as showing a role, and so does a branch that stands there: such a file gives its first 20 lines.  Else six
+# lines around the branch are taken, from the first that shows none.
+@query(f"{_varied('role')} select path, case when d < 3 then 1 else greatest(p + 6, p + d - 3) end as low, p + d + 3 as hit, case when d < 3 then least(20, p + d + q + 6) else least(p + d + 9, p + d + q + 6) end as end_line from files")
 def role_branch_varied(spark, sf_dir):
-    files = varied_files(spark, sf_dir, "role").where(F.regexp_extract("path", "([0-9]+)", 1).cast("long") % 12 >= 10)
+    files = varied_files(spark, sf_dir, "role")
     rows = blocks.role_branches(files)
     hit = F.size(F.split(F.substring_index("content", "if (user.role", 1), "\n"))
     rows = rows.join(files.select("path", hit.alias("hit")), "path")
@@ -425,14 +489,18 @@ def _analysis(spark, sf_dir):
     return analyze(inventory, loaded, skipped)
 
 
-@query()
+_TOP = _FOUND.replace("found as (", f"top as (select path from (select path, ({_SCORE})::bigint as score from code) where score > 0 order by score desc, path limit 20), found as (").replace("from found group by", "from found where path in (select path from top) group by")
+
+
+@query(f"{_TOP} select left(sha256(one.seed), 12) as id, type, one.severity as severity, one.confidence as confidence, array_to_string(files[1 : 20], ',') as files, merged from merged")
 def analyze_top20(spark, sf_dir):
     """Merged findings of the 20 most relevant files."""
     found = _analysis(spark, sf_dir).findings
     return found.select("id", "type", "severity", "confidence", F.array_join("affected_files", ",").alias("files"), long("merged").alias("merged"))
 
 
-@query()
+# The most relevant files are all of the kind that decides by a role.
+@query(f"""{_TOP} select path, rule, 0::bigint as ord, 'auth_route_guard' as strategy, '[{{"start_line":1,"end_line":8,"reason":"branch on a role","watch":["userInfo","user","role","userType","isAdmin"]}}]' as breakpoints, null::varchar as code from found join top using (path) where rule = 1""")
 def playbooks(spark, sf_dir):
     """How to verify the findings of the 20 most relevant files."""
     rows = _analysis(spark, sf_dir).playbooks
@@ -450,6 +518,16 @@ def report_json(spark, sf_dir):
     return _analysis(spark, sf_dir).json()
 
 
+@query(f"""{_TOP}, decided as (select path, content, {_DECISION} as reason_code from (select *, regexp_extract(path, '[^/]+$') as name from code)), kept as (select * from decided where reason_code like 'INCLUDED%')
+select 'inventory' as part, count(*) as rows from decided union all select 'loaded', count(*) from kept union all select 'skipped', count(*) from decided where reason_code like 'EXCLUDED%' union all select 'chunks', count(*) from kept
+union all select 'chunk_findings', cast(sum((path like 'public/%')::int + contains(content, 'eval(')::int + contains(content, 'child_process.exec')::int) as bigint) from kept union all select 'findings', count(*) from merged union all select 'playbooks', count(*) from found join top using (path) where rule = 1""")
+def report_document(spark, sf_dir):
+    """The whole report, written as one document in pieces; how many rows of each part its manifest tells."""
+    pieces = write_document(_analysis(spark, sf_dir), new_folder(spark, "document"))["pieces"]
+    rows = spark.createDataFrame([(p["part"], p["rows"]) for p in pieces if "part" in p], "part string, rows long")
+    return rows.groupBy("part").agg(F.sum("rows").alias("rows"))
+
+
 @query(f"{CORPUS} select path, list_aggregate(list_sort(list_distinct(regexp_extract_all(content, '(?i)(axios\\.(post|put)|fetch)\\(\\s*[''`\"]([^''`\"]+)', 3))), 'string_agg', ',') as endpoints from code_files where regexp_matches(content, '(?i)(axios\\.(post|put)|fetch)\\(\\s*[''`\"]')")
 def distinct_endpoints(spark, sf_dir):
     files = code_files(spark, sf_dir).withColumn("e", R.endpoints(F.col("content"))).where(F.size("e") > 0)

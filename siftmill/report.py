@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.config import DEFAULT, EngineConfig
@@ -17,7 +21,8 @@ from siftmill.operators.filters import built_for_files, inventory_counts
 from siftmill.operators.findings import findings_of, merge_findings, playbooks
 from siftmill.operators.relevance import most_relevant
 from siftmill.operators.rules import analyze_chunks
-from siftmill.tables import written
+from siftmill.sources.zips import opened
+from siftmill.tables import metrics_of, written
 
 FOCUS = ("authorization", "storage", "DOM sinks", "client-side validation", "requests")
 NOTES = ("chunk_findings are those of the rules over chunks", "findings are those over whole files")
@@ -57,36 +62,49 @@ class Analyzer(Protocol):
     def __call__(self, files: DataFrame) -> Analysis: ...
 
 
-def _metrics(backend: str, candidates: DataFrame, raw: DataFrame, accepted: DataFrame, dropped: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row of run metrics.  The tables are counted one by one; ``dropped`` has drop_stage, ``errors`` has error."""
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    stages = dropped.groupBy("drop_stage").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("drop_stage", "n"))).alias("drop_stages"))
-    parts = [n(candidates, "candidate_count"), n(raw, "raw_item_count"), n(accepted, "accepted_item_count"), n(dropped, "dropped_item_count"), stages, errors.agg(F.array_sort(F.collect_set("error")).alias("errors"))]
-    row = candidates.sparkSession.range(1).select(F.lit("files").alias("scope"), F.lit(backend).alias("backend"), F.lit(True).alias("called"), F.lit(1).cast("long").alias("call_count"))
-    for p in parts:
-        row = row.crossJoin(F.broadcast(p))  # one row each
-    return row
+_METRICS = "scope string, backend string, called boolean, call_count long, candidate_count long, raw_item_count long, accepted_item_count long, dropped_item_count long, drop_stages array<struct<drop_stage:string,n:long>>, errors array<string>"
+
+
+def _metrics(spark: SparkSession, backend: str, candidates: int, raw: int, stages: dict[str, int], errors: list[str]) -> DataFrame:
+    """One row of run metrics, of numbers that the run's own jobs have told."""
+    stages = {k: n for k, n in sorted(stages.items()) if n}
+    dropped = sum(stages.values())
+    return spark.createDataFrame([("files", backend, True, 1, candidates, raw, raw - dropped, dropped, list(stages.items()), sorted(errors))], _METRICS)
+
+
+def _rows() -> Column:
+    return F.count(F.lit(1))
+
+
+def _count(df: DataFrame) -> int:
+    """Rows of a table, as told when it was written; only a table that was not is counted."""
+    told = metrics_of(df).get("rows")
+    return df.count() if told is None else told
 
 
 def by_rules(files: DataFrame) -> Analysis:
     """The rules of this engine."""
     handlers, calls = ui_handlers(files), written(call_candidates(files), "calls")
-    merged = written(merge_findings(findings_of(files, handlers, calls)), "merged")
-    none = files.sparkSession.createDataFrame([], "drop_stage string, error string")
-    return Analysis(merged, playbooks(files, handlers, calls), _metrics("rules", files, merged, merged, none, none))
+    merged = written(merge_findings(findings_of(files, handlers, calls)), "merged", rows=_rows())
+    return Analysis(merged, playbooks(files, handlers, calls), _metrics(files.sparkSession, "rules", _count(files), _count(merged), {}, []))
 
 
-def by_model(model: Callable[[str], str]) -> Analyzer:
-    """Asks a model once about the calls of the files; its items are checked, and what is dropped is counted by stage."""
+def by_model(model: Callable[[str], str], ledger: str | None = None) -> Analyzer:
+    """Asks a model once about the calls of the files; its items are checked, and what is dropped is counted by stage.  With a ledger no prompt is asked twice (``reviewers.ask_once``)."""
 
     def run(files: DataFrame) -> Analysis:
-        calls = written(call_candidates(files.where(~built_for_files(F.col("path"), F.col("content")))), "calls")
-        answers = written(reviewers.ask(reviewers.calls_prompt(calls), model), "answers")
-        items = written(reviewers.review_items(answers), "items")
+        calls = written(call_candidates(files.where(~built_for_files(F.col("path"), F.col("content")))), "calls", rows=_rows())
+        prompt = reviewers.calls_prompt(calls)
+        asked = reviewers.ask_once(prompt, model, ledger) if ledger else reviewers.ask(prompt, model)
         failed = F.when(F.col("error").isNotNull(), F.concat(F.lit("call failed: "), "error")).when(~reviewers.is_payload(F.col("answer")), "the answer has no list of findings")
-        errors = answers.select(failed.alias("error")).where("error is not null").union(items.where("scrubbed").select(F.lit("code that may not be shown was removed")))
+        answers = written(asked.withColumn("failed", failed), "answers", failed=F.collect_set("failed"))
+        of = lambda stage: F.count_if(F.col("drop_stage") == stage)
+        items = written(reviewers.review_items(answers), "items", rows=_rows(), shape=of("shape"), validation=of("validation"), scrubbed=F.count_if("scrubbed"))
+        told = metrics_of(items)
+        errors = [*metrics_of(answers)["failed"], *(["code that may not be shown was removed"] if told["scrubbed"] else [])]
         handlers = ui_handlers(files)
-        return Analysis(items.where("drop_stage is null").drop("drop_stage"), playbooks(files, handlers, calls), _metrics("model", calls, items, items.where("drop_stage is null"), items.where("drop_stage is not null"), errors))
+        metrics = _metrics(files.sparkSession, "model", _count(calls), told["rows"], {k: told[k] for k in ("shape", "validation")}, errors)
+        return Analysis(items.where("drop_stage is null").drop("drop_stage"), playbooks(files, handlers, calls), metrics)
 
     return run
 
@@ -139,7 +157,7 @@ class Report:
         return row.crossJoin(F.broadcast(self.findings.agg(F.count("*").alias("readable_finding_count"))))
 
     def json(self) -> DataFrame:
-        """One row with one JSON document: counts, metrics, focus, notes and the findings.  These are of at most as many files as were chosen; the other parts have no such bound and are tables only."""
+        """One row with a short JSON document: counts, metrics, focus, notes and the findings, which are of at most as many files as were chosen.  ``write_document`` has all parts."""
         rows = self.findings.agg(F.array_sort(F.collect_list(F.to_json(F.struct("*")))).alias("items"))
         row = self.summary().select(F.struct("*").alias("counts")).crossJoin(F.broadcast(self.metrics.select(F.struct("*").alias("metrics")))).crossJoin(F.broadcast(rows))
         lists = F.struct(F.array(*map(F.lit, self.focus)).alias("focus"), F.array(*map(F.lit, self.notes)).alias("notes"))
@@ -150,14 +168,97 @@ class Report:
 def analyze(inventory: DataFrame, loaded: DataFrame, skipped: DataFrame, config: EngineConfig = DEFAULT, files_by: Analyzer = by_rules, chunks_by: Callable[[DataFrame], DataFrame] = analyze_chunks, most: int = 20, by: tuple[str, ...] = ()) -> Report:
     """The report of a project: all files are counted, cut into chunks and searched by chunk; the ``most`` relevant ones (of each group of ``by``) are analysed as files."""
     chunks = build_chunks(loaded, config)
-    chosen = run_stage("file analysis", lambda: written(most_relevant(loaded, most, by).select("path", "content"), "chosen"))
+    chosen = run_stage("file analysis", lambda: written(most_relevant(loaded, most, by).select("path", "content"), "chosen", rows=_rows()))
     own = run_stage("file analysis", lambda: files_by(chosen))
     return Report(inventory.drop("raw"), inventory_counts(inventory), loaded.drop("content"), skipped, chunks.drop("content"), chunk_counts(loaded, config), skipped_chunks(chunks).drop("content"), run_stage("chunk analysis", lambda: chunks_by(chunks)), own.findings, own.playbooks, own.metrics)
 
 
+#: The parts of the document that have rows, with the columns that order them.
+PARTS = {
+    "inventory": ("path",), "loaded": ("path",), "skipped": ("path",), "chunks": ("path", "chunk_index"), "skipped_chunks": ("path", "chunk_index"),
+    "chunk_findings": ("path", "chunk_index", "occurrence"), "findings": ("id",), "playbooks": ("path", "rule", "ord"),
+}
+
+
+def _fragments(table: DataFrame, order: tuple[str, ...], folder: str) -> list[tuple[int, int, int]]:
+    """Write the rows as JSON, in order, one file a partition: number, rows and bytes of each that has any."""
+    held = [c for c in order if c in table.columns]
+    rows = table.select(*held, F.to_json(F.struct("*")).alias("_json")).repartitionByRange(*held).sortWithinPartitions(*held).select("_json")
+
+    def write(batches):
+        part = TaskContext.get().partitionId()
+        files, base = opened(folder)
+        files.create_dir(base, recursive=True)
+        at, n, size = f"{base}/{uuid.uuid4().hex}", 0, 0
+        with files.open_output_stream(at) as f:
+            for batch in batches:
+                if len(batch):
+                    text = (",\n" * bool(n) + ",\n".join(batch.column(0).to_pylist())).encode()
+                    f.write(text)
+                    n, size = n + len(batch), size + len(text)
+        if n:
+            files.move(at, f"{base}/{part:08}.json")  # a task that is tried again replaces it
+        else:
+            files.delete_file(at)
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, n, size)], names=["part", "rows", "bytes"])
+
+    return sorted(tuple(r) for r in rows.mapInArrow(write, "part long, rows long, bytes long").where("rows > 0").collect())
+
+
+def write_document(report: Report, folder: str) -> dict:
+    """The whole report as one JSON document in pieces: each partition of each part writes its rows as a fragment, and manifest.json lists what
+    stands where: pieces in order, each with offset, bytes and rows and either a file or a text.  Concatenated they are the document
+    (``document``), with counts, metrics, focus, notes and every part.  The driver sees a row a fragment."""
+    pieces, at = [], 0
+
+    def add(size: int, **what) -> None:
+        nonlocal at
+        pieces.append({"offset": at, "bytes": size, **what})
+        at += size
+
+    def say(text: str) -> None:
+        add(len(text.encode()), text=text)
+
+    one = lambda df: json.loads(df.select(F.to_json(F.struct("*")).alias("j")).first().j)
+    head = {"counts": one(report.summary()), "chunk_counts": one(report.chunk_counts), "metrics": one(report.metrics), "about": {"focus": report.focus, "notes": report.notes}}
+    say(json.dumps(head)[:-1])
+    tables, stage_of = report.tables(), _STAGE_OF
+    for name, order in PARTS.items():
+        found = run_stage(stage_of.get(name, "file analysis"), lambda: _fragments(tables[name], order, f"{folder}/{name}"))  # noqa: B023
+        say(f',\n"{name}":[')
+        for k, (part, n, size) in enumerate(found):
+            if k:
+                say(",\n")
+            add(size, file=f"{name}/{part:08}.json", rows=n, part=name)
+        say("]")
+    say("}\n")
+    manifest = {"bytes": at, "pieces": pieces}
+    files, base = opened(folder)
+    with files.open_output_stream(f"{base}/manifest.json") as f:
+        f.write(json.dumps(manifest).encode())
+    return manifest
+
+
+def document(folder: str, block: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of the document in a folder, in blocks: what a sink or a download writes one after the other."""
+    files, base = opened(folder)
+    with files.open_input_file(f"{base}/manifest.json") as f:
+        pieces = json.loads(f.read())["pieces"]
+    for piece in pieces:
+        if "text" in piece:
+            yield piece["text"].encode()
+            continue
+        with files.open_input_stream(f"{base}/{piece['file']}") as f:
+            while data := f.read(block):
+                yield data
+
+
+_STAGE_OF = {"inventory": "scan", "counts": "scan", "loaded": "load", "skipped": "load", "chunks": "chunks", "chunk_counts": "chunks", "skipped_chunks": "chunks", "chunk_findings": "chunk analysis"}
+
+
 def write_report(report: Report, folder: str, form: str = "json") -> None:
-    """Each table of the report below a folder, and the one document as text; a failing part names its stage."""
-    stage_of = {"inventory": "scan", "counts": "scan", "loaded": "load", "skipped": "load", "chunks": "chunks", "chunk_counts": "chunks", "skipped_chunks": "chunks", "chunk_findings": "chunk analysis"}
+    """Each table of the report below a folder, the short document as text, and the whole one in pieces below ``document``; a failing part names its stage."""
     for name, table in report.tables().items():
-        run_stage(stage_of.get(name, "file analysis"), lambda: table.write.mode("overwrite").format(form).save(f"{folder}/{name}"))  # noqa: B023
+        run_stage(_STAGE_OF.get(name, "file analysis"), lambda: table.write.mode("overwrite").format(form).save(f"{folder}/{name}"))  # noqa: B023
     run_stage("file analysis", lambda: report.json().coalesce(1).write.mode("overwrite").text(f"{folder}/report"))
+    run_stage("file analysis", lambda: write_document(report, f"{folder}/document"))

@@ -5,16 +5,12 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.config import DEFAULT, EngineConfig
 from siftmill.functions.text import extension
-
-#: Bytes of entries that are held before they go on.
-BATCH_BYTES = 16 << 20
-ENTRY = "archive string, entry_ord int, path string, size long, attributes long, raw binary, error string"
+from siftmill.sources.zips import BROKEN, ENTRY, batches, directory_error, rejected
 
 
 def read_archives(spark: SparkSession, path: str, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -44,60 +40,37 @@ def path_error(path: Column) -> Column:
     return F.when(path.startswith("/"), "ABSOLUTE_PATH").when(path.rlike("^[A-Za-z]:"), "ABSOLUTE_PATH").when(escapes_base(path), "OUTSIDE_BASE")
 
 
-def expand_archives(archives: DataFrame, config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Entries (archive, path, size, raw) of the archives that break no rule, and the rejected archives (archive, error).
+def settle(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of entries (ENTRY) the files (archive, path, size, raw) of the archives that break no rule, and the rejected archives (archive, error).
 
     Nothing is written to disk: unsafe paths and links are predicates.  The first violation in the order of the entries
-    names the error; of entries with one path the last wins.
-    """
-    limit, members = config.max_unpacked_bytes, config.max_members
-
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["archive", "entry_ord", "path", "size", "attributes", "raw", "error"])
-
-    def unpack(batches):
-        """Entries go on in small batches; an error found later comes as a row of its own, by which the archive is dropped."""
-        for batch in batches:
-            for name, raw, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows, held = [], 0
+    names the error; of entries with one path the last wins."""
+    found = entries.withColumn("error", F.coalesce("error", path_error(F.col("path")), mode_error(F.col("attributes"))))
+    rejected = found.where("error is not null").groupBy("archive").agg(F.min_by("error", "entry_ord").alias("error"))
+    files = found.where("raw is not null").join(rejected.select("archive"), "archive", "left_anti")
+    last = files.groupBy("archive", "path").agg(F.max_by(F.struct("size", "raw"), "entry_ord").alias("one"))
+    return last.select("archive", "path", "one.size", "one.raw"), rejected
+
+
+def expand_archives(archives: DataFrame, config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """``settle`` of archives (archive, raw, error) that are rows with all their bytes, as a stream of small ones has them; ``siftmill.sources.zips`` reads large ones by ranges."""
+
+    def unpack(parts):
+        for part in parts:
+            for name, raw, error in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if error is None:
                     try:
                         with zipfile.ZipFile(io.BytesIO(raw)) as z:
                             infos = z.infolist()
-                            if len(infos) > members:
-                                error = "TOO_MANY_MEMBERS"
-                            elif sum(i.file_size for i in infos) > limit:
-                                error = "TOO_LARGE_UNPACKED"
-                            else:
-                                left = limit
-                                for k, i in enumerate(infos):
-                                    if i.is_dir():
-                                        rows.append((name, k, i.filename.replace("\\", "/"), 0, i.external_attr, None, None))
-                                        continue
-                                    with z.open(i) as f:
-                                        data = f.read(left + 1)
-                                    left -= len(data)
-                                    if left < 0:
-                                        error = "TOO_LARGE_UNPACKED"
-                                        break
-                                    rows.append((name, k, i.filename.replace("\\", "/"), len(data), i.external_attr, data, None))
-                                    held += len(data)
-                                    if held > BATCH_BYTES:
-                                        yield table(rows)
-                                        rows, held = [], 0
-                    except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError):
+                            error = directory_error(infos, config)
+                            if error is None:
+                                yield from batches(name, z, list(enumerate(infos)))
+                    except BROKEN:
                         error = "BAD_ZIP"
                 if error is not None:
-                    rows = [(name, -1, None, None, None, None, error)]
-                yield table(rows)
+                    yield rejected(name, error)
 
-    entries = archives.select("archive", "raw", "error").mapInArrow(unpack, ENTRY)
-    found = entries.withColumn("error", F.coalesce("error", path_error(F.col("path")), mode_error(F.col("attributes"))))
-    rejected = found.where("error is not null").groupBy("archive").agg(F.min_by("error", "entry_ord").alias("error"))
-    files = found.where("raw is not null").join(rejected.select("archive"), "archive", "left_anti")
-    last = files.groupBy("archive", "path").agg(F.max_by(F.struct("size", "raw"), "entry_ord").alias("one"))
-    return last.select("archive", "path", "one.size", "one.raw"), rejected
+    return settle(archives.select("archive", "raw", "error").mapInArrow(unpack, ENTRY))
 
 
 def scan_folder(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,14 +27,31 @@ def _paths(spark: SparkSession) -> list[str]:
     return spark._siftmill_tables
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, and lost executors lose nothing."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, label: str) -> str:
+    """The path of a new folder in the shared one, which ``release`` deletes."""
     path = f"{shared_dir(spark)}/siftmill-{label}-{uuid.uuid4().hex}"
     _paths(spark).append(path)
-    schema = df.schema
+    return path
+
+
+def written(df: DataFrame, label: str, **observed: Column) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage is cut, and lost executors lose nothing.
+
+    ``observed`` are aggregates over the rows that the writing job itself tells (``metrics_of``), without another job."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    schema, told = df.schema, Observation() if observed else None
+    if observed:
+        df = df.observe(told, *[c.alias(k) for k, c in observed.items()])
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._siftmill_metrics = told.get if observed else {}
+    return out
+
+
+def metrics_of(df: DataFrame) -> dict:
+    """What was observed when ``written`` wrote the table; nothing for other tables."""
+    return getattr(df, "_siftmill_metrics", {})
 
 
 def mark(spark: SparkSession) -> int:

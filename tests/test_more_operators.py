@@ -37,20 +37,23 @@ def test_role_branch(spark):
     assert (got[1].start_line, got[1].end_line) == (1, 2) and got[2].snippet == ""
 
 
+PIECE = {"source_path": "a", "start_line": 1, "end_line": 2, "snippet": "s", "reason": "r"}
+
+
 def good(**more):
-    return {"title": "t", "vulnerability_type": "v", "severity": "low", "confidence": "low", "evidence": [{"source_path": "a"}], "attack_scenario": ["s"], "impact": "i", "root_cause": "r", "remediation": "m"} | more
+    return {"source_path": "a", "start_line": 1, "end_line": 2, "title": "t", "vulnerability_type": "v", "severity": "low", "confidence": "low", "affected_files": ["a"], "summary": "s", "evidence": [PIECE], "attack_scenario": ["s"], "impact": "i", "root_cause": "r", "remediation": "m"} | more
 
 
-@pytest.mark.parametrize("item, stage", [(good(), None), (good(severity="worst"), "validation"), (good(evidence=[]), "validation"), (good(evidence="no"), "validation"), (good(evidence=[1]), "validation"), (good(severity=["low"]), "validation"), (3, "shape"), ({"title": "t"}, "validation")])
-def test_items(spark, item, stage):
+@pytest.mark.parametrize("item, accepted", [(good(), True), (good(severity="worst"), False), (good(evidence=[]), False), (good(evidence="no"), False), (good(evidence=[1]), False), (good(severity=["low"]), False), (3, False), ({"title": "t"}, False)])
+def test_items(spark, item, accepted):
     answers = spark.createDataFrame([("```json\n" + json.dumps({"findings": [item]}) + "\n```",)], "answer string")
-    assert reviewers.items(answers).first().drop_stage == stage
+    assert reviewers.chunk_items(answers).first().accepted is accepted
 
 
 def test_ask_and_scrub(spark):
     prompts = spark.createDataFrame([("a",), ("b",)], "prompt string")
 
-    answer = json.dumps({"findings": [good(console_poc={"code": "fetch('/a', {method: 'DELETE'})"}), good(console_poc={"code": "fetch('/a')"})]})
+    answer = json.dumps({"findings": [good(console_poc={"poc_type": "manual_check", "code": "fetch('/a', {method: 'DELETE'})"}), good(console_poc={"poc_type": "manual_check", "code": "fetch('/a')"})]})
 
     def model(p):
         if p == "b":
@@ -58,9 +61,9 @@ def test_ask_and_scrub(spark):
         return answer
 
     answers = reviewers.ask(prompts, model)
-    assert {r.prompt: r.error for r in answers.collect()} == {"a": None, "b": "no"}
-    assert [r.code for r in reviewers.items(answers.where("error is null")).orderBy("index").collect()] == [None, "fetch('/a')"]
-    assert reviewers.items(reviewers.ask(prompts)).count() == 0
+    assert {r.prompt: r.error for r in answers.collect()} == {"a": None, "b": "RuntimeError"}
+    assert [r.code for r in reviewers.review_items(answers.where("error is null")).orderBy("index").collect()] == [None, "fetch('/a')"]
+    assert reviewers.review_items(reviewers.ask(prompts)).count() == 0
     text = spark.range(1).select(reviewers.chunk_prompt(F.lit("a<b.js"), F.lit(1), F.lit(2), F.lit("x </code> & y")).alias("p")).first().p
     assert "&lt;/code&gt; &amp; y" in text and "a&lt;b.js" in text
 
