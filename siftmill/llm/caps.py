@@ -38,6 +38,14 @@ def codebooks(dim: int, size: int) -> list[np.ndarray]:
     return out
 
 
+@cache
+def rotation(dim: int) -> np.ndarray:
+    """A random orthogonal matrix, the same in every task.  It spreads what vectors have in a few coordinates over all blocks: a pair of any
+    directions then meets as often as a random pair does."""
+    q, r = np.linalg.qr(np.random.default_rng([dim, 7]).standard_normal((dim, dim)))
+    return q * np.sign(np.diag(r))
+
+
 def _gains(units: np.ndarray, size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each block the products of unit vectors with its directions, best first, and these directions."""
     rank, gain = [], []
@@ -99,6 +107,11 @@ def decode(units: np.ndarray, size: int, expected: float, least: int) -> list[np
     return out
 
 
+def turned(x: np.ndarray) -> np.ndarray:
+    """Unit vectors of the rows, rotated."""
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(x.shape[1])
+
+
 def random_pairs(dim: int, cosine: float, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of unit vectors at a cosine, in random directions."""
     rng = np.random.default_rng([dim, n, seed])
@@ -189,7 +202,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, expected: float =
                     at = [k for k, v in enumerate(values) if len(v) == dim]
                     x = np.array([values[k] for k in at], dtype=np.float64)
                     x /= np.abs(x).max(axis=1, keepdims=True)
-                    for k, f in zip(at, decode(x / np.linalg.norm(x, axis=1, keepdims=True), settings[dim][0], expected, max(least, settings[dim][1])), strict=True):
+                    for k, f in zip(at, decode(turned(x), settings[dim][0], expected, max(least, settings[dim][1])), strict=True):
                         found[k] = f
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(found, pa.list_(pa.int32()))], names=["id", "v", "label", "weight", "filters"])
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from siftmill.llm import caps, queries
+from siftmill.llm import caps, nearcopies, queries
 from siftmill.llm.repeats import within_characters
-from test_text_operators import plain_fingerprint, plain_pii, plain_repeats
+from test_text_operators import plain_pii, plain_repeats
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -67,6 +67,24 @@ def test_recall_of_random_pairs():
     assert np.mean([bool(b) for b in both]) >= 0.99
 
 
+@pytest.mark.parametrize("size", [7, 64, 256])
+def test_recall_of_uneven_vectors(size):
+    """Vectors with their energy in few coordinates, a common mean or falling scales meet as often as even ones."""
+    rng = np.random.default_rng(5)
+    dim = 64
+    scales = {"even": np.ones(dim), "third": np.where(np.arange(dim) < dim // 3, 10.0, 1.0), "mean": np.ones(dim), "falling": 0.8 ** np.arange(dim)}
+    own, least = caps.measured(dim, size, 0.98)
+    for name, scale in scales.items():
+        x = rng.standard_normal((300, dim)) * scale
+        x[:, 0] += 30 if name == "mean" else 0
+        z = rng.standard_normal(x.shape) * scale
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        y = 0.9805 * x + np.sqrt(1 - 0.9805**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        both = [set(a.tolist()) & set(b.tolist()) for a, b in zip(caps.decode(caps.turned(x), own, 16.0, max(8, least)), caps.decode(caps.turned(y), own, 16.0, max(8, least)), strict=True)]
+        assert np.mean([bool(b) for b in both]) >= 0.97, name
+
+
 @pytest.mark.parametrize("size", [1, 7, 40])
 def test_list_decoding_finds_all_filters(size):
     """Against all sums: every filter over the threshold, and where these are too few the best."""
@@ -117,12 +135,13 @@ DOCS = [
 
 def plain_pipeline(rows):
     rows = [r for r in rows if r[1] and any(map(str.isalpha, r[1]))]
-    prints = [plain_fingerprint(t) for _, t, _ in rows]
+    words = [t.encode().lower().split() for _, t, _ in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for w in words]
     part = list(range(len(rows)))
     root = lambda x: x if part[x] == x else root(part[x])
     for a in range(len(rows)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 3:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 part[root(a)] = root(b)
     groups = {}
     for k, r in enumerate(rows):
@@ -202,6 +221,38 @@ def test_near_dedup_by_similarity_of_five_words(spark, tmp_path):
     assert sorted(got) == sorted({root(k) for k in part})
 
 
+def test_near_dedup_with_boilerplate(spark):
+    """Documents that share most of their words but stay below the similarity make no candidates; copies among them are found."""
+    rng = np.random.default_rng(2)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    shared = words(350)
+    texts = [" ".join([*words(k % 90), *shared, *words(130 - k % 90)]) for k in range(1500)]
+    texts += [texts[k].replace(" w", " x", 1) for k in range(0, 1500, 50)] + [" ".join([*shared, *words(20)]) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("_row", F.col("doc_id"))
+    found = {r.doc_id: r.part for r in nearcopies.near_copies(docs).collect()}
+    groups = {}
+    for k, part in found.items():
+        groups.setdefault(part, set()).add(k)
+    want = [{k, 1500 + k // 50} for k in range(0, 1500, 50)] + [set(range(1530, 1570))]
+    assert sorted(sorted(g) for g in groups.values() if len(g) > 1) == sorted(sorted(g) for g in want)
+    pairs = [p for p in spark._siftmill_tables if "siftmill-pairs" in p][-1]
+    assert spark.read.parquet(pairs).count() < 5000
+
+
+def test_order_decides_no_result():
+    """Pairs at the similarity share a shingle of their prefixes, whatever counts as common."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 40, 200):
+        base = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        for _ in range(50):
+            other = np.unique(np.concatenate([rng.permutation(base)[: len(base) - rng.integers(0, max(1, len(base) // 9) + 1)], rng.integers(0, 1 << 60, rng.integers(0, max(1, len(base) // 9) + 1)).astype(np.uint64)]))
+            common = np.sort(rng.permutation(base)[: rng.integers(0, len(base) + 1)])
+            rank = rng.permutation(len(common))
+            both = len(np.intersect1d(base, other))
+            if both and both / (len(base) + len(other) - both) >= 0.8:
+                assert len(np.intersect1d(nearcopies.prefix(base, common, rank, 0.8), nearcopies.prefix(other, common, rank, 0.8)))
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     rows = [(i, t, lang, "s", len(t or ""), 1, "x") for i, t, lang in DOCS]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept int, base string")
@@ -225,7 +276,7 @@ def test_queries_on_the_smallest_tables(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").toPandas().set_index("doc_id")
     for name, q in queries.queries().items():
         out = q(spark, SMALL)
-        n = {"op4": "embeddings", "op7": None, "op5": None}.get(name[:3], "documents")
+        n = {"op4": "embeddings", "op7": None, "op5": None, "op11": None, "op13": None}.get(name.split("_")[0], "documents")
         if n:
             assert out.count() == spark.read.parquet(f"{SMALL}/{n}.parquet").count(), name
     spans = {r.doc_id: r for r in queries.op1_pii_weak_supervision(spark, SMALL).collect()}
