@@ -1,6 +1,7 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
-Every scan partition tokenises its documents and packs their pieces by best fit, longest first.  Nearly full bins are
+Every scan partition tokenises and cuts its documents.  The pieces, light rows without tokens, are dealt out at random, so that
+each partition has the whole mix of lengths however the table is sorted, and packs them by best fit, longest first.  Nearly full bins are
 final.  Underfull bins go up a tree as items: groups of ``fan_in`` partitions meet, best fit merges their bins, and what
 is still underfull goes on, until one group is left.
 """
@@ -22,6 +23,9 @@ from .common import materialise
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, grp int, done boolean"
 ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("grp", pa.int32()), ("done", pa.bool_())])
+CUT = pa.schema(list(ARROW)[:5])
+#: Pieces that a partition of the first level packs, about.
+DEALT = 20_000
 #: Separators of Python's str.split() that the tokenizer does not take for white space.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 CACHE_ENTRIES = 300_000
@@ -136,7 +140,7 @@ def _pending(fills: list[int], capacity: int, slack: int, carry: int) -> set[int
     return {b for _, b in open_[:carry]}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, slack: int = 16, carry: int = 24, fan_in: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, slack: int = 16, carry: int = 128, fan_in: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack documents into sequences of at most ``capacity`` tokens.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  A null text counts as empty and an
@@ -146,10 +150,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     """
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
-    def level0(batches):
-        tok, pid = _tokenizer(tokenizer_path), TaskContext.get().partitionId()
-        ids, piece, start, length, crc = [], [], [], [], []
+    def cut(batches):
+        tok = _tokenizer(tokenizer_path)
         for batch in batches:
+            ids, piece, start, length, crc = [], [], [], [], []
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for doc, raw in zip(batch.column(0).to_pylist(), tok.encode(texts), strict=True):
                 raw += end
@@ -160,11 +164,15 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
                     start.append(at // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
-        if ids:
-            bins, offsets, fills = best_fit(length, capacity)
-            up = _pending(fills, capacity, slack, carry)
-            b = np.asarray(bins, dtype=np.int64)
-            yield from pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(b + (np.int64(pid) << 32)), pa.array(offsets, pa.int64()), pa.array(np.full(len(b), pid, np.int32)), pa.array([x not in up for x in bins])], schema=ARROW).to_batches()
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, piece, start, length, crc), CUT.types, strict=True)], schema=CUT)
+
+    def level0(batches):
+        pid, tables = TaskContext.get().partitionId(), [pa.Table.from_batches([b]) for b in batches]
+        pieces = pa.concat_tables(tables).select(CUT.names) if tables else CUT.empty_table()
+        bins, offsets, fills = best_fit(pieces.column("length").to_pylist(), capacity)
+        up = _pending(fills, capacity, slack, carry)
+        b = np.asarray(bins, dtype=np.int64)
+        yield from pa.Table.from_arrays([*pieces.columns, pa.array(b + (np.int64(pid) << 32)), pa.array(offsets, pa.int64()), pa.array(np.full(len(b), pid, np.int32)), pa.array([x not in up for x in bins], pa.bool_())], schema=ARROW).to_batches()
 
     def merge(table: pa.Table) -> pa.Table:
         seq = table.column("sequence_id").to_numpy()
@@ -181,7 +189,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
         done = np.asarray([b not in up for b in bins])[inverse]
         return pa.Table.from_arrays([*(table.column(i) for i in range(5)), pa.array(to), pa.array(moved), table.column("grp"), pa.array(done)], schema=ARROW)
 
-    rows = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(level0, SCHEMA), "pack")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    pieces = materialise(texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long").withColumn("place", F.monotonically_increasing_id()), "pieces")
+    rows = materialise(pieces.repartition(max(1, -(-pieces.count() // DEALT)), F.xxhash64("place")).mapInArrow(level0, SCHEMA), "pack")
     out = rows.where("done")
     pending = rows.where("not done")
     groups = (pending.agg(F.max("grp")).first()[0] or 0) + 1

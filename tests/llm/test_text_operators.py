@@ -198,6 +198,15 @@ def test_packing(spark):
     assert packing.pack(none(spark), WORD).count() == 0
 
 
+def test_packing_of_a_table_sorted_by_length(spark, monkeypatch):
+    """One partition of long and one of short documents, of which two of each kind fill a sequence."""
+    monkeypatch.setattr(packing, "DEALT", 500)
+    long_, short = "the " * 47, "the " * 15
+    df = spark.range(1000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit(long_).alias("text")).union(spark.range(1000, 2000, numPartitions=1).select(F.col("id"), F.lit(short)))
+    got = packing.pack(df, WORD, capacity=64, slack=2).agg(F.count_distinct("sequence_id"), F.sum("length"), F.count("*")).first()
+    assert got[2] == 2000 and got[0] <= 1.01 * got[1] / 64
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins, offsets, fills = packing.best_fit([6, 5, 4, 3, 2], 10)
     assert fills == [10, 10] and bins == [0, 1, 0, 1, 1] and offsets == [0, 0, 6, 5, 8]
