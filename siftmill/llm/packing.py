@@ -1,6 +1,6 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
-Every scan partition tokenises and cuts its documents.  The pieces, light rows without tokens, are dealt out at random, so that
+Every scan partition tokenises and cuts its documents.  The pieces, light rows without tokens, are dealt out in turn by length, so that
 each partition has the whole mix of lengths however the table is sorted, and packs them by best fit, longest first.  Nearly full bins are
 final.  Underfull bins go up a tree as items: groups of ``fan_in`` partitions meet, best fit merges their bins, and what
 is still underfull goes on, until one group is left.
@@ -151,8 +151,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches):
-        tok = _tokenizer(tokenizer_path)
-        for batch in batches:
+        tok, at_first = _tokenizer(tokenizer_path), 7919 * TaskContext.get().partitionId()
+        for number, batch in enumerate(batches):
             ids, piece, start, length, crc = [], [], [], [], []
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for doc, raw in zip(batch.column(0).to_pylist(), tok.encode(texts), strict=True):
@@ -164,7 +164,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
                     start.append(at // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, piece, start, length, crc), CUT.types, strict=True)], schema=CUT)
+            deal = np.empty(len(ids), np.int64)
+            deal[np.argsort(length, kind="stable")] = at_first + 104_729 * number + np.arange(len(ids))  # neighbours in length go to different partitions
+            columns = [pa.array(x, t) for x, t in zip((ids, piece, start, length, crc), CUT.types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(deal)], names=[*CUT.names, "deal"])
 
     def level0(batches):
         pid, tables = TaskContext.get().partitionId(), [pa.Table.from_batches([b]) for b in batches]
@@ -190,8 +193,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
         return pa.Table.from_arrays([*(table.column(i) for i in range(5)), pa.array(to), pa.array(moved), table.column("grp"), pa.array(done)], schema=ARROW)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = materialise(texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long").withColumn("place", F.monotonically_increasing_id()), "pieces")
-    rows = materialise(pieces.repartition(max(1, -(-pieces.count() // DEALT)), F.xxhash64("place")).mapInArrow(level0, SCHEMA), "pack")
+    pieces = materialise(texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"), "pieces")
+    parts = max(1, -(-pieces.count() // DEALT))
+    rows = materialise(pieces.repartition(parts, F.pmod("deal", F.lit(4 * parts))).mapInArrow(level0, SCHEMA), "pack")
     out = rows.where("done")
     pending = rows.where("not done")
     groups = (pending.agg(F.max("grp")).first()[0] or 0) + 1
