@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftmill.functions.requests import ENDPOINT_NOTE, UNKNOWN, auth_severity, classify, high_risk, severity, validation_parameters
@@ -13,7 +14,8 @@ from siftmill.operators.candidates import WRAPPER_NOTE, call_candidates, ui_hand
 from siftmill.operators.filters import built_for_files
 from siftmill.operators.relevance import missing_dependencies, storage_evidence, top_lines
 from siftmill.operators.rules import dom_flow
-from siftmill.tables import written
+from siftmill.sources.zips import opened
+from siftmill.tables import remove, written
 
 FLOW = "input to sink"
 CALL_GATE = ("axios.", "fetch(", "apiclient.", "request.", "httpclient.", "client.", "$.ajax", "jquery.ajax", "formdata")
@@ -125,20 +127,67 @@ def with_key(findings: DataFrame) -> DataFrame:
     return findings.withColumn("key", key).withColumn("at", F.struct("path", "rule", "ord"))
 
 
-def merge_findings(findings: DataFrame, most_evidence: int = 5, most_files: int = MOST_FILES) -> DataFrame:
-    """One row per kind, request and cause: the first finding's values, how many findings and files, and the first files and pieces of evidence.
-
-    ``memberships`` has all files.  A key that a third of all findings share is counted by file first, and of its files and
-    evidence only the first of each task are shuffled."""
-    keyed = written(with_key(findings), "findings")
-    by_file = keyed.groupBy("key", "path").agg(F.min_by(F.struct("id", "severity", "confidence", "notes", "code"), "at").alias("first"), F.min("at").alias("at"), F.count("*").alias("merged"))
-    first = by_file.groupBy("key").agg(F.min_by("first", "at").alias("first"), F.min("at").alias("at"), F.sum("merged").alias("merged"), F.count("*").alias("n_files"))
-    files = _first(by_file.select("key", "path"), "path", most_files).groupBy("key").agg(F.array_sort(F.collect_list("path")).alias("affected_files"))
-    pieces = _first(keyed.select("key", "at", "evidence"), "at", most_evidence).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "evidence"))), lambda x: x["evidence"]).alias("evidence"))
+def summarise(findings: DataFrame, most_evidence: int = 5) -> DataFrame:
+    """What merging needs of findings, one row per key and file: key, path, at, first, merged and pieces (the first pieces of evidence).
+
+    Summaries add up (``combine``), so a new batch of files does not need the files before it again."""
+    pieces = F.slice(F.array_sort(F.collect_list(F.struct("at", "evidence"))), 1, most_evidence)  # of one file
+    first = F.min_by(F.struct("id", "severity", "confidence", "notes", "code"), "at").alias("first")
+    return with_key(findings).groupBy("key", "path").agg(first, F.min("at").alias("at"), F.count("*").alias("merged"), pieces.alias("pieces"))
+
+
+def combine(held: DataFrame, new: DataFrame, most_evidence: int = 5) -> DataFrame:
+    """The summary of what two summaries are of.  A key and file that both have, as when a file's findings come in two parts, become one row."""
+    pieces = F.slice(F.array_sort(F.flatten(F.collect_list("pieces"))), 1, most_evidence)  # at most so many of each summary
+    return held.unionByName(new).groupBy("key", "path").agg(F.min_by("first", "at").alias("first"), F.min("at").alias("at"), F.sum("merged").alias("merged"), pieces.alias("pieces"))
+
+
+def merged_of(summary: DataFrame, most_evidence: int = 5, most_files: int = MOST_FILES) -> DataFrame:
+    """The merged findings of a summary, one row per kind, request and cause: the first finding's values, how many findings and files, and the first files and pieces of evidence.
+
+    A key that a third of all findings share is counted by file first, and of its files and evidence only the first of each task are shuffled."""
+    first = summary.groupBy("key").agg(F.min_by("first", "at").alias("first"), F.min("at").alias("at"), F.sum("merged").alias("merged"), F.count("*").alias("n_files"))
+    files = _first(summary.select("key", "path"), "path", most_files).groupBy("key").agg(F.array_sort(F.collect_list("path")).alias("affected_files"))
+    pieces = summary.select("key", F.explode("pieces").alias("piece")).select("key", "piece.at", "piece.evidence")
+    pieces = _first(pieces, "at", most_evidence).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "evidence"))), lambda x: x["evidence"]).alias("evidence"))
     out = first.join(files, "key").join(pieces, "key")
     return out.select("first.id", "key.type", "first.severity", "first.confidence", "key.cause", "key.method", "key.endpoint", "key.parameter", "key.sink", "affected_files", "n_files", "merged", "evidence", "first.notes", "first.code", "at")
 
 
+def merge_findings(findings: DataFrame, most_evidence: int = 5, most_files: int = MOST_FILES) -> DataFrame:
+    """``merged_of`` the findings' summary; ``memberships`` has all files."""
+    return merged_of(written(summarise(findings, most_evidence), "summary"), most_evidence, most_files)
+
+
+class FindingsOverTime:
+    """Merged findings of batches of files that come one after another, kept as a summary below a folder.
+
+    Every batch has a number.  The summary after it is written below ``summary=<number>`` from the one before and the batch alone,
+    so a batch that is tried again replaces its own summary and counts once.  The one before last is kept for that; older ones are deleted."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _numbers(self) -> list[int]:
+        files, base = opened(self.folder)
+        found = files.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+        whole = [f for f in found if files.get_file_info(f"{f.path}/_SUCCESS").type == pafs.FileType.File]
+        return sorted(int(f.base_name.removeprefix("summary=")) for f in whole if f.base_name.startswith("summary="))
+
+    def add(self, findings: DataFrame, number: int) -> None:
+        """Add the findings of batch ``number``; numbers rise."""
+        before = [n for n in self._numbers() if n < number]
+        new = summarise(findings)
+        whole = combine(self.spark.read.parquet(f"{self.folder}/summary={before[-1]}"), new) if before else new
+        whole.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/summary={number}")
+        for n in before[:-1]:
+            remove(self.spark, f"{self.folder}/summary={n}")
+
+    def merged(self) -> DataFrame:
+        """The merged findings of all batches so far."""
+        return merged_of(self.spark.read.parquet(f"{self.folder}/summary={self._numbers()[-1]}"))
+
+
 def memberships(findings: DataFrame) -> DataFrame:
     """Files of each merged finding: id (that of its first finding) and path, a row each."""
     keyed = written(with_key(findings).select("key", "path", "at", "id"), "members")

@@ -14,7 +14,7 @@ from siftmill.operators import blocks, candidates, chunks, filters, findings, re
 from siftmill.operators.running import running_sum
 from siftmill.sources.archives import escapes_base, settle
 from siftmill.report import analyze, write_document
-from siftmill.sources.corpus import CODE_FILES_SQL, code_files, corpus_columns, varied_columns, varied_files
+from siftmill.sources.corpus import CODE_FILES_SQL, NAMED, code_files, corpus_columns, named_columns, varied_columns, varied_files
 from siftmill.sources.zips import read_zip_entries, write_archives
 from siftmill.tables import new_folder
 
@@ -75,6 +75,15 @@ def ext_distribution(spark, sf_dir):
     return code_files(spark, sf_dir).groupBy(extension(F.col("path")).alias("extension")).agg(F.count("*").alias("files"))
 
 
+@query(f"""with f as (select o_orderkey % {len(NAMED)} as kind, o_orderkey as k, {', '.join(named_columns())} from orders) select path, strlen(content) as size,
+  case when strlen(content) > 10000 then 'EXCLUDED_TOO_LARGE' when kind = 1 and instr(content, chr(1)) <= 4096 then 'EXCLUDED_BINARY' when kind in (0, 1, 14) then 'INCLUDED_SOURCE' when kind in (2, 3, 4, 13) then 'EXCLUDED_MINIFIED'
+  when kind in (7, 16) then 'EXCLUDED_EXTENSION' when kind = 15 then 'INCLUDED_TEMPLATE' else 'INCLUDED_CONFIG' end as reason_code from f""")
+def scan_decisions_named(spark, sf_dir):
+    """Size, bytes and names that the filter tells apart; the mark of a binary file stands for a zero byte, which no SQL text can hold."""
+    files = table(spark, sf_dir, "orders").selectExpr(*named_columns()).withColumn("raw", F.encode(F.replace("content", F.lit("\x01"), F.lit("\x00")), "UTF-8"))
+    return filters.inventory(files, EngineConfig(max_file_bytes=10000)).select("path", "size", "reason_code")
+
+
 @query("select doc_id, sha256(text) as content_hash, strlen(text) as size from documents where text is not null")
 def load_hash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("raw"))
@@ -98,20 +107,20 @@ def archive_limits(spark, sf_dir):
 
 
 def _archived(spark, sf_dir):
-    """Archives of 200 documents each, written and read back; every fifth has an entry that leaves its folder, and every fifth one entry too many."""
+    """Archives of 50 documents each, written and read back; every fifth has an entry that leaves its folder, and every fifth one entry too many."""
     docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
-    number = F.floor(F.col("doc_id") / 200)
+    number = F.floor(F.col("doc_id") / 50)
     kind, archive = F.pmod(number, F.lit(5)), F.concat(F.lit("a"), number.cast("string"), F.lit(".zip"))
     entries = docs.select("doc_id", archive.alias("archive"), kind.alias("kind"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "raw")
     more = entries.where("kind >= 3").groupBy("archive", "kind").agg(F.count("*").alias("n"))
     up = more.where("kind = 3").select("archive", F.lit("d/../../up.txt").alias("path"), F.lit(b"").alias("raw"))
-    many = more.where("kind = 4").select("archive", F.explode(F.sequence(F.lit(1).cast("long"), 202 - F.col("n"))).alias("k")).select("archive", F.concat(F.lit("e/"), F.col("k").cast("string")).alias("path"), F.lit(b"").alias("raw"))
+    many = more.where("kind = 4").select("archive", F.explode(F.sequence(F.lit(1).cast("long"), 52 - F.col("n"))).alias("k")).select("archive", F.concat(F.lit("e/"), F.col("k").cast("string")).alias("path"), F.lit(b"").alias("raw"))
     folder = new_folder(spark, "archives")
     write_archives(entries.select("archive", "path", "raw").union(up).union(many), folder)
-    return settle(read_zip_entries(spark, folder, EngineConfig(max_members=201)))
+    return settle(read_zip_entries(spark, folder, EngineConfig(max_members=51)))
 
 
-_ARCHIVED = "with e as (select doc_id // 200 as archive, (doc_id // 200) % 5 as kind, doc_id, coalesce(text, '') as text from documents where doc_id is not null)"
+_ARCHIVED = "with e as (select doc_id // 50 as archive, (doc_id // 50) % 5 as kind, doc_id, coalesce(text, '') as text from documents where doc_id is not null)"
 
 
 @query(f"{_ARCHIVED} select archive, 'd/' || doc_id || '.txt' as path, cast(strlen(text) as bigint) as size, sha256(text) as content_hash from e where kind < 3")
@@ -483,6 +492,33 @@ def role_branch_varied(spark, sf_dir):
     return rows.select("path", long("start_line").alias("low"), long("hit").alias("hit"), long("end_line").alias("end_line"))
 
 
+# The object stands 4 d + q + 2 lines above the call, the form d + 1: keys are sought in the 40 lines above, forms in the 10 above.
+@query(f"{_varied('payload')} select path, array_to_string(list_sort(list_concat(['body'], case when 4 * d + q + 2 <= 40 then ['alpha', 'beta'] else [] end, case when d + 1 <= 10 then ['code'] else [] end)), ',') as parameters, p + 4 * d + q + 3 as line from files")
+def payload_keys_varied(spark, sf_dir):
+    calls = candidates.api_calls(varied_files(spark, sf_dir, "payload"))
+    return calls.select("path", F.array_join("parameters", ",").alias("parameters"), long("line").alias("line"))
+
+
+@query("""with p as (select l_orderkey, l_linenumber, l_orderkey % 4 as a, l_linenumber % 4 as u, (l_orderkey // 4) % 3 as v from lineitem)
+select l_orderkey, l_linenumber, a - u < 0 or a - u + 1 - v < 0 as outside from p""")
+def path_containment_varied(spark, sf_dir):
+    """Paths that go down and up again, by the keys of the lines: folders a, then u up, then one down and v up."""
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    part = lambda text, n: F.repeat(F.lit(text), n.cast("int"))
+    path = F.concat(part("d/", key % 4), part("../", line % 4), F.lit("./e//"), part("../", F.floor(key / 4) % 3), F.lit("x.js"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", escapes_base(path).alias("outside"))
+
+
+@query("""with s as (select l_orderkey, list_distinct(list(cast(l_linenumber as varchar))) as a, list_distinct(list(cast(cast(floor(l_quantity) as bigint) % 7 as varchar))) as b from lineitem group by 1)
+select l_orderkey, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') as joined, array_to_string(list_sort(list_intersect(a, b)), ',') as both, array_to_string(list_sort(list_filter(a, lambda x: not list_contains(b, x))), ',') as left_only from s""")
+def set_ops_lines(spark, sf_dir):
+    """Union, intersection and difference of the sets of line numbers and of quantities' remainders of each order."""
+    a, b = F.collect_set(F.col("l_linenumber").cast("string")), F.collect_set((F.floor("l_quantity") % 7).cast("string"))
+    s = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(a.alias("a"), b.alias("b"))
+    told = lambda x: F.array_join(F.array_sort(x), ",")
+    return s.select("l_orderkey", told(F.array_union("a", "b")).alias("joined"), told(F.array_intersect("a", "b")).alias("both"), told(F.array_except("a", "b")).alias("left_only"))
+
+
 def _analysis(spark, sf_dir):
     inventory = _inventory(spark, sf_dir)
     loaded, skipped = filters.load(inventory, inventory)

@@ -75,11 +75,28 @@ VARIED = {
     "call": _text(_fill("before", "// note"), "async function act(amount) {", _fill("between", "  step();"), "  if (amount <= 0) return;", "  await axios.post(`/api/act`, { amount });", _fill("after", "  step();")) .replace("'// end')", "case when o_orderkey % 7 = 0 then '// end' else '}' end)"),
     # a source and, some lines on, a sink
     "flow": _text(_fill("before", "// note"), "const h = location.hash;", _fill("between", "step();"), "box.outerHTML = h;", _fill("after", "step();")),
+    # an object that a call hands over by name, and a form that a value is appended to, at growing distances above the call
+    "payload": _text(_fill("before", "// note"), "const body = { alpha: 1, beta: 2 };", *[_fill("between", "step();")] * 3, _fill("after", "step();"), "form.append(\"code\", v);", _fill("between", "step();"), "axios.post(\"/api/x\", { data: body });"),
     # a branch on a role between lines that only show one
     "role": _text("import { navigate } from app;", _fill("before", "// note"), "const c = badge(color);", _fill("between", "step();"), "if (user.role === admin) {", "  leave();", "}", _fill("after", "step();")),
 }
 
 
+# Kinds of files that the filter tells apart by name, size or bytes: a path (# is the key) and, as SQL, the content.
+NAMED = [
+    ("big/f#.js", "repeat('x', cast(9900 + o_orderkey % 200 as int))"), ("bin/f#.js", "concat(repeat('a', cast(o_orderkey * 37 % 8192 as int)), chr(1), 'a')"), ("web/static/js/main.js", "'x'"), ("doc/a#.license.txt", "'x'"), ("m/a#.map", "'x'"), ("c#/.env.example", "'x'"),
+    ("c#/.env.sample", "'x'"), ("c#/prod.env", "'x'"), ("c#/package.json", "'x'"), ("c#/Dockerfile", "'x'"), ("c#/docker-compose.yaml", "'x'"), ("c#/vite.config.js", "'x'"), ("c#/Next.Config.js", "'x'"), ("c#/static/js/a.js.txt", "'x'"), ("c#/a.vue", "'x'"), ("c#/a.aspx", "'x'"), ("c#/README", "'x'"),
+]
+
+
+def named_columns() -> list[str]:
+    """path and content of a file of each kind by the key; both engines read these."""
+    which, key = f"case o_orderkey % {len(NAMED)}", "cast(o_orderkey as varchar(20))"
+    path = " ".join(f"when {n} then {_literal(p, key, '')}" for n, (p, _) in enumerate(NAMED))
+    body = " ".join(f"when {n} then {c}" for n, (_, c) in enumerate(NAMED))
+    return [f"{which} {path} end as path", f"{which} {body} end as content"]
+
+
 def varied_columns(kind: str) -> list[str]:
     return [f"concat('{kind}/f', cast(o_orderkey as varchar(20)), '.js') as path", f"{VARIED[kind]} as content"]
 

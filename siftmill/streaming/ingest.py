@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from siftmill.config import DEFAULT, EngineConfig
 from siftmill.operators.filters import inventory
 from siftmill.sources.archives import expand_archives
+from siftmill.tables import mark, release, written
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -20,10 +21,12 @@ def watch_archives(spark: SparkSession, folder: str, out: str, checkpoint: str,
 
     def one(batch: DataFrame, number: int) -> None:
         error = F.when(F.col("length") > config.max_archive_bytes, "ARCHIVE_TOO_LARGE").when(F.substring("content", 1, 2) != F.expr("X'504B'"), "NOT_A_ZIP")
-        archives = batch.select(F.col("path").alias("archive"), F.when(error.isNull(), F.col("content")).alias("raw"), error.alias("error")).persist()
+        archives = batch.select(F.col("path").alias("archive"), F.when(error.isNull(), F.col("content")).alias("raw"), error.alias("error"))
+        since = mark(batch.sparkSession)
+        archives = written(archives, "stream")  # two results read them; their bytes do not stay in memory
         entries, rejected = expand_archives(archives, config)
         inventory(entries, config).drop("raw").write.mode("overwrite").parquet(f"{out}/files/batch={number}")
         rejected.write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
-        archives.unpersist()
+        release(batch.sparkSession, since)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftmill import report, tables
 from siftmill.config import EngineConfig
-from siftmill.operators import blocks, filters, relevance, reviewers, rules
+from siftmill.operators import blocks, filters, findings, relevance, reviewers, rules
 from siftmill.operators.running import running_sum, running_sums
 from siftmill.sources import zips
 from siftmill.sources.archives import expand_archives, read_archives, settle
@@ -201,6 +201,21 @@ def test_document_has_every_part(spark, tmp_path):
     assert json.loads(b"".join(report.document(str(tmp_path / "doc2"))))["chunk_findings"] == [] and again["pieces"]
 
 
+def test_findings_of_batches_are_those_of_all_files(spark, tmp_path):
+    """Three batches, one of which is tried again, give the merged findings of all files at once."""
+    auth = "const role = sessionStorage.getItem('role');\nif (role === 'ADMIN') { navigate('/x') }"
+    rows = [(f"src/a{k:02}.js", auth) for k in range(24)] + [(f"src/p{k}.js", f"axios.post('/api/pay/{k % 3}', {{ amount }});\naxios.post('/api/pay/0', {{ amount }});") for k in range(9)]
+    random.Random(7).shuffle(rows)
+    table = lambda part: spark.createDataFrame(part, "path string, content string")
+    found = findings.file_findings(table(rows))
+    held = findings.FindingsOverTime(spark, f"file://{tmp_path}/findings")
+    for number, paths in enumerate((rows[:5], rows[5:20], rows[5:20], rows[20:])):
+        held.add(found.join(table(paths).select("path"), "path", "left_semi").select(*findings.COLUMNS), number - (number > 1))
+    tell = lambda df: sorted(map(str, df.drop("at").collect()))
+    assert tell(held.merged()) == tell(findings.merge_findings(found)) and held.merged().count() > 2
+    assert len(held._numbers()) == 2
+
+
 def test_metrics_come_from_the_runs_own_jobs(spark):
     """The row is made of numbers that the jobs of the run observed; reading it reads no table."""
     made = made_report(spark)
