@@ -10,18 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .webp import MOST, decode, encode_grey, encode_rgb
+from .webp import MOST, decode, encode_rgb
 
 ROW = 192
-#: Texts from so many rows on are written with all that the format has, shorter ones as a palette with codes of one length.
-LONG = 64
 
 
 def to_images(payload: bytes) -> bytes:
-    """Lossless WebP files, one after another, each of as many rows as an image may have: 64 pixels of three samples to a row, or 192 of one."""
-    samples = np.frombuffer(payload, dtype=np.uint8).reshape(-1, ROW)
-    parts = [samples[i : i + MOST] for i in range(0, len(samples), MOST)]
-    return b"".join(encode_rgb(x.reshape(-1, ROW // 3, 3)) if len(x) >= LONG else encode_grey(x) for x in parts)
+    """Lossless WebP files, one after another, each of as many rows as an image may have: 64 pixels of three samples to a row.  Texts of every
+    size are written with all that the format has."""
+    samples = np.frombuffer(payload, dtype=np.uint8).reshape(-1, ROW // 3, 3)
+    return b"".join(encode_rgb(samples[i : i + MOST]) for i in range(0, len(samples), MOST))
 
 
 def from_images(stored: bytes) -> np.ndarray:
@@ -30,7 +28,7 @@ def from_images(stored: bytes) -> np.ndarray:
     while at < len(stored):
         n = 8 + int.from_bytes(stored[at + 4 : at + 8], "little")
         pixels = decode(stored[at : at + n])
-        out.append(pixels[:, :, 1] if pixels.shape[1] == ROW else pixels[:, :, :3].reshape(-1, ROW))
+        out.append(pixels[:, :, :3].reshape(-1, ROW))
         at += n
     return out[0] if len(out) == 1 else np.concatenate(out)
 

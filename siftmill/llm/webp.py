@@ -2,9 +2,8 @@
 
 The reader decodes prefix codes by tables, follows back-references, keeps the colour cache, and inverts the predictor,
 cross-colour, subtract-green and palette transforms.  The writer takes a palette where an image has few colours.  Any other
-image gets predictors and cross-colour elements by tile, whichever leave the least entropy.  Small images, for which such codes
-cost more than they save, can be written as a palette with codes of one length; where all codes have one length, the reader
-takes an image's pixels at once.
+image gets predictors and cross-colour elements by tile, whichever leave the least entropy.  Samples of one channel can also be
+written as a palette with codes of one length; where all codes have one length, the reader takes an image's pixels at once.
 """
 
 from __future__ import annotations
