@@ -61,7 +61,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     text = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    return read_chats(format_chats(read_table(spark, sf_dir, "conversations").select(probe.columns).union(probe)))
+    return read_chats(format_chats(read_table(spark, sf_dir, "conversations").select(probe.columns).union(probe)), in_order=True)
 
 
 def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -400,6 +400,18 @@ def test_language_mixtures(spark):
     assert langid.identify(odd(spark), model).count() == len(ODD) and langid.identify(none(spark), langid.fit(none(spark).withColumn("lang", F.lit("a")))).count() == 0
 
 
+def test_chats_read_from_files_in_any_order(spark, monkeypatch, tmp_path):
+    """Parts that were written and dealt out anew give what they gave straight from the writer."""
+    monkeypatch.setattr(chat, "PART_BYTES", 300)
+    rows = [(c, t, ("user", "assistant")[t % 2], f"turn {t} " * (c % 7 + 1)) for c in range(30) for t in range(12)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.format_chats(df)
+    made.write.parquet(str(tmp_path / "chats"))
+    again = spark.read.parquet(str(tmp_path / "chats")).orderBy(F.rand(3)).repartition(7)
+    tell = lambda d: sorted(map(tuple, d.collect()))
+    assert again.where("part > 0").count() and tell(chat.read_chats(again)) == tell(chat.read_chats(made, in_order=True))
+
+
 # media
 
 
