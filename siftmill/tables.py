@@ -67,6 +67,11 @@ def release(spark: SparkSession, since: int = 0) -> None:
     del paths[since:]
 
 
+def release_one(spark: SparkSession, at: int) -> None:
+    """Delete the one table written next after a mark."""
+    remove(spark, _paths(spark).pop(at))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder by the file system that it is in."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
