@@ -41,3 +41,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = now
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+
+
+def slices(batches, rows: int = 256):
+    """The batches in small parts, so that a task holds few texts at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)

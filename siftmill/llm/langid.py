@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 CODE_BITS = 15
 UNDETERMINED = "und"
 _random = np.random.default_rng(20240229)
@@ -96,7 +98,7 @@ def fit(labelled: DataFrame, per_language: int = 2000, smoothing: float = 0.5, t
 
     def count(batches):
         total = np.zeros((len(place), 1 << CODE_BITS), dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total[place[lang]] += np.bincount(codes(text), minlength=1 << CODE_BITS)
         at = np.nonzero(total)
@@ -125,7 +127,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], rounds: int =
     passed = [k for k in range(len(source.columns)) if keep or k != place]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             pred, score, sets = [], [], []
             for text in batch.column(place).to_pylist():
                 if langs and has_letter(text):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from siftmill.tables import mark, release_one
 
-from .common import components, materialise
+from .common import components, materialise, slices
 from .simhash import SEED
 
 #: Pairs of one center that meet one copy of its set.
@@ -54,13 +54,6 @@ def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity:
     return hashes[np.lexsort((hashes, order))[: n - math.ceil(similarity * n - 1e-9) + 1]] if n else hashes
 
 
-def slices(batches, rows: int = 256):
-    """The batches in small parts, so that a task holds few sets at a time."""
-    for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.slice(at, rows)
-
-
 def short(cls: list[bytes]) -> np.ndarray:
     """64 bits of the classes' hashes.  Classes that agree in these only share buckets."""
     return np.frombuffer(b"".join(c[:8] for c in cls), dtype="<i8") if cls else np.zeros(0, np.int64)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import components, materialise, slices
 
 SEED = 42
 
@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     """id, the columns of ``keep``, and fp (the 64 bits as a signed long) of every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fp = np.asarray([fingerprint(x, width) for x in batch.column(0).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fp.view(np.int64))], names=[*batch.schema.names[1:], "fp"])
 
@@ -161,3 +161,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
     parts = components(links(classes, radius))
     to = materialise(classes.join(parts, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id")), "members")
     return fps.join(to, "fp", "left").select(id_col, *keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: the columns of ``keep`` and part, the smallest fingerprint (as a signed long) that links reach.
+
+    The links are those of ``near_duplicates``, but groups are told by fingerprints instead of ids, so rows without an id link like any other."""
+    fps = materialise(fingerprints(docs, width, keep[0], text_col, keep[1:]), "fps")
+    classes = materialise(fps.select("fp", F.col("fp").alias("id")).distinct(), "classes")
+    parts = materialise(components(links(classes, radius)), "parts")
+    return fps.join(parts, F.col("fp") == F.col("node"), "left").select(*keep, F.coalesce("component", "fp").alias("part"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from siftmill.llm import caps, nearcopies, queries
+from siftmill.llm import caps, nearcopies, queries, simhash
 from siftmill.llm.repeats import within_characters
 from test_text_operators import plain_pii, plain_repeats
 
@@ -221,6 +221,34 @@ def test_near_dedup_by_similarity_of_five_words(spark, tmp_path):
     assert sorted(got) == sorted({root(k) for k in part})
 
 
+def test_near_dedup_stage_links_by_fingerprints(spark, tmp_path):
+    """The stage against all pairs of SimHash fingerprints, rows without an id and texts of which fingerprints alone tell that they are near included."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in (3, 40, 400, 400, 400):
+        root = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        rows += [(len(rows), " ".join(root))]
+        for k in rng.choice(n, min(n, 6), replace=False):
+            rows += [(len(rows), " ".join([*root[:k], "changed", *root[k + 1 :]])), (len(rows) + 1, " ".join(root).upper())]
+    rows += [(None, rows[-1][1]), (None, "no other text is like this one"), (None, "No other text is like this one"), (rows[3][0], rows[3][1])]
+    fps = [simhash.fingerprint(t, 3) for _, t in rows]
+    part = list(range(len(rows)))
+    root = lambda x: x if part[x] == x else root(part[x])
+    for a in range(len(rows)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 3:
+                part[root(a)] = root(b)
+    groups = {}
+    for k, (i, _) in enumerate(rows):
+        groups.setdefault(root(k), []).append((i is None, i or 0))
+    far = [(a, b) for a, b in zip(fps, fps[1:], strict=False) if 0 < (a ^ b).bit_count() <= 3]
+    assert far and len(groups) < len(rows) - 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    got = [(r.doc_id is None, r.doc_id or 0) for r in stage(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(min(g) for g in groups.values())
+
+
 def test_near_dedup_with_boilerplate(spark):
     """Documents that share most of their words but stay below the similarity make no candidates; copies among them are found."""
     rng = np.random.default_rng(2)
