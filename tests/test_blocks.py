@@ -50,3 +50,24 @@ def test_lines_are_shuffled_once_and_no_texts(spark):
     c = spark.createDataFrame([("a", 1)], "path string, line int")
     plan = blocks.guard_breakpoints(f, c)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(path") == plan.count("Exchange hash") == 1 and "BroadcastExchange" not in plan
+
+
+def test_branches_without_a_second_read(spark, tmp_path):
+    """The branch's line comes with its row: the files are not joined with themselves."""
+    from siftmill.plans import registry
+
+    plan = registry.queries()["role_branch_varied"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_a_name_is_tried_once(spark):
+    """Long names without a call: each is read once, not again from each of its letters."""
+    import time
+
+    from siftmill.operators import candidates
+
+    files = spark.createDataFrame([("a", "x" * 100_000), ("b", "1payOrder(a, b)\n9_9save1(data)\nx.pay(data)\nrequest(payData(1))")], "path string, content string")
+    began = time.monotonic()
+    got = sorted((r.path, r.line, r.snippet) for r in candidates.wrapper_calls(files).collect())
+    assert got == [("b", 1, "1payOrder(a, b)"), ("b", 2, "9_9save1(data)")]
+    assert time.monotonic() - began < 15
