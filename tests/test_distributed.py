@@ -14,6 +14,7 @@ from siftmill.operators import blocks, filters, findings, relevance, reviewers,
 from siftmill.operators.running import running_sum, running_sums
 from siftmill.sources import zips
 from siftmill.sources.archives import expand_archives, read_archives, settle
+from siftmill.sources.corpus import code_files
 
 
 def test_running_sum_of_one_hot_group(spark):
@@ -224,3 +225,17 @@ def test_metrics_come_from_the_runs_own_jobs(spark):
     assert row.candidate_count == 20 and row.raw_item_count == made.findings.count() and row.drop_stages == [] and row.errors == []
     assert not any(x in plan for x in ("FileScan", "Aggregate", "Exchange", "Join"))
     assert tables.metrics_of(made.findings) == {"rows": row.raw_item_count} and tables.metrics_of(spark.range(1)) == {}
+
+
+def test_a_task_is_given_a_bounded_number_of_rows(spark, monkeypatch):
+    """The parts of the derived corpus and of the merging follow the rows; a key that all files share is dealt out by file and comes out whole."""
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
+    files = code_files(spark, "/root/testdata/sf0.001")
+    assert files.rdd.getNumPartitions() == -(-files.count() // 100)
+    assert max(files.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) < 200
+    paths = sorted(f"p/{n}.js" for n in range(700))
+    same = spark.createDataFrame([(p, "const h = location.hash;\nbox.innerHTML = h;") for p in paths], "path string, content string")
+    merged = findings.merge_findings(findings.dom_findings(same).select(*findings.COLUMNS))
+    assert merged.rdd.getNumPartitions() == 7
+    row = merged.collect()
+    assert [(r.n_files, r.merged, r.affected_files, [e.path for e in r.evidence]) for r in row] == [(700, 700, paths[:20], paths[:5])]
