@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftmill.config import EngineConfig
 from siftmill.functions import requests as R
-from siftmill.functions.text import extension, matches, split_lines
+from siftmill.functions.text import extension, matches, split_lines, strip
 from siftmill.operators import candidates, chunks, filters, findings, relevance, rules
 from siftmill.sources.archives import expand_archives, read_archives
 
@@ -165,3 +165,15 @@ def test_findings_merge(spark):
 def test_severity(spark):
     rows = [("navigate('/')", "low"), ("navigate(); requireAuth()", "high"), ("navigate(); fetch(x)", "high"), ("x", "high")]
     assert all(r.w == r.s for r in spark.createDataFrame(rows, "c string, w string").select("w", R.auth_severity(F.col("c")).alias("s")).collect())
+
+
+def test_calls_are_sought_by_words_first(spark):
+    """Every call pattern's hits have one of its words, so that bytes are compared before any pattern runs; strip leaves plain ends alone."""
+    hits = ["axios.get(", "apiClient.put(", "httpClient.post(", "client.patch(", "request.delete(", "fetch(", "$.ajax(", "jQuery.ajax(", "apiClient.request(", "request("]
+    got = candidates.call_candidates(table(spark, [(f"{n}.js", f"{h}'/api/a')") for n, h in enumerate(hits)])).where("sink != 'function_call'")
+    assert {r.path for r in got.select("path").collect()} == {f"{n}.js" for n in range(len(hits))}
+    plan = candidates.api_calls(table(spark, [("a.js", "x")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(content" in plan and "URLSearchParams(" in plan
+    texts_ = ["", " ", "a", " a", "a ", "é ", " é", "a b", "\ta b\n"]
+    rows = spark.createDataFrame([(t,) for t in texts_], "t string").select("t", strip(F.col("t")).alias("s"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("want")).collect()
+    assert all(r.s == r.want for r in rows) and len(rows) == len(texts_)
