@@ -176,7 +176,7 @@ def _listed(name: str) -> Column:
 
 
 def _is_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    return F.coalesce(F.try_variant_get(value, "$", "struct<source_path:variant>").isNotNull(), F.lit(False))  # only an object becomes a struct, whatever fields it has
 
 
 def _evidence() -> Column:
