@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siftmill import report, tables
 from siftmill.functions.verification import guarded_request, read_request, request_observer
-from siftmill.operators import chunks, filters, findings, relevance, reviewers
+from siftmill.operators import chunks, filters, findings, relevance, reviewers, rules
 from siftmill.operators.candidates import call_candidates, ui_handlers
 
 PAY = "async function pay(amount) {\n  if (amount <= 0) return;\n  await axios.post(`/api/pay/${orderId}`, { amount });\n}\n<b disabled={!ok} onClick={pay}>"
@@ -139,3 +139,20 @@ def test_written_tables_are_released(spark):
 def test_empty_chunks(spark):
     made = chunks.build_chunks(table(spark, [("a.js", "\n"), ("b.js", "x")]))
     assert [r.path for r in chunks.skipped_chunks(made).collect()] == ["a.js"] and [r.path for r in reviewers.skipping_empty(made).collect()] == ["b.js"]
+
+
+def test_files_are_not_joined_with_themselves(spark):
+    """An inventory that is its own contents is loaded without a join, with the rows of one; files without a rule's words are not cut for the rules."""
+    texts = {"a.js": "eval(x)", "b.js": "x\n" * 500, "c.js": "", "d.js": "const h = location.hash;\n" * 190 + "box.innerHTML = h;\n" * 190, "e.js": "child_process.exec(a)", "f.png": "eval(x)", "g.js": "\n" * 200, "h.js": "\n" * 201}
+    files = spark.createDataFrame([(p, t) for p, t in texts.items()], "path string, content string")
+    inventory = filters.inventory(files.select("path", F.encode("content", "UTF-8").alias("raw")))
+    pairs = list(zip(filters.load(inventory, inventory), filters.load(inventory, inventory.select("path", "raw")), strict=True))
+    assert "Join" not in pairs[0][0]._jdf.queryExecution().optimizedPlan().toString()
+    for own, other in pairs:
+        assert sorted(map(str, own.select(*other.columns).collect())) == sorted(map(str, other.collect()))
+    loaded = pairs[0][0]
+    made = report.analyze(inventory, pairs[0][0], pairs[1][0])
+    want = rules.analyze_chunks(chunks.build_chunks(loaded))
+    assert "child_process" in made.chunk_findings._jdf.queryExecution().optimizedPlan().toString().split("Contains(content", 1)[-1]
+    assert sorted(map(str, made.chunk_findings.collect())) == sorted(map(str, want.collect())) and want.count() >= 3
+    assert made.chunk_counts.first().total_chunks == chunks.build_chunks(loaded).count()
