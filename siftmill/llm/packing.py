@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, grp int, done boolean"
 ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("grp", pa.int32()), ("done", pa.bool_())])
@@ -79,7 +79,12 @@ class UnitTokenizer:
         get = self.words.__getitem__
         self.cache.update(zip(plain, [get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in made], strict=True))
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def forget(self) -> None:
+        """Empty both caches."""
+        self.cache.clear()
+        self.words.clear()
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         for text in texts:
             if any(x in text for x in ODD_SPACE):
                 yield self._ids([text])[0]
@@ -140,13 +145,14 @@ def _pending(fills: list[int], capacity: int, slack: int, carry: int) -> set[int
     return {b for _, b in open_[:carry]}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, slack: int = 16, carry: int = 128, fan_in: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, slack: int = 16, carry: int = 128, fan_in: int = 8, id_col: str = "doc_id", text_col: str = "text", hold: bool = True) -> DataFrame:
     """Pack documents into sequences of at most ``capacity`` tokens.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  A null text counts as empty and an
     empty text is one piece holding ``end_id``; repeated rows are packed each; null ids stay null; an empty table gives no
     rows; other columns are ignored.  Only documents longer than ``capacity`` are cut.  ``carry`` bounds what one group
     hands up, so no task sees more than fan_in * carry bins; the bins not handed up are final.
+    With ``hold`` a worker keeps its tokenizer's caches for its next task, otherwise their memory is free for what runs after it.
     """
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
@@ -154,7 +160,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
         tok, at_first = _tokenizer(tokenizer_path), 7919 * TaskContext.get().partitionId()
         for number, batch in enumerate(batches):
             ids, piece, start, length, crc = [], [], [], [], []
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+            texts = (x or "" for part in slices([batch]) for x in part.column(1).to_pylist())
             for doc, raw in zip(batch.column(0).to_pylist(), tok.encode(texts), strict=True):
                 raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
@@ -168,6 +174,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
             deal[np.argsort(length, kind="stable")] = at_first + 104_729 * number + np.arange(len(ids))  # neighbours in length go to different partitions
             columns = [pa.array(x, t) for x, t in zip((ids, piece, start, length, crc), CUT.types, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(deal)], names=[*CUT.names, "deal"])
+        if not hold:
+            tok.forget()
 
     def level0(batches):
         pid, tables = TaskContext.get().partitionId(), [pa.Table.from_batches([b]) for b in batches]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import chosen, named, NAME
-from .common import materialise
+from .common import materialise, slices
 from .suffixes import repeated
 
 #: Bitmaps have at most two to this power of bits, and at least four for each key.
@@ -29,8 +29,8 @@ BITMAP_BITS = 25
 GROUP = 2_500
 #: Parts into which a range is cut.
 FAN = 4
-#: Bytes of contexts that are sorted at once.
-POOL = 1 << 19
+#: Bytes of contexts that are sorted at once; a sort takes about 100 bytes of memory for each.
+POOL = 1 << 18
 
 
 def bitmap(keys: DataFrame, column: str) -> np.ndarray | None:
@@ -86,7 +86,7 @@ def crowded_spans(rows: DataFrame, window: int) -> list[DataFrame]:
 
     def split(batches):
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             for n, (place, raw, low, high) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)):
                 nearest, farthest, step = place - (len(raw) - window), place, -(-(high - low + 1) // FAN)
@@ -114,13 +114,38 @@ def crowded_spans(rows: DataFrame, window: int) -> list[DataFrame]:
     return spans
 
 
+def pools(batches, most: int | None = None):
+    """Rows (k, start, bytes) of batches (name, k, start, bytes) sorted by name, whole names together while their bytes are not over ``most``
+    (POOL): a larger name is a pool of its own.  Names with one row are left out."""
+    most = POOL if most is None else most
+    pool, size, own, own_size, last = [], 0, [], 0, None
+    for row in (row for batch in batches for row in zip(*(x.to_pylist() for x in batch.columns), strict=True)):
+        if row[0] != last:
+            if len(own) > 1:
+                if pool and size + own_size > most:
+                    yield pool
+                    pool, size = [], 0
+                pool.extend(own)
+                size += own_size
+            last, own, own_size = row[0], [], 0
+        own.append(row[1:])
+        own_size += len(row[3])
+    if len(own) > 1:
+        if pool and size + own_size > most:
+            yield pool
+            pool = []
+        pool.extend(own)
+    if pool:
+        yield pool
+
+
 def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
     """Spans of repeated windows of the rows (k binary, text string): k, and spans as an array of start << 32 | length."""
     spark = keyed.sparkSession
 
     def names(batches):
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for batch in slices(batches):
             out: list[int] = []
             for raw in _raw(batch, 1):
                 out += [digest(raw[p : p + NAME]) for p in chosen(raw, window)[0].tolist()]
@@ -130,7 +155,7 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
     by_name = spark.sparkContext.broadcast(bitmap(twice, "name"))
 
     def contexts(batches):
-        for batch in batches:
+        for batch in slices(batches):
             columns: tuple[list, list, list, list, list] = ([], [], [], [], [])
             for k, raw in zip(batch.column(0).to_pylist(), _raw(batch, 1), strict=True):
                 name, whole, first, length = named(raw, window)
@@ -155,9 +180,8 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
 
     def texts(batches):
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for seen, batch in ((seen, part) for batch in batches for seen in [set()] for part in slices([batch])):
             out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-            seen = set()
             for k, raw in zip(batch.column(0).to_pylist(), _raw(batch, 1), strict=True):
                 if k in seen:  # a repeated row
                     continue
@@ -171,42 +195,16 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["name", "k", "start", "place", "bytes"])
 
     def compare(batches):
-        last, rows, pool = None, [], []
-        out: tuple[list, list, list] = ([], [], [])
-
-        def sort():
-            """Sort the suffixes of the pool; runs of neighbouring windows become one span."""
-            for (k, start, _), hit in zip(pool, repeated([x[2] for x in pool], window) if pool else (), strict=True):
+        """Sort the suffixes of each pool; runs of neighbouring windows become one span."""
+        for pool in pools(slices(batches, 1024)):
+            out: tuple[list, list, list] = ([], [], [])
+            for (k, start, _), hit in zip(pool, repeated([x[2] for x in pool], window), strict=True):
                 if len(hit):
                     cut = np.flatnonzero(np.diff(hit) != 1) + 1
                     a, b = hit[np.concatenate([[0], cut])], hit[np.concatenate([cut, [len(hit)]]) - 1]
                     for column, x in zip(out, ([k] * len(a), (a + start).tolist(), (b - a + window).tolist()), strict=True):
                         column.extend(x)
-            pool.clear()
-
-        def close():
-            """The rows of a name are complete."""
-            if len(rows) > 1:
-                pool.extend(rows)
-                if sum(len(x[2]) for x in pool) > POOL:
-                    sort()
-
-        def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), *(pa.array(x, pa.int64()) for x in out[1:])], names=["k", "start", "length"])
-            for column in out:
-                column.clear()
-            return batch
-
-        for batch in batches:
-            for name, k, start, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if name != last:
-                    close()
-                    last, rows = name, []
-                rows.append((k, start, raw))
-            yield flush()
-        close()
-        sort()
-        yield flush()
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), *(pa.array(x, pa.int64()) for x in out[1:])], names=["k", "start", "length"])
 
     # The bitmap lets further copies through, and repeated rows share k: one row a context goes on.
     found = keyed.mapInArrow(texts, "name long, k binary, start int, place int, bytes binary")
@@ -258,7 +256,7 @@ def cut_repeats(docs: DataFrame, window: int = 200, whole_characters: bool = Fal
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sizes, runs, kept = [], [], []
             for raw, spans in zip(_raw(batch, place), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 own = merged(spans)

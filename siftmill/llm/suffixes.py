@@ -25,7 +25,11 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     sample = np.concatenate([one, np.arange(2, n, 3)])
     triples = (t[sample] * wide + t[sample + 1]) * wide + t[sample + 2]
     names, inverse = np.unique(triples, return_inverse=True)
-    order = np.argsort(inverse, kind="stable") if len(names) == len(sample) else suffix_array(inverse + 1)
+    distinct = len(names) == len(sample)
+    del triples, names  # a level below needs as much again
+    inverse += 1
+    order = np.argsort(inverse, kind="stable") if distinct else suffix_array(inverse)
+    del inverse
     sample = sample[order]
     rank = np.zeros(n + 3, dtype=np.int64)
     rank[sample] = np.arange(1, len(sample) + 1)
