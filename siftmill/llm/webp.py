@@ -8,10 +8,10 @@ written as a palette with codes of one length; where all codes have one length,
 
 from __future__ import annotations
 
-import heapq
+import math
 import struct
 from bisect import bisect_left
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -193,27 +193,37 @@ def _decoded(bits: Bits, codes: list[list[Code]], groups: list[int] | None, tile
     out, done, across = [0] * total, 0, (width + (1 << tile) - 1) >> tile
     cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
     words, at = bits.words, bits.at
-    code = codes[0]
+    code, last = codes[0], None
     while done < total:
         if groups:
             code = codes[groups[(done // width >> tile) * across + (done % width >> tile)]]
-        green, red, blue, alpha, distance = code
+        if code is not last:
+            last = code
+            green, red, blue, alpha, distance = code
+            greens, green_mask, reds, red_mask, blues, blue_mask = green.table, green.mask, red.table, red.mask, blue.table, blue.mask
+            alphas, alpha_mask = alpha.table, alpha.mask
+            alone = not (red_mask or blue_mask or alpha_mask)  # only green takes bits
+            base = alphas[0] << 20 | (reds[0] >> 4) << 16 | blues[0] >> 4 if alone else alphas[0] << 20
         x = words[at >> 3] >> (at & 7)
-        entry = green.table[x & green.mask]
+        entry = greens[x & green_mask]
         n, s = entry & 15, entry >> 4
         if s < 256:
-            x >>= n
-            r = red.table[x & red.mask]
-            x >>= r & 15
-            b = blue.table[x & blue.mask]
-            at += n + (r & 15) + (b & 15)
-            argb = (r >> 4) << 16 | s << 8 | b >> 4
-            if alpha.wide:
-                a = alpha.table[words[at >> 3] >> (at & 7) & alpha.mask]
-                at += a & 15
-                argb |= (a >> 4) << 24
+            if alone:
+                at += n
+                argb = base | s << 8
             else:
-                argb |= alpha.table[0] << 20
+                x >>= n
+                r = reds[x & red_mask]
+                x >>= r & 15
+                b = blues[x & blue_mask]
+                at += n + (r & 15) + (b & 15)
+                argb = (r >> 4) << 16 | s << 8 | b >> 4
+                if alpha_mask:
+                    a = alphas[words[at >> 3] >> (at & 7) & alpha_mask]
+                    at += a & 15
+                    argb |= (a >> 4) << 24
+                else:
+                    argb |= base
             out[done] = argb
             if cache_bits:
                 cache[(0x1E35A7BD * argb & 0xFFFFFFFF) >> shift] = argb
@@ -472,15 +482,21 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     out = np.zeros(len(counts), dtype=np.int64)
     weights = counts[used].tolist()
     while len(used) > 1:
-        heap = [(w, k) for k, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent, n = [0] * (2 * len(used) - 1), len(used)
-        while len(heap) > 1:
-            a = heapq.heappop(heap)
-            b = heap[0]
-            parent[a[1]] = parent[b[1]] = n
-            heapq.heapreplace(heap, (a[0] + b[0], n))
-            n += 1
+        n = len(used)
+        leaves = sorted(range(n), key=weights.__getitem__)
+        light = [*[weights[k] for k in leaves], math.inf]
+        joined, parent, i, j = [math.inf] * n, [0] * (2 * n - 1), 0, 0  # joined weights only rise: two queues stand for a heap
+        for new in range(n, 2 * n - 1):
+            if light[i] <= joined[j]:
+                weight, parent[leaves[i]], i = light[i], new, i + 1
+            else:
+                weight, parent[n + j], j = joined[j], new, j + 1
+            if light[i] <= joined[j]:
+                weight, parent[leaves[i]], i = weight + light[i], new, i + 1
+            else:
+                weight, parent[n + j], j = weight + joined[j], new, j + 1
+            joined[new - n] = weight
+        n = 2 * n - 1
         depth = [0] * n
         for k in range(n - 2, -1, -1):
             depth[k] = depth[parent[k]] + 1
@@ -642,15 +658,28 @@ TILE = 6
 MODES = (0, 1, 2)
 
 
+_COUNTS = np.arange(1 << 14)
+#: A count times its binary logarithm.
+WEIGHED = _COUNTS * np.log2(np.maximum(_COUNTS, 1))
+
+
+def weighed(counts: np.ndarray) -> np.ndarray:
+    return WEIGHED[counts] if counts.max() < len(WEIGHED) else counts * np.log2(np.maximum(counts, 1))
+
+
+@lru_cache(maxsize=64)
+def _places(height: int, width: int, n: int, tile: int) -> np.ndarray:
+    """256 times the number of each sample's tile and plane."""
+    return (np.repeat(np.arange(height) >> tile, width * n) * n + np.tile(np.arange(n), height * width)) * 256
+
+
 def tile_costs(planes: np.ndarray, tile: int) -> np.ndarray:
     """Entropy in bits of the samples (height, width, planes) of each tile; tiles take whole rows."""
     height, width, n = planes.shape
     tiles = (height + (1 << tile) - 1) >> tile
-    of = np.repeat(np.arange(height) >> tile, width * n) * n + np.tile(np.arange(n), height * width)
-    counts = np.bincount(of * 256 + planes.reshape(-1), minlength=tiles * n * 256).reshape(tiles, n, 256)
-    total = counts.sum(axis=2)
-    part = np.where(counts > 0, counts * np.log2(np.maximum(counts, 1)), 0).sum(axis=2)
-    return (total * np.log2(np.maximum(total, 1)) - part).sum(axis=1)
+    of = (_places if height <= 64 else _places.__wrapped__)(height, width, n, tile)
+    counts = np.bincount(of + planes.reshape(-1), minlength=tiles * n * 256).reshape(tiles, n, 256)
+    return (weighed(counts.sum(axis=2)) - weighed(counts).sum(axis=2)).sum(axis=1)
 
 
 def predicted(c: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 """The WebP reader on streams written here by the format's rules, with every transform and kind of code."""
 
+import heapq
 import struct
 
 import numpy as np
@@ -261,3 +262,28 @@ def test_broken_streams():
     for bad in (b"", good[:30], good[:-40], good[:12] + b"VP8 " + good[16:]):
         with pytest.raises(ValueError):
             webp.decode(bad)
+
+
+def test_code_lengths_are_those_of_a_heap():
+    """Two queues join the same two symbols as a heap of (weight, number) does, ties included."""
+    for n in [2, 3, 7, 40, 256]:
+        for most in (1, 3, 50, 10_000):
+            counts = RNG.integers(1, most + 1, n)
+            heap, parent = [(w, k) for k, w in enumerate(counts.tolist())], {}
+            heapq.heapify(heap)
+            while len(heap) > 1:
+                (v, a), (w, b) = heapq.heappop(heap), heapq.heappop(heap)
+                parent[a] = parent[b] = n + len(parent) // 2
+                heapq.heappush(heap, (v + w, parent[a]))
+
+            def depth(k, parent=parent):
+                return 1 + depth(parent[k]) if k in parent else 0
+
+            assert webp.code_lengths(counts, 99).tolist() == [depth(k) for k in range(n)]
+
+
+def test_costs_of_tiles():
+    planes = RNG.integers(0, 9, (150, 64, 3)).astype(np.uint8)
+    want = [sum(-np.log2(np.bincount(p[:, :, k].reshape(-1))[p[:, :, k]] / p[:, :, k].size).sum() for k in range(3)) for p in (planes[:64], planes[64:128], planes[128:])]
+    assert np.allclose(webp.tile_costs(planes, 6), want)
+    assert np.allclose(webp.tile_costs(np.zeros((300, 64, 1), dtype=np.uint8), 14), 0)  # counts beyond the table
