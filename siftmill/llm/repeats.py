@@ -19,12 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftmill.tables import mark, release_one
+
 from .anchors import chosen, named, NAME
 from .common import materialise, slices
 from .suffixes import repeated
 
-#: Bitmaps have at most two to this power of bits, and at least four for each key.
-BITMAP_BITS = 25
+#: Bitmaps have at most two to this power of bits (64 MB), and at least four for each key; up to two to BITMAP_BITS_EACH of them where there is room.
+BITMAP_BITS = 29
+BITMAP_BITS_EACH = 4
 #: Contexts of one name that are sorted in memory; those of names with more meet by ranges of their windows.
 GROUP = 2_500
 #: Parts into which a range is cut.
@@ -36,14 +39,14 @@ POOL = 1 << 18
 def bitmap(keys: DataFrame, column: str) -> np.ndarray | None:
     """A bitmap in which the bits of all keys are set, or None if there are too many keys for the largest; ``keys`` is a written table."""
     n = keys.count()
-    bits = max(10, (4 * n).bit_length())
-    if bits > BITMAP_BITS:
+    if max(10, (4 * n).bit_length()) > BITMAP_BITS:
         return None
+    bits = max(10, min(BITMAP_BITS, (n << BITMAP_BITS_EACH).bit_length()))
     place = F.shiftrightunsigned(F.col(column), 64 - bits)
     words = keys.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))").alias("bit"))
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most 2 ** (BITMAP_BITS - 6) rows
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2 ** (BITMAP_BITS - 6) rows of 12 bytes
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    out[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return out
 
 
@@ -59,6 +62,15 @@ def short(k: bytes) -> int:
     return int.from_bytes(k[:8], "little", signed=True)
 
 
+def shorts(k: pa.Array) -> np.ndarray:
+    return np.array(list(map(short, k.to_pylist())), dtype=np.int64)
+
+
+def halves(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(shorts(batch.column(0)))], names=["at"])
+
+
 def mixed(k: np.ndarray, start: np.ndarray) -> np.ndarray:
     """One number for a row and a place in it."""
     with np.errstate(over="ignore"):
@@ -140,8 +152,11 @@ def pools(batches, most: int | None = None):
 
 
 def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
-    """Spans of repeated windows of the rows (k binary, text string): k, and spans as an array of start << 32 | length."""
+    """Spans of repeated windows of the rows (k binary, text string): k, and spans as an array of start << 32 | length.
+
+    They are a written table, and what was written on the way to it is deleted."""
     spark = keyed.sparkSession
+    before = mark(spark)
 
     def names(batches):
         digest = xxhash.xxh3_64_intdigest
@@ -173,7 +188,7 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
 
     def mixing(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(np.array(list(map(short, batch.column(0).to_pylist())), dtype=np.int64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)))], names=["at"])
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(shorts(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)))], names=["at"])
 
     asked = materialise(g.join(mixed_names, "name").select("one.k", "one.start", (F.col("classes") > group).alias("crowded")).dropDuplicates(["k", "start"]), "asked")
     by_place = spark.sparkContext.broadcast(bitmap(asked.mapInArrow(mixing, "at long"), "at"))
@@ -213,7 +228,10 @@ def spans_of(keyed: DataFrame, window: int, group: int = GROUP) -> DataFrame:
     spans = whole.union(dealt.mapInArrow(compare, "k binary, start long, length long"))
     for more in crowded_spans(asked_texts.where("crowded"), window):
         spans = spans.union(more)
-    return spans.groupBy("k").agg(F.collect_set(F.shiftleft(F.col("start"), 32).bitwiseOR(F.col("length"))).alias("spans"))
+    out = materialise(spans.groupBy("k").agg(F.collect_set(F.shiftleft(F.col("start"), 32).bitwiseOR(F.col("length"))).alias("spans")), "spans")
+    while mark(spark) > before + 1:
+        release_one(spark, before)
+    return out
 
 
 def merged(spans: list[int] | None) -> list[tuple[int, int]]:
@@ -251,10 +269,20 @@ def cut_repeats(docs: DataFrame, window: int = 200, whole_characters: bool = Fal
     own_id = F.when(F.col(id_col).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.length(F.col(id_col).cast("string")), F.lit(":"), F.col(id_col).cast("string")))
     key = F.unhex(F.md5(F.concat(own_id, F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
     spans = spans_of(docs.select(key.alias("k"), F.col(text_col).cast("string").alias("text")), window, group)
-    joined = docs.withColumn("_k", key).join(spans.select(F.col("k").alias("_k"), F.col("spans").alias("_spans")), "_k", "left").drop("_k")
-    place = joined.columns.index(text_col)
+    by_key = docs.sparkSession.sparkContext.broadcast(bitmap(spans.select("k").mapInArrow(halves, "at long"), "at"))
+    keyed = docs.withColumn("_k", key)
+    place = docs.columns.index(text_col)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    def dealt(batches, repeats: bool):
+        """The rows that may have spans, or those that have none: only the first are shuffled."""
+        for batch in slices(batches):
+            yield batch.filter(pa.array(in_bitmap(by_key.value, shorts(batch.column(batch.num_columns - 1))) == repeats))
+
+    def alone(batches):
+        for batch in dealt(batches, False):
+            yield from cut([pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.nulls(len(batch), pa.list_(pa.int64()))], names=batch.schema.names)])
+
     def cut(batches):
         for batch in slices(batches):
             sizes, runs, kept = [], [], []
@@ -269,5 +297,7 @@ def cut_repeats(docs: DataFrame, window: int = 200, whole_characters: bool = Fal
             columns = [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "n_bytes", "runs", "kept"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1])
-    return joined.mapInArrow(cut, f"{fields}, n_bytes long, runs array<struct<start:long,end:long>>, kept binary")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    met = keyed.mapInArrow(lambda batches: dealt(batches, True), f"{fields}, _k binary").join(spans.select(F.col("k").alias("_k"), F.col("spans").alias("_spans")), "_k", "left").drop("_k")
+    out = f"{fields}, n_bytes long, runs array<struct<start:long,end:long>>, kept binary"
+    return met.mapInArrow(cut, out).union(keyed.mapInArrow(alone, out))

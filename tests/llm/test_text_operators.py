@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from siftmill import tables
 from siftmill.llm import chat, langid, media, packing, pieces, pii, repeats, simhash, suffixes, toxicity
 
 DOCS = "doc_id long, text string"
@@ -274,6 +275,26 @@ def test_many_copies_with_one_variant(spark, monkeypatch):
     assert {r.doc_id: bytes(r.kept).decode() for r in got} == want
 
 
+def test_bitmaps_let_few_through(spark):
+    rng = np.random.default_rng(6)
+    keys = rng.integers(-(1 << 63), 1 << 63, 3000)
+    bits = repeats.bitmap(spark.createDataFrame([(int(x),) for x in keys], "at long"), "at")
+    assert repeats.in_bitmap(bits, keys).all() and repeats.in_bitmap(bits, rng.integers(-(1 << 63), 1 << 63, 20_000)).mean() < 0.08
+
+
+def test_rows_without_repeats_are_not_shuffled(spark):
+    """And of the tables written on the way to the spans none is left."""
+    rng = random.Random(5)
+    text = ["".join(rng.choice("abcdefgh ") for _ in range(600)) for _ in range(60)]
+    since = tables.mark(spark)
+    cut = repeats.cut_repeats(spark.createDataFrame([(k, x) for k, x in enumerate([*text, text[0]])], DOCS))
+    assert tables.mark(spark) == since + 1
+    hint = cut._jdf.queryExecution().optimizedPlan().toString()
+    joined = hint.split("Join", 1)[1]
+    assert "Union" in hint.split("Join", 1)[0] and joined.count("MapInArrow") == 2
+    assert {r.doc_id: sum(x.end - x.start for x in r.runs) for r in cut.collect()} == {k: 600 * (k in (0, 60)) for k in range(61)}
+
+
 def test_repeats_keep_characters(spark):
     shared = "é" * 150
     rows = [(1, "x" + shared + "a"), (2, "yy" + shared + "b")]
