@@ -37,14 +37,22 @@ class Bits:
         self.data, self.at = data, 0
         #: At each byte the 64 bits from there on.
         padded = np.frombuffer(data + bytes(16), dtype=np.uint8)
-        self.words = np.lib.stride_tricks.as_strided(padded, shape=(len(data) + 8, 8), strides=(1, 1)).copy().view("<u8").reshape(-1).tolist()
+        self.numbers = np.lib.stride_tricks.as_strided(padded, shape=(len(data) + 8, 8), strides=(1, 1)).copy().view("<u8").reshape(-1)
+
+    @cached_property
+    def words(self) -> list[int]:
+        return self.numbers.tolist()
+
+    def ahead(self) -> int:
+        """At least 57 bits from here on, or zeros."""
+        return int.from_bytes(self.data[self.at >> 3 : (self.at >> 3) + 8], "little") >> (self.at & 7)
 
     def read(self, n: int) -> int:
         """The next n bits, at most 32."""
         first, self.at = self.at, self.at + n
         if self.at > 8 * len(self.data):
             raise ValueError("the stream ends too soon")
-        return self.words[first >> 3] >> (first & 7) & ((1 << n) - 1)
+        return int.from_bytes(self.data[first >> 3 : (first >> 3) + 8], "little") >> (first & 7) & ((1 << n) - 1)
 
 
 _REVERSED: dict[int, np.ndarray] = {}
@@ -95,9 +103,20 @@ class Code:
         return entry >> 4
 
 
+@lru_cache(maxsize=1 << 12)
+def lone_code(symbol: int, size: int) -> Code:
+    if symbol >= size:
+        raise ValueError("no such symbol")
+    return Code({symbol: 1})
+
+
 def read_code(bits: Bits, size: int, last_code: Code | None = None) -> Code:
     """A prefix code; if it is the same as the one before it, that one."""
     lengths: dict[int, int] = {}
+    x = bits.ahead()
+    if x & 7 == 0b101:  # one symbol of eight bits
+        bits.read(11)
+        return lone_code(x >> 3 & 255, size)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         lengths[bits.read(8 if wide else 1)] = 1
@@ -152,6 +171,11 @@ def read_value(bits: Bits, prefix: int) -> int:
 
 def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image as ARGB numbers, row after row."""
+    return coded_pixels(bits, *read_codes(bits, width, height, main), width, width * height)
+
+
+def read_codes(bits: Bits, width: int, height: int, main: bool) -> tuple[list[list[Code]], list[int] | None, int, int]:
+    """What stands before an image's pixels: its codes, the group of each tile if there are several, the size of tiles and the bits of the colour cache."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     groups, tile = None, 0
     if main and bits.read(1):
@@ -164,10 +188,21 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         for n in sizes:
             own.append(read_code(bits, n, own[-1] if own else None))
         codes.append(own)
-    if groups is None and not cache_bits and all(c.even is not None for c in codes[0][:4]) and max(codes[0][0].lengths, default=0) < 256:
-        return _decoded_even(bits, codes[0], width * height)
+    return codes, groups, tile, cache_bits
+
+
+def alike(codes: list[list[Code]], groups: list[int] | None, cache_bits: int) -> bool:
+    """Whether an image has literals alone, all with as many bits."""
+    return groups is None and not cache_bits and all(c.even is not None for c in codes[0][:4]) and max(codes[0][0].lengths, default=0) < 256
+
+
+def coded_pixels(bits: Bits, codes: list[list[Code]], groups: list[int] | None, tile: int, cache_bits: int, width: int, total: int) -> np.ndarray:
+    if alike(codes, groups, cache_bits):
+        if not any(c.even for c in codes[0][:4]):
+            return np.full(total, sum(next(iter(c.lengths), 0) << shift for c, shift in zip(codes[0], (8, 16, 0, 24), strict=False)), dtype=np.uint32)
+        return _decoded_even(bits, codes[0], total)
     try:
-        return np.asarray(_decoded(bits, codes, groups, tile, cache_bits, width, width * height), dtype=np.uint32)
+        return np.asarray(_decoded(bits, codes, groups, tile, cache_bits, width, total), dtype=np.uint32)
     except IndexError:
         raise ValueError("the stream ends too soon") from None
 
@@ -189,9 +224,10 @@ def _decoded_even(bits: Bits, codes: list[Code], n: int) -> np.ndarray:
     return argb
 
 
-def _decoded(bits: Bits, codes: list[list[Code]], groups: list[int] | None, tile: int, cache_bits: int, width: int, total: int) -> list[int]:
-    out, done, across = [0] * total, 0, (width + (1 << tile) - 1) >> tile
-    cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
+def _decoded(bits: Bits, codes: list[list[Code]], groups: list[int] | None, tile: int, cache_bits: int, width: int, total: int, before: list[int] | None = None, cache: list[int] | None = None) -> list[int]:
+    """All pixels; those ``before`` are known already, and so is the colour cache behind them."""
+    out, done, across = [*(before or ()), *[0] * (total - len(before or ()))], len(before or ()), (width + (1 << tile) - 1) >> tile
+    cache, shift = cache or [0] * (1 << cache_bits), 32 - cache_bits
     words, at = bits.words, bits.at
     code, last = codes[0], None
     while done < total:
@@ -363,45 +399,67 @@ def undo_palette(argb: np.ndarray, width: int, height: int, palette: np.ndarray)
     return full[index]
 
 
+class Opened:
+    """A file up to its main image: bits, width, height, transforms (kind, width, tile, numbers), and the width of what is stored."""
+
+    def __init__(self, data: bytes):
+        if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or len(data) < 25 or data[20] != 0x2F:
+            raise ValueError("not a lossless WebP file")
+        self.bits = bits = Bits(data[21 : 20 + struct.unpack("<I", data[16:20])[0]])
+        self.width, self.height = bits.read(14) + 1, bits.read(14) + 1
+        bits.read(1)
+        if bits.read(3):
+            raise ValueError("unknown version")
+        self.transforms: list[tuple] = []
+        self.seen: set[int] = set()
+        self.stored, self.colours = self.width, 0
+
+    def advance(self) -> bool:
+        """Read on, up to a palette, of which the number of colours is then known, or to the main image; whether it is a palette."""
+        bits, w = self.bits, self.stored
+        while bits.read(1):
+            kind = bits.read(2)
+            if kind in self.seen:
+                raise ValueError("a transform occurs twice")
+            self.seen.add(kind)
+            if kind in (PREDICTOR, CROSS_COLOUR):
+                tile = bits.read(3) + 2
+                side = lambda n: (n + (1 << tile) - 1) >> tile  # noqa: B023, E731
+                self.transforms.append((kind, w, tile, read_pixels(bits, side(w), side(self.height), False)))
+            elif kind == PALETTE:
+                self.colours = bits.read(8) + 1
+                return True
+            else:
+                self.transforms.append((kind, w, 0, None))
+        return False
+
+    def add_palette(self, argb: np.ndarray) -> None:
+        n = self.colours
+        palette = np.cumsum(argb.astype("<u4").view(np.uint8).reshape(n, 4), axis=0, dtype=np.uint8).view("<u4").reshape(-1).astype(np.uint32)
+        self.transforms.append((PALETTE, self.stored, 0, palette))
+        self.stored = (self.stored + (1 << packed_bits(n)) - 1) >> packed_bits(n)
+
+    def undone(self, argb: np.ndarray) -> np.ndarray:
+        """The main image after its transforms: height, width and the channels red, green, blue and alpha."""
+        for kind, w, tile, x in reversed(self.transforms):
+            if kind == PREDICTOR:
+                argb = undo_predictor(argb, w, self.height, tile, x)
+            elif kind == CROSS_COLOUR:
+                argb = undo_cross_colour(argb, w, self.height, tile, x)
+            elif kind == PALETTE:
+                argb = undo_palette(argb, w, self.height, x)
+            else:
+                green = argb >> 8 & np.uint32(0xFF)
+                argb = add_channels(argb, green << np.uint32(16) | green)
+        return argb.astype("<u4").view(np.uint8).reshape(self.height, self.width, 4)[:, :, [2, 1, 0, 3]]
+
+
 def decode(data: bytes) -> np.ndarray:
     """Pixels of a lossless WebP file as an array of height, width and the channels red, green, blue and alpha."""
-    if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or len(data) < 25 or data[20] != 0x2F:
-        raise ValueError("not a lossless WebP file")
-    bits = Bits(data[21 : 20 + struct.unpack("<I", data[16:20])[0]])
-    width, height = bits.read(14) + 1, bits.read(14) + 1
-    bits.read(1)
-    if bits.read(3):
-        raise ValueError("unknown version")
-    transforms, seen, w = [], set(), width
-    while bits.read(1):
-        kind = bits.read(2)
-        if kind in seen:
-            raise ValueError("a transform occurs twice")
-        seen.add(kind)
-        if kind in (PREDICTOR, CROSS_COLOUR):
-            tile = bits.read(3) + 2
-            side = lambda n: (n + (1 << tile) - 1) >> tile  # noqa: B023, E731
-            transforms.append((kind, w, tile, read_pixels(bits, side(w), side(height), False)))
-        elif kind == PALETTE:
-            n = bits.read(8) + 1
-            colours = read_pixels(bits, n, 1, False).astype("<u4").view(np.uint8).reshape(n, 4)
-            palette = np.cumsum(colours, axis=0, dtype=np.uint8).view("<u4").reshape(-1).astype(np.uint32)
-            transforms.append((kind, w, 0, palette))
-            w = (w + (1 << packed_bits(n)) - 1) >> packed_bits(n)
-        else:
-            transforms.append((kind, w, 0, None))
-    argb = read_pixels(bits, w, height, True)
-    for kind, w, tile, x in reversed(transforms):
-        if kind == PREDICTOR:
-            argb = undo_predictor(argb, w, height, tile, x)
-        elif kind == CROSS_COLOUR:
-            argb = undo_cross_colour(argb, w, height, tile, x)
-        elif kind == PALETTE:
-            argb = undo_palette(argb, w, height, x)
-        else:
-            green = argb >> 8 & np.uint32(0xFF)
-            argb = add_channels(argb, green << np.uint32(16) | green)
-    return argb.astype("<u4").view(np.uint8).reshape(height, width, 4)[:, :, [2, 1, 0, 3]]
+    head = Opened(data)
+    while head.advance():
+        head.add_palette(read_pixels(head.bits, head.colours, 1, False))
+    return head.undone(read_pixels(head.bits, head.stored, head.height, True))
 
 
 class Writer:
